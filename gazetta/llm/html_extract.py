@@ -167,9 +167,18 @@ class Model:
 
     def __init__(self, weights: dict[str, tuple[float, float, float]], parents: tuple[float, float]):
         self.weights, self.parents = weights, parents
+        self.kept: dict[tuple[str, ...], tuple[float, float, float]] = {}
 
     def potentials(self, own: list[str]) -> tuple[float, float, float]:
-        """Of the three states; a scaled likelihood, so a node that tells nothing weighs nothing."""
+        """Of the three states; a scaled likelihood, so a node that tells nothing weighs nothing. Nodes look alike, so they are kept."""
+        key = tuple(own)
+        if (known := self.kept.get(key)) is None:
+            if len(self.kept) >= 100_000:
+                self.kept = {}
+            known = self.kept[key] = self._potentials(key)
+        return known
+
+    def _potentials(self, own: tuple[str, ...]) -> tuple[float, float, float]:
         found = [w for f in own if (w := self.weights.get(f))]
         a, b, c = (sum([w[k] for w in found]) for k in range(3))
         total = _log_sum(_log_sum(a, b), c)

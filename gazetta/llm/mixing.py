@@ -151,16 +151,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
-    plan = written(mixed(docs, seed).where("copies > 0").select("key", "copies"), "mix")
+    plan = mixed(docs, seed).where("copies > 0").select("key", "copies")
     # rows of one key are equal in doc_id and text; each takes its own copies
-    plan = plan.groupBy("key").agg(F.sum("copies").alias("copies"))
+    plan = written(plan.groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies")), "mix")
     key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    keyed = docs.withColumn("_key", key)
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), key.alias("_key"))
     same = written(keyed.groupBy("_key").count().where("count > 1").select("_key"), "same")
-    once = only_ids(keyed, same, "_key", "left_anti")
-    twice = only_ids(keyed, same, "_key").dropDuplicates(["_key"])
-    chosen = once.select("_key", *docs.columns).unionByName(twice.select("_key", *docs.columns)).join(plan.withColumnRenamed("key", "_key").hint("merge"), "_key")
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    rows = only_ids(keyed, same, "_key", "left_anti").unionByName(only_ids(keyed, same, "_key").dropDuplicates(["_key"]))
+    taken = rows.join(plan.hint("merge"), "_key").select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return taken.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 QUERIES = {"op9_mixing": op9_mixing}
