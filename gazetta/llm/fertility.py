@@ -10,6 +10,7 @@ up to a bound, and asks the vocabularies only for new ones.
 from __future__ import annotations
 
 import base64
+import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,8 +25,8 @@ from gazetta.llm.common import table
 PIECES, RANKS = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker keeps.
-KEPT = 500_000
+#: Words that a worker keeps in one generation.
+KEPT = 300_000
 #: Texts of fewer tokens aren't judged by how evenly they are spread.
 ENOUGH = 64
 #: Entropy is taken over the logarithm of the number of tokens, up to so many: that of longer texts hardly grows.
@@ -58,16 +59,24 @@ class Lengths:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
         self.bytes = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.kept: dict[bytes, tuple[bytes, int]] = {}
+        # pieces and number of byte-level tokens of a word, in two generations
+        self.ids: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
+        self.counts: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.kept) + len(words) > KEPT:
-            self.kept = {}
-        new = [w for w in words if w not in self.kept]
+        """Sees to it that the words are kept. Two generations: what is used again outlives the words that fill one up."""
+        if len(self.ids[0]) + len(words) > KEPT:
+            self.ids, self.counts = ({}, self.ids[0]), ({}, self.counts[0])
+        (ids, old_ids), (counts, old_counts) = self.ids, self.counts
+        missing = words - ids.keys()
+        again = missing & old_ids.keys()
+        ids.update((w, old_ids[w]) for w in again)
+        counts.update((w, old_counts[w]) for w in again)
+        new = list(missing - again)
         texts = [w.decode() for w in new]
-        ids = self.pieces.encode(texts, num_threads=1)
-        counts = map(len, self.ranks.encode_ordinary_batch([" " + t for t in texts], num_threads=1))
-        self.kept.update((w, (np.array(i, np.uint16).tobytes(), n)) for w, i, n in zip(new, ids, counts, strict=True))
+        encode = self.ranks.encode_ordinary
+        ids.update((w, np.array(i, np.uint16).tobytes()) for w, i in zip(new, self.pieces.encode(texts, num_threads=1), strict=True))
+        counts.update((w, len(encode(" " + t))) for w, t in zip(new, texts, strict=True))
 
 
 @lru_cache(maxsize=1)
@@ -80,10 +89,10 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     n = len(words)
     if n <= width:
         return 0
-    number: dict[bytes, int] = {}
-    key = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     if len(number) == n:
         return 0
+    key = np.fromiter(map(number.__getitem__, words), np.int64, n)
     span = 1
     while span < width:  # numbers of windows of twice the words, from pairs of numbers
         pair = key[:-span] * (key.max() + 1) + key[span:]
@@ -117,16 +126,15 @@ def script(text: str) -> str:
 
 def measured(words: list[bytes], known: Lengths, chars: int) -> tuple[int, float, float, float, float]:
     """Pieces, characters per piece and per byte-level token, share of byte pieces, entropy over its bound (1 for texts too short)."""
-    kept = [known.kept[w] for w in words]
-    ids = np.frombuffer(b"".join([k[0] for k in kept]), np.uint16)
+    ids = np.frombuffer(b"".join(map(known.ids[0].__getitem__, words)), np.uint16)
     n = len(ids)
     if not n:
         return 0, 0.0, 0.0, 0.0, 1.0
-    tokens = sum([k[1] for k in kept])
+    tokens = sum(map(known.counts[0].__getitem__, words))
     even = 1.0
     if n >= ENOUGH:
-        count = np.bincount(ids)
-        p = count[count > 0] / n
+        own = np.sort(ids)
+        p = np.diff(np.flatnonzero(np.r_[True, own[1:] != own[:-1], True])) / n
         even = float(-(p * np.log(p)).sum() / np.log(min(n, WIDE)))
     return n, chars / n, chars / max(1, tokens), float(known.bytes[ids].mean()), even
 
@@ -150,6 +158,7 @@ def ruled(docs: DataFrame, bands: dict = BANDS, pieces: str = PIECES, ranks: str
     lang = "lang" if "lang" in docs.columns else "cast(null as string) as lang"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # what is kept has no cycles, and walking through it costs much
         known = lengths(pieces, ranks)
         for frame in frames:
             rows = []

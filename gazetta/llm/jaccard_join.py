@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import BROADCAST_ROWS, only_ids, table, written
+from gazetta.llm.common import only_ids, table, written
 
 #: Words of a shingle, and the similarity from which documents link, as a ratio
 #: of integers so that comparisons are exact.
@@ -351,4 +351,3 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_jaccard_join": op8_jaccard_join}
-__all__ = ["BROADCAST_ROWS", "components", "jaccard_join", "op8_jaccard_join", "shingle_set", "stage"]

@@ -174,11 +174,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     empty text; repeated rows get equal scores; an empty table gives no rows.
     Columns of any name may stand beside doc_id and text.
     """
+    rows = _scores(docs, model)
+    return rows.select("_doc", F.col("_doc.doc_id").cast("long").alias("doc_id"), (remainder(F.col("_doc.doc_id").cast("string")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _scores(docs: DataFrame, model: Model) -> DataFrame:
+    """_doc, score and _at. A filter that names _at isn't moved below the statistics, where each rule would compute its own anew."""
     stats = statistics(F.col("_doc.text"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"))
-    rows = rows.select("_doc", *[c.alias(k) for k, c in stats.items()])
-    rows = rows.select("_doc", model.score().alias("score"))
-    return rows.select("_doc", F.col("_doc.doc_id").cast("long").alias("doc_id"), (remainder(F.col("_doc.doc_id").cast("string")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = rows.select("_doc", F.monotonically_increasing_id().alias("_at"), *[c.alias(k) for k, c in stats.items()])
+    return rows.select("_doc", "_at", model.score().alias("score"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +195,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts. It learns from the labelled documents of the corpus."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    kept = scored(docs, model).where("predicted = 1")
+    kept = _scores(docs, model).where("_at >= 0 AND score >= 0.5")
     return kept.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
