@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: row, so 8 MB of ids); larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Temporary folders of local sessions that name none, by application.
+_local: dict[str, str] = {}
+
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="gazetta-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        app = spark.sparkContext.applicationId
+        where = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="gazetta-checkpoint-"))
     return where.rstrip("/")
 
 
