@@ -3,7 +3,7 @@
 Public vocabularies say how many characters a token covers, which share of tokens
 are bytes because the vocabulary has no piece for them, and how evenly the tokens
 of a text are spread. Bands for the language, or else for the script, reject texts
-outside. Words repeat, so a worker keeps the tokens of the words that it has seen,
+outside. Words repeat, so a task keeps the tokens of the words that it has seen,
 up to a bound, and asks the vocabularies only for new ones.
 """
 
@@ -25,7 +25,7 @@ from gazetta.llm.common import table
 PIECES, RANKS = "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker keeps in one generation.
+#: Words that a task keeps in one generation.
 KEPT = 300_000
 #: Texts of fewer tokens aren't judged by how evenly they are spread.
 ENOUGH = 64
@@ -59,6 +59,9 @@ class Lengths:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
         self.bytes = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.forget()
+
+    def forget(self) -> None:
         # pieces and number of byte-level tokens of a word, in two generations
         self.ids: tuple[dict[bytes, bytes], dict[bytes, bytes]] = {}, {}
         self.counts: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}
@@ -160,6 +163,13 @@ def ruled(docs: DataFrame, bands: dict = BANDS, pieces: str = PIECES, ranks: str
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gc.disable()  # what is kept has no cycles, and walking through it costs much
         known = lengths(pieces, ranks)
+        try:
+            yield from judge(frames, known)
+        finally:
+            known.forget()  # what is kept serves one task
+            gc.enable()
+
+    def judge(frames: Iterator[pd.DataFrame], known: Lengths) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for start in range(0, len(frame), 256):

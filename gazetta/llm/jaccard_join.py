@@ -48,8 +48,8 @@ WORDS, NUM, DEN = 5, 4, 5
 RADIUS = 1 - NUM / DEN
 #: Pivots of a region in the first round, and the factor from round to round.
 PIVOTS, GROWTH = 1, 16
-#: Groups of packed counts for each shuffle partition.
-PARTS = 4
+#: Groups of packed counts for each shuffle partition, and characters of the documents that are packed together.
+PARTS, CHARS = 4, 6_000_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -100,9 +100,7 @@ def _packer(parts: int, with_sets: bool):
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = TaskContext.get().partitionId() << 32
-        for frame in frames:
-            if not len(frame):
-                continue
+        for frame in _parts_of(frames):
             at += 1
             sets = [shingle_set(x) for x in frame["text"]]
             ids = [set_id(x) for x in sets]
@@ -130,6 +128,15 @@ def _packer(parts: int, with_sets: bool):
     return pack
 
 
+def _parts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of about CHARS characters of text, in order."""
+    for frame in frames:
+        if len(frame):
+            turn = np.cumsum(frame["text"].str.len().fillna(0)) // CHARS
+            for _, part in frame.groupby(turn.to_numpy(), sort=True):
+                yield part
+
+
 def _code(keys: np.ndarray, parts: int) -> np.ndarray:
     """Part and 32 bits of each key. Keys that fall together only seem to be shared, which drops no document."""
     return ((keys >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
