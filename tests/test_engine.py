@@ -111,7 +111,7 @@ def test_sources_choice():
 
 def plain(rows):
     def one(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>", "nan"):
             return "-"
         return str(int(v)) if isinstance(v, float) and v == int(v) else str(v).removesuffix(" 00:00:00")
 
