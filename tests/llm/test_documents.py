@@ -247,6 +247,40 @@ def test_randomness_battery(spark):
     assert not [plain[(i - n) % len(plain)] for i in found if i >= n]
 
 
+def long_runs(rng, n):
+    """Paths, identifiers and dates of 20 characters and more, as they stand in logs and sources."""
+    parts = "user config internal handler request parse buffer index network session report archive default update service module vector render stream window Zeitung Kraft nation gouvernement".split()
+    out = []
+    while len(out) < n:
+        own = [rng.choice(parts) for _ in range(rng.randint(3, 6))]
+        run = rng.choice([lambda: "/".join(own), lambda: "_".join(own), lambda: "-".join(own), lambda: "".join(map(str.title, own)), lambda: "/".join(own[:2]) + f"/{rng.randint(2001, 2025)}/{rng.randint(10, 12)}/{own[2]}", lambda: "_".join(own).upper() + str(rng.randint(1, 99))])()
+        out += [run] if len(run) >= 20 else []
+    return out
+
+
+def test_tokens_among_many_long_runs(spark):
+    rng = random.Random(6)
+    rows, planted = [], {}
+    for size, others in ((20, 100), (24, 100), (32, 100), (40, 100), (20, 1000), (24, 1000), (32, 1000), (40, 1000)):
+        for _ in range(40 if others == 100 else 8):
+            runs = long_runs(rng, others)
+            at = rng.randrange(others)
+            runs.insert(at, "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(size)))
+            start = sum(len(x) + 1 for x in runs[:at])
+            planted[len(rows)] = (size, others, f"random:{start}:{start + size}")
+            rows.append((len(rows), " ".join(runs)))
+    found, false = Counter(), 0
+    for r in secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        size, others, want = planted[r.doc_id]
+        spans = [s for s in r.spans.split(",") if s]
+        found[size, others] += want in spans
+        false += sum(s != want for s in spans)
+    print(found, false)
+    assert false <= 0.02 * len(rows)
+    assert all(found[size, 100] >= 0.8 * 40 for size in (20, 24, 32, 40)), found
+    assert sum(found[size, 1000] for size in (20, 24, 32, 40)) >= 0.8 * 32 and found[40, 1000] >= 7, found
+
+
 # ---- merge-dropout ----------------------------------------------------------
 
 
