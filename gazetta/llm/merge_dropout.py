@@ -2,13 +2,13 @@
 
 Merges of a public BPE vocabulary are taken from an agenda, best first and the
 leftmost of equals; each candidate that comes up is skipped if a keyed hash of the
-seed, the word's variant, the word and the candidate's place says so. No piece of
-the vocabulary crosses from a word into the space mark before the next one, nor
-contains a line break, so words are segmented one by one. A block of words in a
-document gets one of VARIANTS segmentations, by a hash of the seed, the document and
-the block's position, and a task keeps the segmentations it has made, up to a
-bound. Words that it doesn't know are segmented together: a matrix holds the symbols
-and agendas of many words, and each round does the best merge of every row.
+seed, the document, the word's position in it and the candidate's place says so. No
+piece of the vocabulary crosses from a word into the space mark before the next one,
+nor contains a line break, so words are segmented one by one. What doesn't depend on
+the key, a word's plain segmentation and its merges, is kept by a task, up to a
+bound. An occurrence of which no plain merge is skipped has the plain segmentation;
+all others are segmented anew, together: a matrix holds the symbols and agendas of
+many words, and each round does the best merge of every row.
 Characters without a piece become bytes, as does a literal space mark, so that
 decoding gives back every text.
 """
@@ -24,16 +24,15 @@ from functools import cached_property, lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from gazetta.llm.common import table
 
 #: Vocabulary file, chance that a merge is skipped, and the seed of the keyed hash.
 MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 7
-#: Segmentations of a word in use at a time (a power of two), and words kept for each.
-VARIANTS, KEPT = 2, 250_000
-#: Words in a row that share a variant.
-BLOCK = 32
+#: Words whose plain segmentation is kept.
+KEPT = 250_000
 #: Characters of the texts whose new words are segmented together.
 CHARS = 2_000_000
 
@@ -64,8 +63,8 @@ class Vocabulary:
         order = sorted((p for p in self.ids if len(p) > 1), key=lambda p: (-sp.get_score(self.ids[p]), self.ids[p]))
         self.rank = {p: r for r, p in enumerate(order)}
 
-    def segment(self, word: str, key: int, dropout: float) -> list[int]:
-        """Ids of one word. key and dropout decide which merges are skipped; without dropout it is the plain segmentation."""
+    def segment(self, word: str, key: int, dropout: float, path: list[int] | None = None) -> list[int]:
+        """Ids of one word. key and dropout decide which merges are skipped; without dropout it is the plain segmentation. path gets the places of the merges done."""
         if word == _ESCAPE:
             return [self.bytes[b] for b in _MARK.encode()]
         rank, n = self.rank, len(word)
@@ -81,6 +80,8 @@ class Vocabulary:
                 h = ((key ^ (i << 42 | m << 21 | j)) * _M1) & _64
                 if (((h ^ h >> 29) * _M2 & _64) >> 48) < bar:
                     continue
+            if path is not None:
+                path.append(i << 42 | m << 21 | j)
             end[i], end[m] = j, 0
             if j < n:
                 before[j] = i
@@ -112,21 +113,31 @@ class Vocabulary:
         key, rank, merged = (np.array(x, np.int64) for x in zip(*found, strict=True))
         return points, key, rank, merged, np.array([self.ids.get(p, -1) for p in symbols], np.int32)
 
-    def segment_all(self, words: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
-        """Like segment for many words, as bytes of 32-bit ids. Each word is a row of a matrix, of which every round does the best merge of every row."""
+    def segment_all(self, words: list[str], keys: np.ndarray, dropout: float, paths: list | None = None) -> list[bytes]:
+        """Like segment for many words, as bytes of 32-bit ids. Each word is a row of a matrix, of which every round does the best merge of every row. paths, a list of their number, gets the places of each word's merges as bytes."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         out: list = [None] * len(words)
         for low, high in ((0, 8), (8, 16), (16, 32), (32, 64)):
             rows = np.flatnonzero((size > low) & (size <= high))
             for at in range(0, len(rows), 1 << 15):
                 part = rows[at : at + (1 << 15)]
-                for i, ids in zip(part, self._rounds([words[i] for i in part], size[part], keys[part], high, dropout), strict=True):
+                done: list[tuple[np.ndarray, np.ndarray]] | None = None if paths is None else []
+                for i, ids in zip(part, self._rounds([words[i] for i in part], size[part], keys[part], high, dropout, done), strict=True):
                     out[i] = ids
+                if paths is not None:
+                    row, place = (np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*done, strict=True) if done else ((), ())))
+                    flat = place[np.argsort(row, kind="stable")].tobytes()
+                    edge = (np.r_[0, np.cumsum(np.bincount(row, minlength=len(part)))] * 8).tolist()
+                    for i, a, b in zip(part, edge[:-1], edge[1:], strict=True):
+                        paths[i] = flat[a:b]
         for i in np.flatnonzero(size > 64):
-            out[i] = np.array(self.segment(words[i], int(keys[i]), dropout), np.int32).tobytes()
+            path: list[int] = []
+            out[i] = np.array(self.segment(words[i], int(keys[i]), dropout, path), np.int32).tobytes()
+            if paths is not None:
+                paths[i] = np.array(path, np.int64).tobytes()
         return out
 
-    def _rounds(self, words: list[str], size: np.ndarray, keys: np.ndarray, width: int, dropout: float) -> list[bytes]:
+    def _rounds(self, words: list[str], size: np.ndarray, keys: np.ndarray, width: int, dropout: float, done: list | None = None) -> list[bytes]:
         points, pair, rank, merged, ids = self.pairs
         n, none = len(words), 1 << 40
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -161,6 +172,8 @@ class Vocabulary:
             active, at = active[go], at[go]
             if not len(active):
                 break
+            if done is not None:
+                done.append((active, start[active, at] << 42 | start[active, at + 1] << 21 | start[active, at + 2]))
             symbol[active, at] = into[active, at]
             # what stands behind the merge moves up by one
             move = columns[None, :] > at[:, None]
@@ -199,38 +212,50 @@ def vocabulary(model: str = MODEL) -> Vocabulary:
 
 
 class Segmenter:
-    """Segmentations of words that a task has made, by variant, as bytes of 32-bit ids."""
+    """Plain segmentations of words that a task has made, as bytes of 32-bit ids, and the places of their merges, as bytes of 64-bit numbers."""
 
     def __init__(self, model: str, seed: int, dropout: float):
         self.vocab, self.seed, self.dropout = vocabulary(model), seed, dropout
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
-    def key(self, word: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * VARIANTS + variant)
-
-    def learn(self, variant: int, found: set[str]) -> None:
+    def learn(self, found: dict[str, int]) -> None:
         """Sees to it that the words are kept. Two generations: what is used again outlives the words that fill a generation up."""
-        young, old = self.kept[variant], self.old[variant]
-        if len(young) + len(found) > KEPT:
-            young, old = self.kept[variant], self.old[variant] = {}, young
-        new = [w for w in found - young.keys() if (known := old.get(w)) is None or young.update({w: known})]
-        keys = np.fromiter((self.key(w, variant) for w in new), np.uint64, len(new))
-        young.update(zip(new, self.vocab.segment_all(new, keys, self.dropout), strict=True))
-
-    def encode(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
-        blocks, wanted = [], [set() for _ in range(VARIANTS)]
-        for text, doc in zip(texts, docs, strict=True):
-            found = words(text)
-            own = [found[i : i + BLOCK] for i in range(0, len(found), BLOCK)]
-            which = _variants(doc, len(own), self.seed)
-            for v, block in zip(which, own, strict=True):
-                wanted[v].update(block)
-            blocks.append((which, own))
-        for v, found in enumerate(wanted):
-            self.learn(v, found)
-        get = [kept.__getitem__ for kept in self.kept]
-        return [np.frombuffer(b"".join([b"".join(map(get[v], block)) for v, block in zip(which, own, strict=True)]), np.int32) for which, own in blocks]
+        if len(self.kept) + len(found) > KEPT:
+            self.kept, self.old = {}, self.kept
+        young, old = self.kept, self.old
+        new = [w for w in found if w not in young and ((known := old.get(w)) is None or young.update({w: known}))]
+        paths: list = [b""] * len(new)
+        ids = self.vocab.segment_all(new, np.zeros(len(new), np.uint64), 0.0, paths)
+        young.update(zip(new, zip(ids, paths, strict=True), strict=True))
+
+    def encode(self, texts: list[str], docs: list[int], copies: list[int] | None = None) -> list[np.ndarray]:
+        found = [words(t) for t in texts]
+        flat = [w for own in found for w in own]
+        if not flat:
+            return [np.empty(0, np.int32) for _ in texts]
+        order: dict[str, int] = {}
+        which = np.array([order.setdefault(w, len(order)) for w in flat])
+        self.learn(order)
+        keys = np.concatenate([_keys(doc, copy, len(own), self.seed) for doc, copy, own in zip(docs, copies or [0] * len(docs), found, strict=True)])
+        out = [self.kept[w][0] for w in flat]
+        anew = np.flatnonzero(self._skipped([self.kept[w][1] for w in order], which, keys))
+        again = self.vocab.segment_all([flat[i] for i in anew], keys[anew], self.dropout)
+        for i, ids in zip(anew.tolist(), again, strict=True):
+            out[i] = ids
+        edge = np.r_[0, np.cumsum([len(own) for own in found])].tolist()
+        return [np.frombuffer(b"".join(out[a:b]), np.int32) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+    def _skipped(self, paths: list[bytes], which: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Of each occurrence, whether one of its word's plain merges is skipped."""
+        places = np.frombuffer(b"".join(paths), np.uint64)
+        size = np.array([len(x) // 8 for x in paths])
+        n = size[which]
+        first = np.cumsum(size) - size
+        at = np.arange(n.sum()) + np.repeat(first[which] - (np.cumsum(n) - n), n)
+        h = (np.repeat(keys, n) ^ places[at]) * np.uint64(_M1)
+        skip = ((h ^ h >> np.uint64(29)) * np.uint64(_M2) >> np.uint64(48)) < int(self.dropout * 65536)
+        return np.bincount(np.repeat(np.arange(len(which)), n)[skip], minlength=len(which)) > 0
 
 
 @lru_cache(maxsize=2)
@@ -238,10 +263,12 @@ def segmenter(model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) ->
     return Segmenter(model, seed, dropout)
 
 
-def _variants(doc: int, n: int, seed: int) -> list[int]:
-    """Variant of each block of a document's words."""
-    at = (np.arange(n, dtype=np.uint64) + np.uint64((doc * 0x632BE59BD9B4E019 + seed) & _64)) * np.uint64(_M1)
-    return (((at ^ at >> np.uint64(32)) * np.uint64(_M2) >> np.uint64(60)) & np.uint64(VARIANTS - 1)).tolist()
+def _keys(doc: int, copy: int, n: int, seed: int) -> np.ndarray:
+    """Key of each of a document's n words."""
+    base = xxhash.xxh3_64_intdigest(f"{seed}:{doc}:{copy}".encode())
+    at = np.uint64(base) + np.arange(n, dtype=np.uint64) * np.uint64(_M1)
+    at = (at ^ at >> np.uint64(30)) * np.uint64(_M2)
+    return at ^ at >> np.uint64(31)
 
 
 def words(text: str) -> list[str]:
@@ -254,7 +281,7 @@ def words(text: str) -> list[str]:
 
 
 def encode(text: str, doc: int = 0, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> np.ndarray:
-    """Ids of a text; doc is the key from which its words' variants come."""
+    """Ids of a text; doc is part of the key of each of its words."""
     return segmenter(model, seed, dropout).encode([text], [doc])[0]
 
 
@@ -279,10 +306,10 @@ def _encoder(model: str, seed: int, dropout: float):
     def encode_batches(batches: Iterator[pa.RecordBatch], own: Segmenter) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column(0)
-            keys, texts = docs.to_pylist(), batch.column(1).to_pylist()
+            keys, texts, copies = docs.to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             ids = []
             for part in _slices(texts, CHARS):
-                ids += own.encode([t or "" for t in texts[part]], [d or 0 for d in keys[part]])
+                ids += own.encode([t or "" for t in texts[part]], [d or 0 for d in keys[part]], copies[part])
             ids = [None if t is None else x for x, t in zip(ids, texts, strict=True)]
             size = np.array([0 if x is None else len(x) for x in ids], np.int64)
             null = np.array([x is None for x in ids], bool)
@@ -294,13 +321,20 @@ def _encoder(model: str, seed: int, dropout: float):
 
 
 def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
-    """doc_id, n_tokens and ids of each row of docs (doc_id, text).
+    """doc_id, n_tokens and ids of each row of docs (doc_id, text, and copy if repeated rows are to differ: see numbered).
 
     A null text has null ids and no tokens, an empty one an empty array. Rows with
-    equal doc_id and text get equal ids; a null doc_id counts as 0. An empty table
+    equal doc_id, text and copy get equal ids; a null doc_id counts as 0. An empty table
     gives no rows; other columns are ignored.
     """
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(_encoder(model, seed, dropout), "doc_id long, n_tokens long, ids array<int>")
+    copy = "cast(copy as long)" if "copy" in docs.columns else "0L"
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text", f"coalesce({copy}, 0L) as copy").mapInArrow(_encoder(model, seed, dropout), "doc_id long, n_tokens long, ids array<int>")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and copy: 0, 1, ... among rows that are equal in both."""
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1))
+    return docs.select("doc_id", "text", (F.row_number().over(same) - 1).alias("copy"))
 
 
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
@@ -319,8 +353,8 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return encoded(docs)
+    """Token ids of each document; the copies that the mix makes of one get draws of their own."""
+    return encoded(numbered(docs))
 
 
 QUERIES = {"op6_merge_dropout": op6_merge_dropout}

@@ -326,6 +326,35 @@ def test_matrix_agenda_is_the_agenda():
         assert got == [vocab.segment(w, int(k), dropout) for w, k in zip(words, keys, strict=True)]
 
 
+def test_every_occurrence_has_its_own_draws():
+    vocab, word, n = merge_dropout.vocabulary(), "internationalization", 3000
+    seen = set()
+    for doc in (1, 2):
+        text = " ".join([word] * n)
+        ids = merge_dropout.encode(text, doc).tolist()
+        assert vocab.decode(ids) == text
+        keys = merge_dropout._keys(doc, 0, n, merge_dropout.SEED).tolist()
+        own = [tuple(vocab.segment("\u2581" + word, k, merge_dropout.DROPOUT)) for k in keys]
+        assert ids == [i for x in own for i in x]  # the scalar agenda with the same keys
+        seen |= set(own)
+    assert len(seen) > 20
+    path = []
+    plain = vocab.segment("\u2581a", 0, 0.0, path)
+    keys = merge_dropout._keys(3, 0, n, merge_dropout.SEED).tolist()
+    same = sum(vocab.segment("\u2581a", k, merge_dropout.DROPOUT) == plain for k in keys) / n
+    assert len(path) == 1 and abs(same - 0.9) < 0.02
+    assert merge_dropout._keys(1, 0, n, 7).tolist() != merge_dropout._keys(1, 1, n, 7).tolist()
+    assert merge_dropout.encode(text, 1).tolist() != merge_dropout.encode(text, 2).tolist()
+
+
+def test_copies_of_a_document_differ(spark):
+    text = "several words of one document that the mix takes more than once " * 5
+    df = spark.createDataFrame([(1, text)] * 3 + [(2, text)], "doc_id long, text string")
+    rows = merge_dropout.stage(spark, df, "").collect()
+    assert len(rows) == 4 and len({tuple(r.ids) for r in rows}) == 4
+    assert {merge_dropout.vocabulary().decode(r.ids) for r in rows} == {text}
+
+
 # ---- fertility, licenses, audio ---------------------------------------------
 
 
