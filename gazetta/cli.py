@@ -1,18 +1,24 @@
-"""Command line: `python -m gazetta.cli ingest|index|search ...` over a store."""
+"""Command line: `python -m gazetta.cli --store STORE run|ingest|index|search|record ...`."""
 
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazetta.functions.normalize import safe_name
+from gazetta.functions.serialize import bodies
+from gazetta.operators.details import detail
 from gazetta.operators.search import response, search
 from gazetta.options import Options, configure_logging, parse_sources
-from gazetta.plans.ingest import index, ingest, reset
+from gazetta.plans.ingest import index, ingest, reset, run
 from gazetta.schemas import export_ddl
-from gazetta.sources import json_feed
+from gazetta.sources import html_feed, json_feed
+from gazetta.sources.assets import files
+from gazetta.sources.registry import SOURCES
 from gazetta.store import Store
 
 
@@ -21,10 +27,15 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--store", required=True)
     p.add_argument("--log-level", default="INFO")
     sub = p.add_subparsers(dest="command", required=True)
-    run = sub.add_parser("ingest")
+    live = sub.add_parser("run", help="asks the sources themselves")
+    live.add_argument("--sources", type=parse_sources, default=())
+    run = sub.add_parser("ingest", help="takes what has landed")
     run.add_argument("--sources", type=lambda x: parse_sources(x, distinct=False), default=())
-    run.add_argument("--landed", required=True, help="folder of landed JSON payloads")
-    run.add_argument("--files", required=True, help="folder of loaded files, named by circular id")
+    run.add_argument("--feed", choices=("json", "html"), default="json")
+    run.add_argument("--landed", required=True, help="folder of landed JSON payloads, or of listing pages page-N.html")
+    run.add_argument("--details", help="of the HTML feed: JSON lines of detail_url, html and error")
+    run.add_argument("--dates", default="0001-01-01,9999-12-31", help="of the HTML feed: closed range of dates")
+    run.add_argument("--files", required=True, help="folder of loaded files, named by circular id made safe")
     ix = sub.add_parser("index")
     ix.add_argument("--batch-size", type=int, default=50)
     ix.add_argument("--record-id")
@@ -33,11 +44,24 @@ def parser() -> argparse.ArgumentParser:
     find = sub.add_parser("search")
     find.add_argument("query")
     find.add_argument("--sources", type=parse_sources, default=None)
+    one = sub.add_parser("record")
+    one.add_argument("id")
     schema = sub.add_parser("schema")
     schema.add_argument("path")
     return p
 
 
+def landed(spark: SparkSession, args: argparse.Namespace, now: Column) -> DataFrame:
+    """Detected items of the files that have landed."""
+    if args.feed == "json":
+        return json_feed.detected(json_feed.landed(spark, args.landed), now).withColumn("pos", F.xxhash64("circular_id"))
+    pages = json_feed.landed(spark, args.landed).select(F.lit("run").alias("run"), F.regexp_extract("file", r"(\d+)\.html$", 1).cast("int").alias("page"), F.col("payload").alias("html"))
+    start, end = (F.lit(x.strip()).cast("date") for x in args.dates.split(","))
+    rows = html_feed.listing_rows(html_feed.read_pages(pages), start, end)
+    details = spark.read.schema("detail_url string, html string, error string").json(args.details or [])
+    return html_feed.detected(rows, details, now).drop("run").withColumn("pos", F.xxhash64("source_item_key"))
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     configure_logging(args.log_level)
@@ -46,19 +70,29 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = SparkSession.builder.appName("gazetta").getOrCreate()
     store, now = Store(spark, args.store), F.current_timestamp()
+    if args.command == "run":
+        wanted = SOURCES.enabled(args.sources)
+        return int(len(run(store, wanted, date.today(), now, Options.from_env())) < len(wanted))
     if args.command == "ingest":
-        from gazetta.sources.assets import files
-
-        found = json_feed.detected(json_feed.landed(spark, args.landed), now).withColumn("pos", F.monotonically_increasing_id())
+        found = landed(spark, args, now)
         found = found.where(F.col("source").isin(list(args.sources))) if args.sources else found
-        loaded = files(spark, args.files).select(F.lit(json_feed.SOURCE).alias("source"), F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1).alias("circular_id"), "content", F.lit(None).cast("string").alias("error"))
+        loaded = files(spark, args.files).select(F.regexp_extract("file_path", r"([^/]+)\.[^./]+$", 1).alias("name"), "content")
+        loaded = found.select("source", "circular_id", safe_name("circular_id").alias("name")).distinct().join(loaded, "name").select("source", "circular_id", "content", F.lit(None).cast("string").alias("error"))
         ingest(store, found, loaded, date.today(), now, Options.from_env())
     elif args.command == "index":
-        if args.delete_index or args.reset_db or args.reset_bloom or args.setup_index:
+        if args.setup_index:
+            store.ensure()
+            return 0
+        if args.delete_index or args.reset_db or args.reset_bloom:
             reset(store, index_state=args.reset_db, bloom=args.reset_bloom, chunks=args.delete_index)
             return 0
-        _, failed = index(store, now, Options(batch_size=args.batch_size), record_id=args.record_id)
+        _, failed = index(store, now, replace(Options.from_env(), batch_size=args.batch_size), record_id=args.record_id)
         return int(bool(args.record_id and failed))
+    elif args.command == "record":
+        found = bodies(detail(store.table("circulars"), store.table("circular_assets"), args.id), F.lit(args.id).alias("id"), "circular", "assets").collect()  # one row or none
+        for row in found:
+            print(row["body"])
+        return int(not found)
     else:
         hits = search(store.table("chunks"), args.query, {"source": list(args.sources) if args.sources is not None else None})
         for row in response(hits, args.query).toJSON().collect():  # at most 40

@@ -118,6 +118,11 @@ def exchange_list(x: Column | str) -> Column:
     return F.transform(F.filter(F.split(_c(x), ","), lambda y: y != ""), lambda y: F.upper(strip(y)))
 
 
+def shown_date(x: Column | str) -> Column:
+    """Like 05 Mar 2026."""
+    return F.date_format(_c(x), "dd MMM yyyy")
+
+
 def lakh_grouped(x: Column | str) -> Column:
     """A whole number with the last three digits, then pairs, set apart."""
     digits = F.abs(_c(x)).cast("string")

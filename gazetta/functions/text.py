@@ -7,19 +7,31 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gazetta.functions.arrays import gathered, once
 from gazetta.functions.normalize import _c, one_space
 
 #: A token is a run of letters, digits and underscores of the lower-cased text.
 TOKEN = r"[\p{L}\p{N}_]+"
+#: Windows of a stretch of a text that are cut from it together.
+STRETCH = 32
 
 
 def chunk_texts(text: Column | str, size: int = 1200, overlap: int = 200) -> Column:
     """Overlapping windows of a text with white space made single, in order, without blank ones."""
     if size <= 0 or overlap < 0 or overlap >= size:
         raise ValueError("chunk size must be positive, and the overlap from 0 to less than it")
-    body = one_space(F.coalesce(_c(text), F.lit("")))
-    starts = F.sequence(F.lit(0), F.greatest(F.length(body) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.filter(F.transform(starts, lambda p: F.trim(F.substring(body, p + 1, F.lit(size)))), lambda x: x != "")
+
+    def cut(body: Column) -> Column:
+        # cutting reads a text from its beginning, so long ones are cut into stretches of many windows first
+        step, last = size - overlap, F.greatest(F.length(body) - overlap - 1, F.lit(0))
+
+        def windows(p: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.least(last - p, F.lit((STRETCH - 1) * step)), F.lit(step))
+            return once(F.substring(body, p + 1, F.lit(STRETCH * step + overlap)), lambda part: F.transform(starts, lambda q: F.trim(F.substring(part, q + 1, F.lit(size)))))
+
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), last, F.lit(STRETCH * step)), windows)), lambda x: x != "")
+
+    return once(one_space(F.coalesce(_c(text), F.lit(""))), cut)
 
 
 def chunk_id(key: Column | str, index: Column | str, text: Column | str) -> Column:
@@ -42,38 +54,40 @@ def tokens(text: Column | str) -> Column:
 
 def _hits(lowered: Column, word: str) -> Column:
     """Starts of a word's non-overlapping places."""
-    pieces = F.split(lowered, re.escape(word), -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("found"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        at = acc["at"] + F.length(piece)
-        return F.struct((at + len(word)).alias("at"), F.concat(acc["found"], F.array(at)).alias("found"))
+    def found(pieces: Column) -> Column:
+        def step(at: Column, piece: Column) -> tuple[Column, Column, Column]:
+            here = at + F.length(piece)
+            return here + len(word), here, F.lit(True)
 
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), zero, step, lambda acc: acc["found"])
+        return gathered(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(0), step, "int")
+
+    return once(F.split(lowered, re.escape(word), -1), found)
 
 
 def snippets(text: Column | str, query: str, window: int = 120, gap: int = 80, most: int = 3) -> Column:
     """Stretches of a text around the words of a query, joined where they are near, without their first and last token."""
-    body = one_space(F.coalesce(_c(text), F.lit("")))
-    low = F.lower(body)
     words = [w.lower() for w in query_words(query)]
     if not words:
         return F.expr("cast(array() as array<string>)")
-    starts = F.array_sort(F.concat(*[_hits(low, w) for w in words]))
-    spans = F.transform(starts, lambda i: F.struct(F.greatest(F.lit(0), i - window // 2).alias("l"), F.least(F.length(body), i + window // 2).alias("r")))
 
     def merge(acc: Column, s: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         joined = F.array(F.struct(last["l"].alias("l"), F.greatest(last["r"], s["r"]).alias("r")))
-        return F.when(s["l"] <= last["r"] + gap, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.concat(acc, F.array(s)))
+        # what comes after the last stretch wanted can't be joined to one that is
+        return F.when(F.size(acc) > most, acc).when(s["l"] <= last["r"] + gap, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)).otherwise(F.concat(acc, F.array(s)))
+
+    def cut(body: Column) -> Column:
+        starts = F.array_sort(once(F.lower(body), lambda low: F.concat(*[_hits(low, w) for w in words])))
+        spans = F.transform(starts, lambda i: F.struct(F.greatest(F.lit(0), i - window // 2).alias("l"), F.least(F.length(body), i + window // 2).alias("r")))
+        merged = F.aggregate(spans, F.expr("cast(array() as array<struct<l:int,r:int>>)"), merge)
+        return F.transform(F.slice(merged, 1, most), lambda s: _trimmed(F.substring(body, s["l"] + 1, s["r"] - s["l"])))
 
-    merged = F.aggregate(F.array_sort(spans), F.expr("cast(array() as array<struct<l:int,r:int>>)"), merge)
+    return once(one_space(F.coalesce(_c(text), F.lit(""))), cut)
 
-    def cut(s: Column) -> Column:
-        piece = F.substring(body, s["l"] + 1, s["r"] - s["l"])
-        return F.concat(F.lit("..."), F.trim(F.regexp_replace(F.regexp_replace(piece, r"^\S*\s", ""), r"\s\S*$", "")), F.lit("..."))
 
-    return F.transform(F.slice(merged, 1, most), cut)
+def _trimmed(piece: Column) -> Column:
+    return F.concat(F.lit("..."), F.trim(F.regexp_replace(F.regexp_replace(piece, r"^\S*\s", ""), r"\s\S*$", "")), F.lit("..."))
 
 
 def highlighted(text: Column | str, query: str) -> Column:
@@ -93,9 +107,11 @@ def escaped(text: Column | str) -> Column:
 
 def preview(text: Column | str, query: str, escape: bool = False) -> Column:
     """Highlighted snippets, or the first 200 characters; nothing of an empty text."""
+
+    def shown(text: Column) -> Column:
+        start = F.concat(F.left(text, F.lit(200)), F.when(F.length(text) > 200, "...").otherwise(""))
+        body = once(snippets(text, query), lambda found: F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: highlighted(x, query)), " ... ")).otherwise(highlighted(start, query)))
+        return F.when(text == "", "").otherwise(F.concat(F.lit("<div class='preview'>"), body, F.lit("</div>")))
+
     text = F.coalesce(_c(text), F.lit(""))
-    text = escaped(text) if escape else text
-    found = snippets(text, query)
-    start = F.concat(F.left(text, F.lit(200)), F.when(F.length(text) > 200, "...").otherwise(""))
-    body = F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: highlighted(x, query)), " ... ")).otherwise(highlighted(start, query))
-    return F.when(text == "", "").otherwise(F.concat(F.lit("<div class='preview'>"), body, F.lit("</div>")))
+    return once(escaped(text) if escape else text, shown)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetta.functions.normalize import chunk_key
-from gazetta.functions.text import chunk_id, chunk_texts, tokens
+from gazetta.functions.text import TOKEN, chunk_id, chunk_texts, tokens
 from gazetta.schemas import CHUNKS
 
 
@@ -32,8 +32,18 @@ def decoded(source: DataFrame) -> DataFrame:
 
 
 def upserted(chunks: DataFrame, new: DataFrame) -> DataFrame:
-    """chunks with the new ones in place of those with their ids; of new ones with one id the last index counts."""
-    return chunks.join(new.select("chunk_id"), "chunk_id", "left_anti").select(chunks.columns).unionByName(new.dropDuplicates(["chunk_id"]).select(chunks.columns))
+    """chunks with the new ones in place of those with their ids; of new ones with one id the last index counts.
+
+    Of rows with one id and one index (or, without an index, one id) the largest
+    counts, so that replays agree. Old and new rows meet in one grouping, so each
+    side is read once.
+    """
+    at = F.col("chunk_index") if "chunk_index" in new.columns else F.lit(0)
+    rest = [c for c in chunks.columns if c != "chunk_id"]
+    place = lambda is_new: F.struct(F.lit(is_new).alias("new"), (at if is_new else F.lit(0)).alias("at"), *rest).alias("row")
+    both = chunks.select("chunk_id", place(False)).unionByName(new.select("chunk_id", place(True)))
+    last = both.groupBy("chunk_id").agg(F.max("row").alias("row"))
+    return last.select("chunk_id", *[F.col(f"row.{c}").alias(c) for c in rest]).select(chunks.columns)
 
 
 def stale(chunks: DataFrame, records: DataFrame, active: DataFrame) -> DataFrame:
@@ -65,28 +75,50 @@ def batch_counts(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if("ok").alias("processed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
+def upsert_counts(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row, success, failed and complete: how many of the new ids are stored with their text, how many aren't, and whether all are."""
+    own = new.select("chunk_id", F.xxhash64("chunk_text").alias("_text")).groupBy("chunk_id").agg(F.collect_set("_text").alias("_texts"))
+    there = stored.select("chunk_id", F.xxhash64("chunk_text").alias("_stored"))
+    ok = F.coalesce(F.array_contains("_texts", F.col("_stored")), F.lit(False))
+    counts = own.join(there, "chunk_id", "left").agg(F.count_if(ok).alias("success"), F.count_if(~ok).alias("failed"))
+    return counts.select("success", "failed", (F.col("failed") == 0).alias("complete"))
+
+
 @dataclass(frozen=True)
 class Inverted:
-    """postings (term, chunk_id, tf), lengths (chunk_id, dl), and terms (term, df)."""
+    """postings (term, chunk_id, tf, dl: tokens of the chunk), terms (term, df), and totals, one row (n: chunks, average: their tokens)."""
 
     postings: DataFrame
-    lengths: DataFrame
     terms: DataFrame
+    totals: DataFrame
 
 
 def inverted(chunks: DataFrame) -> Inverted:
+    """Tables over chunks; each is computed from them, so save and load them for use again and again."""
     found = chunks.select("chunk_id", tokens("chunk_text").alias("tokens"))
-    postings = found.select("chunk_id", F.explode("tokens").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
-    lengths = found.select("chunk_id", F.size("tokens").cast("bigint").alias("dl"))
-    return Inverted(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")))
+    counted = found.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+    postings = counted.select("term", "chunk_id", "tf", F.col("dl").cast("bigint").alias("dl"))
+    return Inverted(postings, term_statistics(postings), totals(chunks))
+
+
+def term_statistics(postings: DataFrame) -> DataFrame:
+    """term, df (chunks) and cf (places)."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def totals(chunks: DataFrame) -> DataFrame:
+    """Number of chunks and their average number of tokens, of which those without any count too."""
+    return chunks.select(F.regexp_count(F.lower("chunk_text"), F.lit(TOKEN)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("average"))
 
 
-def save_inverted(index: Inverted, path: str, partitions: int = 200) -> None:
-    """Postings in partitions by term and sorted, so that a query reads few row groups."""
-    index.postings.repartition(partitions, "term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    index.terms.sort("term").write.mode("overwrite").parquet(f"{path}/terms")
+def save_inverted(index: Inverted, path: str, partitions: int = 200) -> Inverted:
+    """Writes the index and gives it as read. Postings are dealt by range and sorted, so that a query reads few row groups and a frequent term is many tasks' work."""
+    spark = index.postings.sparkSession
+    index.postings.repartitionByRange(partitions, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    term_statistics(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+    return load_inverted(spark, path)
 
 
-def load_inverted(spark, path: str) -> Inverted:
-    return Inverted(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "lengths", "terms")])
+def load_inverted(spark: SparkSession, path: str) -> Inverted:
+    return Inverted(*[spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "totals")])

@@ -158,6 +158,66 @@ def as_records(state: DataFrame) -> DataFrame:
     return state.withColumns({c: or_empty(c) for c in ("source_item_key", "department", "url", "pdf_url")})
 
 
-def pending(state: DataFrame, limit: int = 100) -> DataFrame:
-    """The oldest fetched rows that aren't indexed."""
-    return state.where("status = 'FETCHED' AND es_indexed_at IS NULL").orderBy("issue_date", "created_at", "id").limit(limit)
+def pending(state: DataFrame, limit: int = 100, attempts: DataFrame | None = None) -> DataFrame:
+    """The oldest fetched rows that aren't indexed; with attempts (id, attempts) those that were tried less often come first, so that what can't be indexed keeps no place."""
+    own = state.where("status = 'FETCHED' AND es_indexed_at IS NULL")
+    if attempts is None:
+        return own.orderBy("issue_date", "created_at", "id").limit(limit)
+    own = own.join(attempts.select("id", F.col("attempts").alias("_tried")), "id", "left")
+    return own.orderBy(F.coalesce("_tried", F.lit(0)), "issue_date", "created_at", "id").limit(limit).select(state.columns)
+
+
+def attempted(attempts: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """attempts after outcomes (id, ok, skipped_reason): those that went well leave, the others count one more."""
+    own = outcomes.select("id", F.col("ok").alias("_ok"), F.col("skipped_reason").alias("_reason"))
+    both = attempts.join(own, "id", "full_outer").where("_ok IS NULL OR NOT _ok")
+    hit = F.col("_ok").isNotNull()
+    return both.select(
+        "id", (F.coalesce("attempts", F.lit(0)) + F.when(hit, 1).otherwise(0)).alias("attempts"), F.when(hit, F.col("_reason")).otherwise(F.col("skipped_reason")).alias("skipped_reason"),
+        F.when(hit, now).otherwise(F.col("attempted_at")).alias("attempted_at"),
+    )
+
+
+def issued_between(state: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Rows issued in the closed range of dates."""
+    return state.where(F.col("issue_date").between(start, end))
+
+
+def by_id(state: DataFrame, record_id: str) -> DataFrame:
+    return state.where(F.col("id") == record_id)
+
+
+def by_circular_id(state: DataFrame, circular_id: str, source: str | None = None) -> DataFrame:
+    """Rows with a circular id, in either case, of one source or of all."""
+    own = state.where(F.upper("circular_id") == circular_id.upper())
+    return own if source is None else own.where(F.upper("source") == source.upper())
+
+
+def exists(state: DataFrame, source: str, circular_id: str) -> bool:
+    return bool(by_circular_id(state, circular_id, source).limit(1).count())
+
+
+def sources_with(state: DataFrame, condition: Column) -> DataFrame:
+    """source, and whether it has a row for which the condition holds."""
+    return state.groupBy("source").agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("found"))
+
+
+def newest(state: DataFrame) -> DataFrame:
+    """The row of each source that was issued last; of several the one updated, then created last."""
+    rest = [c for c in state.columns if c not in ("source", "issue_date", "updated_at", "created_at", "id")]
+    last = state.groupBy("source").agg(F.max_by(F.struct(*rest, "issue_date", "updated_at", "created_at", "id"), F.struct("issue_date", "updated_at", "created_at", "id")).alias("r"))
+    return last.select("source", "r.*").select(state.columns)
+
+
+def source_counts(records: DataFrame, sources: list[str]) -> DataFrame:
+    """Records of each named source, 0 where there is none; no names, no rows."""
+    spark = records.sparkSession
+    names = spark.createDataFrame([(x.upper(),) for x in dict.fromkeys(sources)], "source string")
+    counts = records.select(F.upper("source").alias("source")).where(F.col("source").isin([x.upper() for x in sources])).groupBy("source").agg(F.count("*").alias("n"))
+    return names.join(F.broadcast(counts), "source", "left").select("source", F.coalesce("n", F.lit(0).cast("long")).alias("n"))  # a row for each name
+
+
+def total_counts(records: DataFrame, sources: list[str]) -> DataFrame:
+    """Records of each named source that has any, and of all of them in a row without a source."""
+    own = records.select(F.upper("source").alias("source")).where(F.col("source").isin([x.upper() for x in sources]))
+    return own.rollup("source").agg(F.count("*").alias("n"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,10 @@ from gazetta.operators import assets as A
 from gazetta.operators import index as X
 from gazetta.operators import state as S
 from gazetta.options import Options
+from gazetta.session import fresh_path, removed
 from gazetta.sources.assets import Extractor, expanded, files, land, plain_pages, texts
+from gazetta.sources.live import content_of, downloads
+from gazetta.sources.registry import Source
 from gazetta.store import Store
 
 log = logging.getLogger(__name__)
@@ -62,25 +66,33 @@ def ingest(store: Store, detected: DataFrame, downloads: DataFrame, today: date,
 
 
 def index(store: Store, now: Column, options: Options | None = None, extractor: Extractor = plain_pages, record_id: str | None = None) -> tuple[int, int]:
-    """Indexes the oldest pending records, or one record anew with what is stale removed; gives how many went well and not."""
+    """Indexes pending records, those tried least first, the oldest of them, or one record anew with what is stale removed; gives how many went well and not.
+
+    What can't be indexed stays pending with its reason in index_attempts. Nothing
+    counts as indexed unless all chunks of the batch are stored.
+    """
     options = options or Options()
-    state, chunks = store.table("circulars"), store.table("chunks")
+    state, chunks, attempts = store.table("circulars"), store.table("chunks"), store.table("index_attempts")
     assets = A.backfilled(store.table("circular_assets"), state, now)
-    records = state.where(F.col("id") == record_id) if record_id else S.pending(state, options.batch_size)
+    records = state.where(F.col("id") == record_id) if record_id else S.pending(state, options.batch_size, attempts)
     records = records.persist()
     if record_id and not records.count():
         raise ValueError(f"no record {record_id}")
     own = A.indexable(assets.join(records.select(F.col("id").alias("circular_id")), "circular_id", "left_semi").select(assets.columns))
     content = files(store.spark, options.storage_path).select("file_path", "content")
-    read = texts(own.join(content, "file_path", "left").select(F.col("id").alias("asset_id"), "content"), extractor)
-    new = X.documents(records, own, read, now, options.chunk_size, options.chunk_overlap).persist()
-    told = X.index_outcomes(records, new, own).persist()
+    there = A.existing(own, content)  # what has no file is told in index_attempts
+    read = texts(there.join(content, "file_path").select(F.col("id").alias("asset_id"), "content"), extractor)
+    new = X.documents(records, there, read, now, options.chunk_size, options.chunk_overlap).persist()
+    told = X.index_outcomes(records, new, there).persist()
     done = told.where("ok").select("id")
     kept = X.upserted(chunks, new)
     if record_id:
         kept = X.without(kept, X.stale(kept, done, new))
     out = X.batch_counts(told).first()
-    store.publish({"circulars": S.mark_indexed(state, told.where("ok").select("id", "n"), options.index_name, now), "circular_assets": assets, "chunks": kept})
+    store.publish({"circular_assets": assets, "chunks": kept})
+    if not X.upsert_counts(new, store.table("chunks")).first()["complete"]:
+        raise RuntimeError("not all chunks of the batch are stored; its records stay pending")
+    store.publish({"circulars": S.mark_indexed(state, told.where("ok").select("id", "n"), options.index_name, now), "index_attempts": S.attempted(attempts, told, now)})
     for df in (records, new, told):
         df.unpersist()
     return out["processed"], out["failed"]
@@ -96,3 +108,27 @@ def reset(store: Store, index_state: bool = False, bloom: bool = False, chunks:
     if chunks:
         tables["chunks"] = store.table("chunks").limit(0)
     return store.publish(tables)
+
+
+def run(store: Store, sources: list[Source], today: date, now: Column, options: Options | None = None, get: Callable[[str], bytes] = content_of) -> dict[str, Ingested]:
+    """Ingests one source after another, each from its checkpoint on; what failed in a source is told and doesn't keep the others from running.
+
+    What a source gives is written once before it is used, since reading it again
+    would ask the site again.
+    """
+    options, out = options or Options(), {}
+    for source in sources:
+        known = store.table("scraper_checkpoints").where(F.col("source") == source.name).select("last_run_date").first()
+        start = known[0] if known and known[0] else today - timedelta(days=options.lookback_days)
+        paths = [fresh_path(store.spark, f"{source.name}-{x}") for x in ("items", "files")]
+        try:
+            source.detect(store.spark, start, today, now).write.parquet(paths[0])
+            found = store.spark.read.parquet(paths[0])
+            downloads(found, get).write.parquet(paths[1])
+            out[source.name] = ingest(store, found, store.spark.read.parquet(paths[1]), today, now, options)
+        except Exception:
+            log.exception("source %s failed", source.name)
+        finally:
+            for path in paths:
+                removed(store.spark, path)
+    return out

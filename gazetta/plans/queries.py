@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from gazetta.functions import normalize as N
 from gazetta.functions import text as T
+from gazetta.functions import serialize as J
 from gazetta.operators import assets as A
+from gazetta.operators import details as D
 from gazetta.operators import index as X
 from gazetta.operators import search as Q
 from gazetta.operators import state as S
 from gazetta.schemas import CHECKPOINTS
+from gazetta.session import fresh_path
 from gazetta.sources import html_feed, json_feed
 
 NOW = "TIMESTAMP '2026-04-14 12:00:00'"
@@ -121,16 +124,43 @@ def f13_search_filtered(spark, sf_dir):
 
 @query(f"SELECT * FROM ({search_sql(QUERY)}) ORDER BY score DESC, chunk_id LIMIT 40")
 def t5_search_inverted(spark, sf_dir):
+    """Builds and stores the index, then asks it."""
     own = chunks(spark, sf_dir)
-    return Q.search_index(X.inverted(own), own, QUERY).select("chunk_id", "source", F.round("score", 6).alias("score"))
-
-
-@query()
+    index = X.save_inverted(X.inverted(own), fresh_path(spark, "index"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return Q.search_index(index, own, QUERY).select("chunk_id", "source", F.round("score", 6).alias("score"))
+
+
+def snippet_sql(source: str, key: str, words: str, window: int = 120, gap: int = 80, most: int = 3) -> str:
+    """CTEs up to snip (key, pos, snippet, highlighted), the snippets of the bodies in source (key, body)."""
+    values = ", ".join(f"('{w}')" for w in dict.fromkeys(words.split()))
+    whole = "|".join(dict.fromkeys(words.split()))
+    # neighbours share the character between them, so marks are set for odd and even ones in turn
+    marked = "snippet"
+    for _ in range(2):
+        marked = rf"regexp_replace({marked}, '(^|[^\p{{L}}\p{{N}}_>])({whole})($|[^\p{{L}}\p{{N}}_])', '\1<mark>\2</mark>\3', 'gi')"
+    return rf"""w AS (SELECT {key}, body, word, string_split(lower(body), word) AS parts FROM {source} CROSS JOIN (VALUES {values}) v(word)),
+p AS (SELECT {key}, body, word, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS k FROM w),
+h AS (SELECT {key}, body, sum(length(part) + length(word)) OVER x - length(word) AS place, lead(k) OVER x IS NOT NULL AS hit FROM p WINDOW x AS (PARTITION BY {key}, word ORDER BY k)),
+s AS (SELECT {key}, body, greatest(0, place - {window // 2}) AS l, least(length(body), place + {window // 2}) AS r FROM h WHERE hit),
+g AS (SELECT *, CASE WHEN l <= max(r) OVER (PARTITION BY {key} ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS new FROM s),
+m AS (SELECT *, sum(new) OVER (PARTITION BY {key} ORDER BY l, r ROWS UNBOUNDED PRECEDING) AS n FROM g),
+c AS (SELECT {key}, n, any_value(body) AS body, CAST(min(l) AS BIGINT) AS l, CAST(max(r) AS BIGINT) AS r FROM m WHERE n <= {most} GROUP BY {key}, n),
+cut AS (SELECT {key}, n, '...' || trim(regexp_replace(regexp_replace(substr(body, l + 1, r - l), '^\S*\s', ''), '\s\S*$', '')) || '...' AS snippet FROM c),
+snip AS (SELECT {key}, CAST(n - 1 AS INTEGER) AS pos, snippet, {marked} AS highlighted FROM cut)"""
+
+
+SPACES = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query(rf"""WITH top AS (SELECT * FROM ({search_sql(QUERY)}) ORDER BY score DESC, chunk_id LIMIT 40),
+{chunk_sql(name="every")}, b AS (SELECT chunk_id AS id, chunk_text AS body FROM every JOIN top USING (chunk_id)), {snippet_sql("b", "id", QUERY)}
+SELECT t.chunk_id AS id, t.score, '<div class=''preview''>' || string_agg(highlighted, ' ... ' ORDER BY pos) || '</div>' AS preview FROM top t JOIN snip ON id = t.chunk_id GROUP BY ALL""")
 def t4_preview(spark, sf_dir):
     return Q.response(Q.search(chunks(spark, sf_dir), QUERY), QUERY).select("id", F.round("score", 6).alias("score"), "preview")
 
 
-@query()
+@query(rf"""WITH b AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS body FROM documents),
+{snippet_sql("b", "doc_id", "the reading nicht")} SELECT * FROM snip""")
 def t2_snippets(spark, sf_dir):
     """Snippets of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -140,13 +170,12 @@ def t2_snippets(spark, sf_dir):
 @query(rf"""WITH {chunk_sql()}, t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(chunk_text), '[\p{{L}}\p{{N}}_]+')) AS term FROM chunks)
 SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM t GROUP BY term""")
 def a10_term_statistics(spark, sf_dir):
-    postings = X.inverted(chunks(spark, sf_dir)).postings
-    return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return X.inverted(chunks(spark, sf_dir)).terms
 
 
 @query(rf"""WITH {chunk_sql()} SELECT count(*) AS n, round(avg(len(regexp_extract_all(lower(chunk_text), '[\p{{L}}\p{{N}}_]+'))), 6) AS average FROM chunks""")
 def a10_corpus_statistics(spark, sf_dir):
-    return X.inverted(chunks(spark, sf_dir)).lengths.agg(F.count("*").alias("n"), F.round(F.avg("dl"), 6).alias("average"))
+    return X.inverted(chunks(spark, sf_dir)).totals.select("n", F.round("average", 6).alias("average"))
 
 
 # ---- index ----------------------------------------------------------------
@@ -190,25 +219,18 @@ def p8_index_documents(spark, sf_dir):
 
 # ---- records --------------------------------------------------------------
 
+RANK = "CASE asset_role WHEN 'original_pdf' THEN 0 WHEN 'original_zip' THEN 1 WHEN 'extracted_pdf' THEN 2 ELSE 9 END, coalesce(archive_member_path, ''), file_path"
 LISTED = ["src1", "src2", "nowhere", "src0"]
 
 
 @query("SELECT s.source, count(d.doc_id) AS n FROM (VALUES ('SRC1'), ('SRC2'), ('NOWHERE'), ('SRC0')) s(source) LEFT JOIN documents d ON upper(d.source) = s.source GROUP BY s.source")
 def a1_source_counts(spark, sf_dir):
-    return source_counts(table(spark, sf_dir, "documents"), LISTED)
-
+    return S.source_counts(table(spark, sf_dir, "documents"), LISTED)
 
-def source_counts(records: DataFrame, sources: list[str]) -> DataFrame:
-    """Records of each named source, 0 where there is none; no names, no rows."""
-    spark = records.sparkSession
-    names = spark.createDataFrame([(x.upper(),) for x in dict.fromkeys(sources)], "source string")
-    counts = records.select(F.upper("source").alias("source")).where(F.col("source").isin([x.upper() for x in sources])).groupBy("source").agg(F.count("*").alias("n"))
-    return names.join(F.broadcast(counts), "source", "left").select("source", F.coalesce("n", F.lit(0).cast("long")).alias("n"))  # a row for each name
 
-
-@query("SELECT upper(source) AS source, count(*) AS n FROM documents WHERE source IN ('src1', 'src2') GROUP BY ROLLUP(upper(source))")
+@query("SELECT upper(source) AS source, count(*) AS n FROM documents WHERE upper(source) IN ('SRC1', 'SRC2') GROUP BY ROLLUP(upper(source))")
 def a2_total_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.col("source").isin("src1", "src2")).select(F.upper("source").alias("source")).rollup("source").agg(F.count("*").alias("n"))
+    return S.total_counts(table(spark, sf_dir, "documents"), ["src1", "src2"])
 
 
 @query(f"WITH {CIRCULARS} SELECT id, issue_date FROM circulars WHERE status = 'FETCHED' AND es_indexed_at IS NULL ORDER BY issue_date, created_at, id LIMIT 50")
@@ -220,10 +242,7 @@ def l1_pending(spark, sf_dir):
 @query(f"WITH {CIRCULARS} SELECT source, issue_date, id FROM circulars QUALIFY row_number() OVER (PARTITION BY source ORDER BY issue_date DESC, updated_at DESC, created_at DESC, id DESC) = 1")
 def l2_newest(spark, sf_dir):
     (records,) = adapted(spark, sf_dir, "circulars")
-    return records.groupBy("source").agg(F.max(F.struct("issue_date", "updated_at", "created_at", "id")).alias("r")).select("source", "r.issue_date", "r.id")
-
-
-RANK = "CASE asset_role WHEN 'original_pdf' THEN 0 WHEN 'original_zip' THEN 1 WHEN 'extracted_pdf' THEN 2 ELSE 9 END, coalesce(archive_member_path, ''), file_path"
+    return S.newest(records).select("source", "issue_date", "id")
 
 
 @query(f"WITH {ASSETS} SELECT circular_id, id, asset_role, archive_member_path FROM assets QUALIFY row_number() OVER (PARTITION BY circular_id ORDER BY {RANK}) = 1")
@@ -241,27 +260,41 @@ def l4_records(spark, sf_dir):
 @query(f"WITH {CIRCULARS} SELECT id, issue_date FROM circulars WHERE issue_date BETWEEN DATE '2024-03-24' AND DATE '2024-03-25'")
 def f2_date_range(spark, sf_dir):
     (records,) = adapted(spark, sf_dir, "circulars")
-    return records.where(F.col("issue_date").between("2024-03-24", "2024-03-25")).select("id", "issue_date")
+    return S.issued_between(records, F.lit("2024-03-24").cast("date"), F.lit("2024-03-25").cast("date")).select("id", "issue_date")
 
 
 @query(f"WITH {CIRCULARS} SELECT id, upper(source) AS source, circular_id FROM circulars WHERE upper(circular_id) = 'DOC7'")
 def f5_by_circular_id(spark, sf_dir):
     (records,) = adapted(spark, sf_dir, "circulars")
-    key = N.lookup_key("source", "circular_id")
-    return records.where(key["circular_id"] == "DOC7").select("id", key["source"].alias("source"), "circular_id")
+    return S.by_circular_id(records, "doc7").select("id", N.lookup_key("source", "circular_id")["source"].alias("source"), "circular_id")
 
 
 @query("SELECT DISTINCT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = s.source AND d.doc_id = 7) AS found FROM documents s")
 def f20_exists(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(F.bool_or(F.col("doc_id") == 7).alias("found"))
+    return S.sources_with(table(spark, sf_dir, "documents"), F.col("doc_id") == 7)
 
 
 @query(f"WITH {CIRCULARS}, {ASSETS} SELECT r.id, r.status, count(a.id) AS n_assets, coalesce(sum(a.file_size_bytes), 0)::BIGINT AS bytes FROM circulars r LEFT JOIN assets a ON a.circular_id = r.id GROUP BY r.id, r.status")
 def c3_record_details(spark, sf_dir):
-    records, assets = adapted(spark, sf_dir, "circulars", "assets")
-    own = assets.groupBy(F.col("circular_id").alias("id")).agg(F.count("*").alias("n_assets"), F.sum("file_size_bytes").alias("bytes"))
-    return records.join(own, "id", "left").select("id", "status", F.coalesce("n_assets", F.lit(0).cast("long")).alias("n_assets"), F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
+    return D.summaries(*adapted(spark, sf_dir, "circulars", "assets"))
+
+
+@query(f"""WITH {CIRCULARS}, {ASSETS},
+a AS (SELECT circular_id, string_agg(id || '|' || asset_role || '|' || coalesce(archive_member_path, ''), ',' ORDER BY {RANK}) AS assets FROM assets GROUP BY circular_id)
+SELECT r.id, coalesce(r.source_item_key, '') AS source_item_key, r.es_index_name, coalesce(a.assets, '') AS assets FROM circulars r LEFT JOIN a ON a.circular_id = r.id""")
+def p9_record_with_assets(spark, sf_dir):
+    found = D.details(*adapted(spark, sf_dir, "circulars", "assets"))
+    listed = F.array_join(F.transform("assets", lambda a: F.concat_ws("|", a["id"], a["asset_role"], F.coalesce(a["archive_member_path"], F.lit("")))), ",")
+    return found.select("circular.id", "circular.source_item_key", "circular.es_index_name", listed.alias("assets"))
+
+
+@query(f"""WITH {CIRCULARS}, {ASSETS}, top AS (SELECT * FROM ({search_sql(QUERY)}) ORDER BY score DESC, chunk_id LIMIT 40),
+h AS (SELECT chunk_id, score, 'rec-' || split_part(chunk_id, ':', 2) AS id FROM top)
+SELECT h.chunk_id, r.id, r.status, (SELECT count(*) FROM assets a WHERE a.circular_id = r.id) AS n_assets FROM h JOIN circulars r USING (id)""")
+def j5_hits_with_records(spark, sf_dir):
+    own = chunks(spark, sf_dir).withColumn("circular_db_id", F.concat(F.lit("rec-"), "doc_id"))
+    found = D.of_hits(Q.search(own, QUERY), *adapted(spark, sf_dir, "circulars", "assets"))
+    return found.select("chunk_id", "circular.id", "circular.status", F.size("assets").cast("long").alias("n_assets"))
 
 
 @query(f"""WITH {ASSETS}, x AS (SELECT *, max(CASE WHEN asset_role = 'extracted_pdf' THEN 1 ELSE 0 END) OVER (PARTITION BY circular_id) AS has FROM assets)
@@ -412,7 +445,7 @@ def j9_cascade(spark, sf_dir):
 # ---- sources --------------------------------------------------------------
 
 @query("""SELECT 'EN/' || doc_id AS file, CASE WHEN doc_id % 2 = 0 THEN upper(lang) || '73' || doc_id ELSE upper(lang) || '73' || doc_id END AS circular_id, upper(lang) AS department,
-  CASE WHEN doc_id % 5 = 0 THEN upper(lang) || '73' || doc_id ELSE 'REF/' || doc_id END AS full_reference, trim(left(text, 30)) AS title, CAST(DATE '2026-01-01' + CAST(doc_id % 28 AS INTEGER) AS DATE) AS issue_date,
+  CASE WHEN doc_id % 5 = 0 THEN upper(lang) || '73' || doc_id ELSE 'REF/' || doc_id END AS full_reference, trim(text) AS title, CAST(DATE '2026-01-01' + CAST(doc_id % 28 AS INTEGER) AS DATE) AS issue_date,
   CASE WHEN doc_id % 3 = 0 THEN 'https://nsearchives.nseindia.com/content/circulars/' || upper(lang) || '73' || doc_id || '.pdf' ELSE 'https://z.example/' || doc_id END AS url
 FROM (SELECT doc_id, lang, replace(text, chr(10), ' ') AS text FROM documents) WHERE doc_id % 4 < 3""")
 def p1_json_items(spark, sf_dir):
@@ -427,7 +460,7 @@ def p1_json_items(spark, sf_dir):
             F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("https://z.example/"), "doc_id")).alias("circFilelink"),
         )
 
-    data = F.array(item(F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(30))), item(F.lit("a second one with its id")))
+    data = F.array(item(F.replace("text", F.lit("\n"), F.lit(" "))), item(F.lit("a second one with its id")))
     landed = docs.select(F.concat(F.lit("EN/"), "doc_id").alias("file"), F.to_json(F.struct(data.alias("data"))).alias("payload"))
     found = json_feed.detected(landed, now(), "file")
     file = F.concat(F.lit("EN/"), F.regexp_extract("circular_id", r"^[A-Z]+73(\d+)$", 1))
@@ -482,9 +515,9 @@ def d4_exact_copies(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(s, '[<>:"/\\|?*]+', '_', 'g'), chr(32) || chr(10) || chr(9)), '\s+', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'document') AS safe,
-  regexp_replace(upper(replace(s, 'ß', 'SS')), '[^A-Z0-9]+', '', 'g') AS match, left(sha1(s), 12) AS short FROM (SELECT doc_id, left(text, 60) AS s FROM documents)""")
+  regexp_replace(upper(replace(s, 'ß', 'SS')), '[^A-Z0-9]+', '', 'g') AS match, left(sha1(s), 12) AS short FROM (SELECT doc_id, text AS s FROM documents)""")
 def x13_names(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("s"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("s"))
     return docs.select("doc_id", N.safe_name("s").alias("safe"), N.match_key("s").alias("match"), F.substring(F.sha1("s"), 1, 12).alias("short"))
 
 
@@ -497,12 +530,102 @@ def x4_failed_ids(spark, sf_dir):
 FROM (SELECT doc_id, [upper(source), upper(lang)] AS list_distinct_in_order FROM documents)""")
 def p11_shown(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    shown = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")), "dd MMM yyyy")
+    shown = N.shown_date(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")))
     return docs.select("doc_id", shown.alias("shown"), F.array_join(N.source_list(F.concat("source", F.lit(", ,"), "lang", F.lit(",,"), "source")), ",").alias("sources"))
 
 
-@query("""SELECT doc_id, to_json({id: 'rec-' || doc_id, source: source, department: lang, note: CAST(NULL AS VARCHAR), n: n_chars}) AS body FROM documents""")
+def iso_sql(column: str) -> str:
+    return f"strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
+
+
+@query(f"""WITH {CIRCULARS} SELECT id, to_json({{id: id, source: source, circular_id: circular_id, source_item_key: source_item_key, full_reference: full_reference, department: department, title: title,
+  issue_date: strftime(issue_date, '%Y-%m-%d'), effective_date: CAST(NULL AS VARCHAR), url: url, pdf_url: pdf_url, status: status, file_path: file_path, content_hash: content_hash, error_message: error_message,
+  detected_at: {iso_sql('detected_at')}, created_at: {iso_sql('created_at')}, updated_at: {iso_sql('updated_at')}, es_indexed_at: {iso_sql('es_indexed_at')}, es_chunk_count: es_chunk_count, es_index_name: es_index_name}}) AS body FROM circulars""")
 def k18_json(spark, sf_dir):
+    (records,) = adapted(spark, sf_dir, "circulars")
+    return records.select("id", J.record_json().alias("body"))
+
+
+@query(f"""WITH {ASSETS} SELECT id, to_json({{id: id, circular_id: circular_id, asset_role: asset_role, file_path: file_path, content_hash: content_hash, mime_type: mime_type, archive_member_path: archive_member_path,
+  file_size_bytes: file_size_bytes, created_at: {iso_sql('created_at')}, updated_at: {iso_sql('updated_at')}}}) AS body FROM assets""")
+def k18_asset_json(spark, sf_dir):
+    (assets,) = adapted(spark, sf_dir, "assets")
+    return assets.select("id", J.asset_json().alias("body"))
+
+
+@query(f"""WITH {chunk_sql(800, 200, "new")}, {chunk_sql(1200, 200, "old")}, n AS (SELECT DISTINCT chunk_id FROM new)
+SELECT count(o.chunk_id) AS success, count(*) - count(o.chunk_id) AS failed, count(*) = count(o.chunk_id) AS complete FROM n LEFT JOIN (SELECT DISTINCT chunk_id FROM old) o USING (chunk_id)""")
+def a9_upsert_counts(spark, sf_dir):
+    """Chunks of one size against a store with those of another, of which only short texts' are there."""
+    return X.upsert_counts(chunks(spark, sf_dir, 800), chunks(spark, sf_dir).dropDuplicates(["chunk_id"]))
+
+
+@query(f"""WITH {CIRCULARS}, {chunk_sql()}, n AS (SELECT 'rec-' || doc_id AS id, count(*) AS n FROM chunks GROUP BY doc_id), a AS (SELECT DISTINCT 'rec-' || doc_id AS id FROM labels)
+SELECT r.id, coalesce(n.n, 0) AS n, n.n IS NOT NULL AS ok, CASE WHEN n.n IS NULL THEN CASE WHEN a.id IS NULL THEN 'no indexable asset' ELSE 'no text' END END AS skipped_reason
+FROM circulars r LEFT JOIN (SELECT n.* FROM n JOIN a USING (id)) n ON n.id = r.id LEFT JOIN a ON a.id = r.id""")
+def a8_index_outcomes(spark, sf_dir):
+    (records,) = adapted(spark, sf_dir, "circulars")
+    assets = table(spark, sf_dir, "labels").select(F.concat(F.lit("rec-"), "doc_id").alias("circular_id")).distinct()
+    own = chunks(spark, sf_dir).select(F.concat(F.lit("rec-"), "doc_id").alias("circular_db_id")).join(assets.withColumnRenamed("circular_id", "circular_db_id"), "circular_db_id", "left_semi")
+    return X.index_outcomes(records, own, assets)
+
+
+# ---- feeds' details -------------------------------------------------------
+
+DETAIL = """detail AS (SELECT doc_id, 'https://www.sebi.gov.in/a/b/' || doc_id || '.html' AS detail_url,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE '<p>' || replace(replace(coalesce(text, ''), '<', ' '), '&', ' ') || '</p>' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE '<SPAN>Circular No.: </SPAN> <span> HO/' || doc_id || '  &amp;' || lang || ' </span>' END
+    || CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 2 = 0 THEN '<iframe width=1 src=''../../web/?file=https://d.example/' || doc_id || '.pdf''>' ELSE '<iframe src="/web/?x=1&file=https%3A%2F%2Fe.example%2F' || doc_id || '.pdf">' END END AS html FROM documents)"""
+
+
+@query(f"""WITH {DETAIL}, p AS (SELECT *, html IS NOT NULL AND doc_id % 5 > 0 AS has_no, html IS NOT NULL AND doc_id % 11 > 0 AS has_pdf FROM detail)
+SELECT doc_id, CASE WHEN has_no AND has_pdf THEN 'HO/' || doc_id || ' &' || lang ELSE 'SEBI_PENDING::' || doc_id || '.HTML' END AS circular_id,
+  CASE WHEN has_no AND has_pdf THEN CASE WHEN doc_id % 2 = 0 THEN 'https://d.example/' ELSE 'https://e.example/' END || doc_id || '.pdf' ELSE '' END AS pdf_url,
+  CASE WHEN html IS NULL THEN 'SEBI detail fetch failed: timed out' WHEN NOT (has_no AND has_pdf) THEN '{html_feed.NO_PARTS}' END AS error_message
+FROM p JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""")
+def p5_html_details(spark, sf_dir):
+    """Detail pages with their number and file, without one of them, and those that couldn't be loaded."""
+    own = spark.sql(f"WITH {DETAIL.replace('FROM documents', 'FROM {docs}')} SELECT * FROM detail", docs=table(spark, sf_dir, "documents"))
+    rows = own.select(F.lit("r").alias("run"), "detail_url", F.lit("t").alias("title"), F.lit("2026-03-25").cast("date").alias("issue_date"))
+    found = html_feed.detected(rows, own.select("detail_url", "html", F.lit("timed out").alias("error")), now())
+    return found.select(F.regexp_extract("url", r"(\d+)\.html$", 1).cast("long").alias("doc_id"), "circular_id", "pdf_url", "error_message")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'zip' WHEN doc_id % 4 = 1 THEN 'pdf' WHEN doc_id % 3 = 0 THEN 'zip' ELSE 'pdf' END AS kind,
+  'raw/' || upper(source) || '/2024/' || CASE WHEN doc_id % 2 = 0 THEN '02' ELSE '11' END || '/' || CASE WHEN doc_id % 5 = 0 THEN 'HO_(' || doc_id || ')_x' ELSE 'A_' || doc_id END AS folder,
+  source || ':' || doc_id || ':role:' || CASE WHEN doc_id % 2 = 0 THEN 'm' || doc_id ELSE '/f/' || doc_id END AS key FROM documents""")
+def x15_asset_places(spark, sf_dir):
+    """Kind of a file by its first bytes or address, its circular's folder, and the key of its chunks."""
+    docs, n = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    content = F.when(n == 0, F.unhex(F.lit("504B03041400"))).when(n == 1, F.unhex(F.lit("255044462D31"))).otherwise(F.col("text").cast("binary"))
+    url = F.concat(F.lit("https://x.example/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".ZIP?a=1").otherwise(".pdf"))
+    day = F.when(F.col("doc_id") % 2 == 0, "2024-02-29").otherwise("2024-11-01").cast("date")
+    number = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("HO/("), "doc_id", F.lit(") x."))).otherwise(F.concat(F.lit("A  "), "doc_id"))
+    key = N.chunk_key("source", "doc_id", F.lit("role"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("m"), "doc_id")).otherwise(""), F.concat(F.lit("/f/"), "doc_id"))
+    return docs.select("doc_id", N.download_type(url, content).alias("kind"), N.asset_folder("raw", "source", day, number).alias("folder"), key.alias("key"))
+
+
+@query("""SELECT doc_id // 5 AS run, count(*) * 2 AS total, count(DISTINCT doc_id % 3) FILTER (WHERE doc_id % 4 < 2) + 1 AS supported, count(*) FILTER (WHERE doc_id % 4 >= 2) AS unsupported,
+  count(*) FILTER (WHERE doc_id % 4 < 2) + count(*) - count(DISTINCT doc_id % 3) FILTER (WHERE doc_id % 4 < 2) - 1 AS duplicates FROM documents GROUP BY ALL""")
+def a5_json_counters(spark, sf_dir):
+    """Payloads of five documents, each as an item whose number repeats, and as one that all share."""
     docs = table(spark, sf_dir, "documents")
-    own = F.struct(F.concat(F.lit("rec-"), "doc_id").alias("id"), "source", F.col("lang").alias("department"), F.lit(None).cast("string").alias("note"), F.col("n_chars").alias("n"))
-    return docs.select("doc_id", F.to_json(own, {"ignoreNullFields": "false"}).alias("body"))
+    ext = F.when(F.col("doc_id") % 4 < 2, "pdf").otherwise("docx")
+    item = lambda kind, no: F.struct(kind.alias("fileExt"), F.lit("d").alias("fileDept"), no.alias("circNumber"), F.lit("20260401").alias("cirDate"))
+    two = F.array(item(ext, (F.col("doc_id") % 3).cast("string")), item(F.lit("PDF"), F.lit("all")))
+    own = docs.groupBy(F.expr("doc_id DIV 5").alias("run")).agg(F.flatten(F.collect_list(two)).alias("data")).select("run", F.to_json(F.struct("data")).alias("payload"))
+    return json_feed.counters(own, "run")
+
+
+@query("""WITH r AS (SELECT doc_id // 6 AS run, doc_id % 2 AS u, doc_id FROM documents WHERE doc_id % 28 BETWEEN 4 AND 20)
+SELECT run, count(*) - count(DISTINCT u) AS duplicates, count(DISTINCT u) FILTER (WHERE u = 1) AS failed, bool_or(u = 1) AS incomplete FROM r GROUP BY run""")
+def a6_html_counters(spark, sf_dir):
+    """Listing pages of six documents with two addresses, one of which has no detail page."""
+    docs = table(spark, sf_dir, "documents")
+    day = F.date_format(F.date_add(F.lit("2026-03-01").cast("date"), (F.col("doc_id") % 28).cast("int")), "MMM dd, yyyy")
+    row = F.concat(F.lit("<tr x>\n<td>"), day, F.lit("</td><td><a href='/r"), F.expr("doc_id DIV 6"), F.lit("/"), F.col("doc_id") % 2, F.lit("' title=\"t\">x</a></td></tr>"))
+    pages = docs.groupBy(F.expr("doc_id DIV 6").alias("run")).agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("html")).select("run", F.lit(1).alias("page"), "html")
+    read, start, end = html_feed.read_pages(pages), F.lit("2026-03-05").cast("date"), F.lit("2026-03-21").cast("date")
+    rows = html_feed.listing_rows(read, start, end)
+    good = F.lit("<span>Circular No.: </span><span>N</span><iframe src='/w?file=https://d.example/1.pdf'>")
+    details = rows.where(F.col("detail_url").endswith("/0")).select("detail_url", good.alias("html"), F.lit(None).cast("string").alias("error"))
+    return html_feed.counters(read, start, end, html_feed.detected(rows, details, now()))

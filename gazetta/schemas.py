@@ -34,7 +34,8 @@ CHUNKS = _struct(
     "issue_date date, effective_date date, full_reference string, url string, pdf_url string, file_path string, archive_member_path string, "
     "content_hash string, chunk_index int, chunk_text string, indexed_at timestamp"
 )
-TABLES = {"circulars": CIRCULARS, "circular_assets": ASSETS, "scraper_checkpoints": CHECKPOINTS, "chunks": CHUNKS}
+ATTEMPTS = _struct("id string, attempts int, skipped_reason string, attempted_at timestamp")
+TABLES = {"circulars": CIRCULARS, "circular_assets": ASSETS, "scraper_checkpoints": CHECKPOINTS, "chunks": CHUNKS, "index_attempts": ATTEMPTS}
 
 
 def ddl() -> str:

@@ -86,19 +86,41 @@ def expanded(downloads: DataFrame, root: str) -> DataFrame:
     return original.join(broken.select("circular_id"), "circular_id", "left_anti").unionByName(inner).unionByName(broken)
 
 
+def circular_folder(path: Column | str) -> Column:
+    """The folder of a circular, from the path of one of its files."""
+    return F.regexp_extract(path, r"^(.*)/(?:original|extracted)/[^/]+$", 1)
+
+
 def land(assets: DataFrame) -> None:
-    """Writes the bytes of assets to their paths, on a file system that all executors mount."""
+    """Writes the bytes of assets to their paths, after emptying the folders of their circulars.
 
-    def write(rows: Iterator) -> None:
-        from pathlib import Path
+    Paths are URIs of any file system that Arrow opens, or paths that all executors
+    mount. A file is seen whole or not at all, and a task that runs again writes
+    the same bytes.
+    """
 
+    def place(path: str) -> tuple:
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(path) if path.startswith("/") or "://" in path else (fs.LocalFileSystem(), path)
+
+    def empty(rows: Iterator) -> None:
         for row in rows:
-            path = Path(row.file_path)
-            path.parent.mkdir(parents=True, exist_ok=True)
-            path.with_name(f".{path.name}.part").write_bytes(row.content)
-            path.with_name(f".{path.name}.part").replace(path)
+            where, path = place(row.folder)
+            where.delete_dir_contents(path, missing_dir_ok=True)
 
-    assets.where("file_path IS NOT NULL AND content IS NOT NULL").select("file_path", "content").foreachPartition(write)
+    def write(rows: Iterator) -> None:
+        for row in rows:
+            where, path = place(row.file_path)
+            folder, _, name = path.rpartition("/")
+            where.create_dir(folder, recursive=True)
+            with where.open_output_stream(f"{folder}/.{name}.part") as out:
+                out.write(bytes(row.content))
+            where.move(f"{folder}/.{name}.part", path)
+
+    own = assets.where("file_path IS NOT NULL AND content IS NOT NULL")
+    own.select(circular_folder("file_path").alias("folder")).where("folder != ''").distinct().foreachPartition(empty)
+    own.select("file_path", "content").foreachPartition(write)
 
 
 def plain_pages(content: bytes) -> list[str]:

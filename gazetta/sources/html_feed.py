@@ -11,6 +11,7 @@ from gazetta.functions.normalize import absolute_url, failed_id, first_query_val
 from gazetta.sources.json_feed import first_of
 
 SOURCE, BASE = "SEBI", "https://www.sebi.gov.in"
+PDF_URL = f"{BASE}/legal/circulars/{{}}.pdf"
 LISTING_URL = f"{BASE}/sebiweb/ajax/home/getnewslistinfo.jsp"
 #: Form fields of a listing request, and the markup of rows and details.
 FORM = {
@@ -30,7 +31,8 @@ def listing_form(start: date, end: date, page: int) -> dict[str, str]:
 
 
 def pdf_url(circular_id: Column | str) -> Column:
-    return F.concat(F.lit(f"{BASE}/legal/circulars/"), circular_id, F.lit(".pdf"))
+    before, after = PDF_URL.split("{}")
+    return F.concat(F.lit(before), circular_id, F.lit(after))
 
 
 def raw_rows(markup: Column | str) -> Column:

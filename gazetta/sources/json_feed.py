@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gazetta.functions.normalize import compact_date, json_feed_id, or_else, strip
 
 SOURCE, BASE = "NSE", "https://www.nseindia.com"
+PDF_URL = "https://nsearchives.nseindia.com/content/circulars/{}.pdf"
 SUPPORTED = ("pdf", "zip")
 ITEM = "data array<struct<fileExt:string,fileDept:string,circNumber:string,cirDate:string,circDisplayNo:string,sub:string,circFilelink:string>>"
 
@@ -20,7 +21,8 @@ def listing_url(start: date, end: date) -> str:
 
 
 def pdf_url(circular_id: Column | str) -> Column:
-    return F.concat(F.lit("https://nsearchives.nseindia.com/content/circulars/"), circular_id, F.lit(".pdf"))
+    before, after = PDF_URL.split("{}")
+    return F.concat(F.lit(before), circular_id, F.lit(after))
 
 
 def landed(spark: SparkSession, path: str) -> DataFrame:
@@ -68,5 +70,3 @@ def counters(payloads: DataFrame, key: str = "file") -> DataFrame:
     own = items(payloads, key).select(key, supported("fileExt").alias("ok"), json_feed_id(F.coalesce("fileDept", F.lit("")), F.coalesce("circNumber", F.lit(""))).alias("id"))
     kept = F.count_distinct(F.when(F.col("ok"), F.col("id")))
     return own.groupBy(key).agg(F.count("*").alias("total"), kept.alias("supported"), F.count_if(~F.col("ok")).alias("unsupported"), (F.count_if("ok") - kept).alias("duplicates"))
-
-

@@ -12,16 +12,25 @@ from datetime import date
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gazetta.options import Options
 from gazetta.sources import html_feed, json_feed
+from gazetta.sources.assets import content_or_placeholder
 
 HEADERS = {"User-Agent": "Mozilla/5.0"}
 
 
 def fetch(url: str, data: bytes | None = None, referer: str = "", timeout: int = 30, errors: str = "strict") -> str:
+    return content_of(url, data, referer, timeout).decode("utf-8", errors)
+
+
+def content_of(url: str, data: bytes | None = None, referer: str = "", timeout: int = 30) -> bytes:
     with urlopen(Request(url, data=data, headers=HEADERS | {"Referer": referer}), timeout=timeout) as r:
-        return r.read().decode("utf-8", errors)
+        return r.read()
 
 
 def with_retries(call: Callable[[], str], attempts: int = 3, backoff: float = 2.0, wait: Callable[[float], None] = time.sleep) -> str:
@@ -95,3 +104,49 @@ class FeedSource(DataSource):
 
     def reader(self, schema) -> FeedReader:
         return FeedReader(dict(self.options))
+
+
+def read_live(spark: SparkSession, feed: str, start: date, end: date, timeout: int = 30) -> DataFrame:
+    """feed, page and body of a feed for a closed range of dates."""
+    spark.dataSource.register(FeedSource)
+    return spark.read.format("gazetta_feed").option("feed", feed).option("from", str(start)).option("to", str(end)).option("timeout", timeout).load()
+
+
+def detail_pages(rows: DataFrame, options: Options | None = None, get: Callable[[str], str] | None = None) -> DataFrame:
+    """detail_url, html and error of the detail page of each address in rows (detail_url), tried several times with growing waits."""
+    own = options or Options()
+
+    def load(url: str) -> str:
+        return fetch(url, referer=f"{html_feed.BASE}/", timeout=own.detail_timeout_seconds, errors="ignore")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for url in frame["detail_url"]:
+                try:
+                    out.append((url, with_retries(lambda url=url: (get or load)(url), own.detail_retries, own.detail_backoff_seconds), None))
+                except Exception as e:  # what a page raises belongs to its item
+                    out.append((url, None, str(e)))
+            yield pd.DataFrame(out, columns=["detail_url", "html", "error"])
+
+    return rows.select("detail_url").distinct().mapInPandas(run, "detail_url string, html string, error string")
+
+
+def downloads(found: DataFrame, get: Callable[[str], bytes] = content_of) -> DataFrame:
+    """source, circular_id, content and error of the file of each item in found that was parsed; without an address a text that says so."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                content = error = None
+                try:
+                    content = get(row.pdf_url) if row.pdf_url else None
+                except Exception as e:  # what a file raises belongs to its item
+                    error = str(e)
+                out.append((row.source, row.circular_id, row.pdf_url, row.url, content, error))
+            yield pd.DataFrame(out, columns=["source", "circular_id", "pdf_url", "url", "content", "error"])
+
+    own = found.where("error_message IS NULL").select("source", "circular_id", F.coalesce("pdf_url", F.lit("")).alias("pdf_url"), "url").dropDuplicates(["source", "circular_id"])
+    got = own.mapInPandas(run, "source string, circular_id string, pdf_url string, url string, content binary, error string")
+    return got.select("source", "circular_id", content_or_placeholder("pdf_url", F.col("content"), F.col("circular_id"), "url").alias("content"), "error")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gazetta.schemas import TABLES
@@ -21,25 +23,47 @@ class Store:
         marks = self._fs.globStatus(self._path(f"{self.root}/v=*/_PUBLISHED")) or []
         return max((int(m.getPath().getParent().getName()[2:]) for m in marks), default=0)
 
+    def _folders(self, version: int) -> dict[str, int]:
+        """The version in which each table of a version was written, as its marker says."""
+        if not version:
+            return {}
+        stream = self._fs.open(self._path(f"{self.root}/v={version}/_PUBLISHED"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _write(self, path: str, text: str) -> None:
+        stream = self._fs.create(self._path(path), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+
     def table(self, name: str) -> DataFrame:
-        v = self.version()
-        path = f"{self.root}/v={v}/{name}"
-        if v and self._fs.exists(self._path(path)):
-            return self.spark.read.schema(TABLES[name]).parquet(path)
-        return self.spark.createDataFrame([], TABLES[name])
+        """Rows of the last version; columns that it was written without are null."""
+        at = self._folders(self.version()).get(name)
+        if at is None:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/v={at}/{name}")
 
     def publish(self, tables: dict[str, DataFrame], batch: int | None = None) -> int:
-        """Writes a new version with the given tables, the others as they were. A batch that was published is not again."""
+        """Writes a new version with the given tables; the others stay where they are. A batch that was published is not again."""
         if batch is not None and self._fs.exists(self._path(f"{self.root}/batches/{batch}")):
             return self.version()
         v = self.version() + 1
-        for name in TABLES:
-            tables.get(name, self.table(name)).write.mode("overwrite").parquet(f"{self.root}/v={v}/{name}")
-        self._fs.create(self._path(f"{self.root}/v={v}/_PUBLISHED"), True).close()
+        folders = self._folders(v - 1)
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.root}/v={v}/{name}")
+            folders[name] = v
+        self._write(f"{self.root}/v={v}/_PUBLISHED", json.dumps(folders))
         if batch is not None:
-            self._fs.create(self._path(f"{self.root}/batches/{batch}"), True).close()
+            self._write(f"{self.root}/batches/{batch}", "")
         return v
 
+    def ensure(self) -> int:
+        """A version in which every table is, empty ones where they were not; nothing is written if all are."""
+        missing = set(TABLES) - set(self._folders(self.version()))
+        return self.publish({name: self.spark.createDataFrame([], TABLES[name]) for name in sorted(missing)}) if missing else self.version()
+
     def drop(self, name: str) -> int:
         """A version in which the table is empty."""
         return self.publish({name: self.spark.createDataFrame([], TABLES[name])})
