@@ -1,4 +1,8 @@
-"""Array Column functions that stay linear in the array's length."""
+"""Array Column functions that stay near linear in the array's length.
+
+A fold copies what it carries at every step, so it must not carry an array that
+grows; running values are made from those of stretches of growing length instead.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Items that are gathered before they are put away together.
-BLOCK = 128
+#: Stretches that a level of running values joins, and levels: enough for arrays of WIDE ** LEVELS elements.
+WIDE, LEVELS = 64, 4
 
 
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -16,21 +20,21 @@ def once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def gathered(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column, Column]], kind: str) -> Column:
-    """Array, of elements of the SQL type kind, of what a scan over items finds.
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """Of each element of an array of numbers, it joined with all before it; join is associative, a sum or F.greatest."""
+
+    def longer(level: int) -> Callable[[Column], Column]:
+        # each element holds WIDE ** level elements that end with it
+        def step(x: Column) -> Column:
+            far = WIDE**level
+
+            def joined(v: Column, i: Column) -> Column:
+                back = F.sequence(F.lit(1), F.least(F.lit(WIDE - 1), F.floor(i / far).cast("int")))
+                return F.when(i < far, v).otherwise(F.aggregate(back, v, lambda a, j: join(F.get(x, i - j * far), a)))
 
-    step(state, item) gives the next state, an element, and whether the element
-    is kept. An array grown element by element would be copied for each of them;
-    full blocks are put away instead, so only a block is.
-    """
-    none = lambda t: F.expr(f"cast(array() as {t})")
-    zero = F.struct(start.alias("state"), none(f"array<array<{kind}>>").alias("full"), none(f"array<{kind}>").alias("some"))
+            more = F.transform(x, joined)
+            return F.when(F.size(x) <= far, x).otherwise(once(more, longer(level + 1)) if level + 1 < LEVELS else more)
 
-    def add(acc: Column, item: Column) -> Column:
-        state, new, kept = step(acc["state"], item)
-        full = F.size(acc["some"]) >= BLOCK
-        done = F.when(full & kept, F.concat(acc["full"], F.array(acc["some"]))).otherwise(acc["full"])
-        some = F.when(~kept, acc["some"]).when(full, F.array(new)).otherwise(F.concat(acc["some"], F.array(new)))
-        return F.struct(state.alias("state"), done.alias("full"), some.alias("some"))
+        return step
 
-    return F.aggregate(items, zero, add, lambda acc: F.concat(F.flatten(acc["full"]), acc["some"]))
+    return once(values, longer(0))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gazetta.functions.arrays import gathered, once
+from gazetta.functions.arrays import once, running
 from gazetta.functions.normalize import _c, one_space
 
 #: A token is a run of letters, digits and underscores of the lower-cased text.
@@ -55,14 +55,8 @@ def tokens(text: Column | str) -> Column:
 def _hits(lowered: Column, word: str) -> Column:
     """Starts of a word's non-overlapping places."""
 
-    def found(pieces: Column) -> Column:
-        def step(at: Column, piece: Column) -> tuple[Column, Column, Column]:
-            here = at + F.length(piece)
-            return here + len(word), here, F.lit(True)
-
-        return gathered(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(0), step, "int")
-
-    return once(F.split(lowered, re.escape(word), -1), found)
+    ends = lambda pieces: F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.length(p) + len(word))
+    return F.transform(running(once(F.split(lowered, re.escape(word), -1), ends)), lambda end: end - len(word))
 
 
 def snippets(text: Column | str, query: str, window: int = 120, gap: int = 80, most: int = 3) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gazetta import cli
 from gazetta.functions import serialize
 from gazetta.functions import text as T
-from gazetta.functions.arrays import gathered
+from gazetta.functions.arrays import running
 from gazetta.operators import details as D
 from gazetta.operators import index as X
 from gazetta.operators import search as Q
@@ -144,12 +144,12 @@ def test_stored_index(spark, tmp_path):
     assert own.totals.first().n == 201 and own.postings.where("term = 'the'").count() == 200
 
 
-def test_gathered_and_long_texts(spark):
+def test_running_values_and_long_texts(spark):
     one = spark.range(1)
-    numbers = F.sequence(F.lit(1), F.lit(1000))
-    got = one.select(gathered(numbers, F.lit(0), lambda s, x: (s + x, s + x, x % 3 != 0), "int").alias("x")).first().x
-    assert got == [k * (k + 1) // 2 for k in range(1, 1001) if k % 3]
-    assert one.select(gathered(F.expr("cast(array() as array<int>)"), F.lit(0), lambda s, x: (s, x, F.lit(True)), "int").alias("x")).first().x == []
+    for n in (0, 1, 2, 3, 1000):
+        numbers = F.slice(F.sequence(F.lit(1), F.lit(1000)), 1, n)
+        assert one.select(running(numbers).alias("x")).first().x == [k * (k + 1) // 2 for k in range(1, n + 1)]
+        assert one.select(running(F.transform(numbers, lambda k: k * 7 % 11), F.greatest).alias("x")).first().x == [max(j * 7 % 11 for j in range(1, k + 1)) for k in range(1, n + 1)]
     text = " ".join(f"w{i}é" for i in range(30_000))
     want = [c for p in range(0, max(len(text) - 200 - 1, 0) + 1, 1000) if (c := text[p : p + 1200].strip())]
     df = spark.createDataFrame([(text,), (None,), ("",), ("x" * 1200,), ("x" * 1201,), ("y " * 20_000,)], "t string")
