@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of at most this many ids are broadcast as a semi-join side (8 bytes a
-#: row, so 8 MB of ids); larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+from gazetta.session import fresh_path
 
-#: Temporary folders of local sessions that name none, by application.
-_local: dict[str, str] = {}
+#: Tables of at most this many narrow rows are broadcast (ids: 8 bytes a row, so
+#: 8 MB); larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 #: White space of the word definition `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,31 +25,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir.
-
-    Where it is unset, a temporary folder is set on a local master; a cluster
-    must name one, since its machines share no temporary folder.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        where = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="gazetta-checkpoint-"))
-    return where.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table written to the shared folder.
 
     Cuts the lineage: a lost executor costs the tasks that ran on it, not the
     steps before.
     """
+    return stored(df, name)[0]
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """What written gives, and the path of the table, to remove it when nothing will read it any more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def trimmed() -> None:
+    """Gives memory that a Python worker holds for reuse back to the system: workers outlive their tasks, and hold what their largest one took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function over the batches of a task, with trimmed() behind its last one."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trimmed()
+
+    return task
 
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
@@ -57,9 +71,9 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     ids is a written table; its rows are counted, and it is broadcast up to
     BROADCAST_ROWS only.
     """
-    ids = ids.select(key)
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    else:
-        ids = ids.hint("merge")
-    return df.join(ids, key, how)
+    return df.join(sized(ids.select(key)), key, how)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, a written table of narrow rows, as the side of a join: broadcast up to BROADCAST_ROWS, else sorted and merged."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")

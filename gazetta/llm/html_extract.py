@@ -20,16 +20,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gazetta.llm.common import table
+from gazetta.llm.common import lean, table
 
-#: Fixed values of HTML: elements that break a line of text, that have no content,
-#: whose content is no text of the page, and that end where others begin.
+#: Fixed values of HTML: elements that break a line of text, that have no content, whose content isn't markup and no
+#: text of the page, whose content is markup that isn't shown as text, and that end where others begin.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("audio button canvas datalist head iframe math noembed noframes noscript object script select style svg template textarea title video".split())
+VOID = frozenset("area base br col embed hr img input link meta mprescripts mspace none param source track wbr".split())
+RAW = frozenset("iframe noembed noframes noscript script style textarea title xmp".split())
+UNSEEN = frozenset("annotation annotation-xml audio button canvas datalist object select svg template video".split())
 CLOSED_BY = {
     "p": BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "optgroup", "option"},
     "li": frozenset({"li"}),
@@ -48,6 +49,12 @@ _ATTR = re.compile(r"""(class|id|role|itemprop|data-gold)\s*=\s*("[^"]*"|'[^']*'
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Where the content of an unseen element ends that is never closed: at the next element that breaks a line.
+_BREAK = re.compile(rf"<(?:/?(?:{'|'.join(sorted(BLOCKS - {'option', 'optgroup'}))})|button)(?![\w-])|\Z", re.I)
+_HEAD_END = re.compile(r"</head\b[^>]*>|(?=<(?:body|article|div|p|h1|main)\b)", re.I)
+_CELLS = frozenset("td th tr tbody thead tfoot".split())
+
+
 class Tree:
     """Nodes of a page in page order, parents first."""
 
@@ -61,75 +68,122 @@ class Tree:
         self.gold: list[bool] = [False]
 
     def add(self, tag: str, parent: int, text: str | None = None, attrs: str = "") -> int:
-        words, gold = [], False
+        words, gold = {}, False
         for name, value in _ATTR.findall(attrs) if attrs else ():
             if name == "data-gold":
                 gold = True
             else:
-                words += [w.lower() for w in _PART.findall(value)]
+                words |= dict.fromkeys(w.lower() for w in _PART.findall(value))
         self.tag.append(tag)
         self.parent.append(parent)
         self.text.append(text)
-        self.attrs.append(tuple(words[:12]))
+        self.attrs.append(tuple(words))
         self.gold.append(gold or self.gold[parent])
         return len(self.tag) - 1
 
 
+class _Open:
+    """Elements that are open: their nodes, and the places of each tag and of line-breaking elements among them, so that none is searched for."""
+
+    def __init__(self, tree: Tree) -> None:
+        self.tree, self.nodes = tree, [0]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: int) -> None:
+        tag = self.tree.tag[node]
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            tag = self.tree.tag[self.nodes.pop()]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """What an end tag does: an inline element ends in its own block only."""
+        places = self.places.get(tag)
+        if places and (tag in BLOCKS or not self.blocks or places[-1] > self.blocks[-1]):
+            self.cut(places[-1])
+
+    def begin(self, tag: str) -> None:
+        """Ends the elements that end where tag begins."""
+        k = len(self.blocks) - 1
+        while k >= 0:
+            own = self.tree.tag[self.nodes[self.blocks[k]]]
+            if tag in CLOSED_BY.get(own, ()):
+                self.cut(self.blocks[k])
+                k = len(self.blocks) - 1
+            elif own in _CELLS and tag in _CELLS:
+                k -= 1
+            else:
+                return
+
+
 def parse(page: str) -> Tree:
     """The tree of a page; elements left open end with what they are in."""
-    tree, stack, at = Tree(), [0], 0
+    tree, at = Tree(), 0
+    opened = _Open(tree)
+    matches: dict[str, dict[int, int]] = {}
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m[2] or m[5]
         if tag is None:
             if (c := m[0]) and (c[0] != "<" or len(c) == 1):
-                tree.add("#text", stack[-1], html.unescape(c))
+                tree.add("#text", opened.nodes[-1], html.unescape(c))
             continue
         tag, attrs = tag.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
-            _close(tree, stack, tag)
-            continue
-        if tag in UNSEEN:
-            if not attrs.endswith("/"):
-                at = _skipped(page, at, tag)
-            continue
-        if tag in ("html", "body"):
-            continue
-        while opened := _nearest(tree, stack, tag):
-            _close(tree, stack, opened)
-        if tag in VOID:
-            tree.add(tag, stack[-1], " " if tag == "br" else None)
-        else:
-            stack.append(tree.add(tag, stack[-1], None, attrs))
+            opened.close(tag)
+        elif tag == "head":
+            at = end.end() if (end := _HEAD_END.search(page, at)) else at
+        elif tag in RAW:
+            at = _after(page, at, tag)
+        elif tag in UNSEEN:
+            if tag not in matches:
+                matches[tag] = _matches(page, tag)
+            if not (tag == "svg" and attrs.endswith("/")):  # a slash closes nothing else
+                at = matches[tag].get(m.start()) or _BREAK.search(page, at).start()
+        elif tag not in ("html", "body"):
+            opened.begin(tag)
+            if tag in VOID:
+                tree.add(tag, opened.nodes[-1], " " if tag == "br" else None)
+            else:
+                opened.push(tree.add(tag, opened.nodes[-1], None, attrs))
     return tree
 
 
-def _nearest(tree: Tree, stack: list[int], tag: str) -> str:
-    """The nearest open element that the beginning of tag ends, or nothing."""
-    for node in reversed(stack[1:]):
-        own = tree.tag[node]
-        if tag in CLOSED_BY.get(own, ()):
-            return own
-        if own in BLOCKS and (own not in ("td", "th", "tr", "tbody", "thead", "tfoot") or tag not in ("td", "th", "tr", "tbody", "tfoot")):
-            return ""
-    return ""
+def _after(page: str, at: int, tag: str) -> int:
+    """Where an element ends whose content isn't markup: behind its first end tag."""
+    end = _end_of(tag).search(page, at)
+    return end.end() if end else len(page)
 
 
-def _close(tree: Tree, stack: list[int], tag: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        own = tree.tag[stack[k]]
-        if own == tag:
-            del stack[k:]
-            return
-        if tag not in BLOCKS and own in BLOCKS:
-            return
+@lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?![\w-])[^>]*>", re.I)
 
 
-def _skipped(page: str, at: int, tag: str) -> int:
-    """Where the element ends whose content isn't read; a head ends at the body too."""
-    end = re.compile(rf"</{tag}\b[^>]*>" + (r"|(?=<body\b)|(?=<(?:article|div|p|h1|main)\b)" if tag == "head" else ""), re.I).search(page, at)
-    return end.end() if end else (at if tag in ("head", "button") else len(page))
+@lru_cache(maxsize=64)
+def _either_of(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){tag}(?![\w-])[^>]*>", re.I)
+
+
+def _matches(page: str, tag: str) -> dict[int, int]:
+    """For the start of each element of a tag, the place behind its end tag, nested ones counted; those never closed are left out."""
+    out, starts = {}, []
+    for m in _either_of(tag).finditer(page):
+        if not m[1]:
+            if not (tag == "svg" and m[0].endswith("/>")):
+                starts.append(m.start())
+        elif starts:
+            out[starts.pop()] = m.end()
+    return out
 
 
 def features(tree: Tree) -> list[list[str]]:
@@ -150,10 +204,10 @@ def features(tree: Tree) -> list[list[str]]:
         up = tree.tag[tree.parent[i]] if i else "-"
         own = ["-", f"t={tree.tag[i]}", f"p={up}", f"tp={tree.tag[i]} {up}", f"l={min(3, int(4 * links[i] / chars[i])) if chars[i] else 0}"]
         if tree.tag[i] != "#text":
-            own += [f"a={w}" for w in set(tree.attrs[i])]
+            own += [f"a={w}" for w in tree.attrs[i]]
         if i:
             own.append(f"pl={min(3, int(4 * links[tree.parent[i]] / chars[tree.parent[i]])) if chars[tree.parent[i]] else 0} {tree.tag[i] == 'a'}")
-        own += [f"pa={w}" for w in set(tree.attrs[tree.parent[i]])] if i else []
+        own += [f"pa={w}" for w in tree.attrs[tree.parent[i]]] if i else []
         out.append(own)
     return out
 
@@ -376,12 +430,14 @@ def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or trained()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [extract(x, model) for x in frame["html"]]
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(x) for x in texts]}, columns=["page_id", "url", "text", "n_chars"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [extract(x.as_py(), model) for x in batch.column(2)]
+            sizes = pa.array([len(x) for x in texts], pa.int64())
+            # ids don't leave Arrow, where a null leaves the others as they are
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.selectExpr("cast(page_id as long) as page_id", "url", "html").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import only_ids, table, written
+from gazetta.llm.common import lean, only_ids, stored, table, trimmed, written
+from gazetta.session import removed
 
 #: Words of a shingle, and the similarity from which documents link, as a ratio
 #: of integers so that comparisons are exact.
@@ -48,8 +49,11 @@ WORDS, NUM, DEN = 5, 4, 5
 RADIUS = 1 - NUM / DEN
 #: Pivots of a region in the first round, and the factor from round to round.
 PIVOTS, GROWTH = 1, 16
-#: Groups of packed counts for each shuffle partition, and characters of the documents that are packed together.
-PARTS, CHARS = 4, 6_000_000
+#: Characters of documents for each part of the shingle counts (a word and its space take six or seven, so some
+#: 200,000 shingles, 10 MB while they are counted), and of the documents that are packed together.
+PART_CHARS, CHARS = 1_500_000, 3_000_000
+#: Members of a region that are joined in one task; larger regions are dealt out over several.
+SPLIT = 512
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -95,15 +99,17 @@ def _packer(parts: int, with_sets: bool):
     kind 0: a: sorted 32-bit codes of one part, b: for each the document's index
     in the batch, or _SHARED where several documents of the batch hold it, c (if
     with_sets): how many. kind 1: a: doc_id, b: n and the shingles shared inside
-    the batch, c: set ids, d (if with_sets): the sets.
+    the batch, c: set ids, d (if with_sets): the sets. A batch is named by its place
+    and contents, so that a task that runs again names it alike, or not at all.
     """
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = TaskContext.get().partitionId() << 32
+        place = TaskContext.get().partitionId() << 32
         for frame in _parts_of(frames):
-            at += 1
+            place += 1
             sets = [shingle_set(x) for x in frame["text"]]
             ids = [set_id(x) for x in sets]
+            at = xxhash.xxh3_64_intdigest(b"".join([frame["doc_id"].to_numpy(np.int64).tobytes(), *ids]), seed=place) >> 1
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             first = dict(zip(reversed(ids), range(len(ids) - 1, -1, -1), strict=True))
             own = np.fromiter((first[x] == i for i, x in enumerate(ids)), bool, len(ids))
@@ -125,7 +131,7 @@ def _packer(parts: int, with_sets: bool):
             out.append((at % parts, at, 1, frame["doc_id"].to_numpy(np.int64).tobytes(), about.tobytes(), b"".join(ids), b"".join(x.tobytes() for x in sets) if with_sets else None))
             yield pd.DataFrame(out, columns=["part", "batch", "kind", "a", "b", "c", "d"])
 
-    return pack
+    return lean(pack)
 
 
 def _parts_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +175,19 @@ def _counter(with_sets: bool):
             out.append(pd.DataFrame(rows, columns=frame.columns))
         return pd.concat(out)
 
-    return count
+    return _trimming(count)
+
+
+def _trimming(run):
+    """run, a function of a group, with trimmed() behind it."""
+
+    def group(frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return run(frame)
+        finally:
+            trimmed()
+
+    return group
 
 
 def _gathered(frame: pd.DataFrame):
@@ -193,7 +211,7 @@ def _documents(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _regions(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sets of documents and the shared shingles among the rarest of each, which are its regions."""
+    """Sets of documents and the shared shingles among the rarest of each, which are its regions, with their places and the tasks that each is dealt to, by the documents that hold it."""
     own, said, ids, n, _, sets = _gathered(frame)
     keys = np.frombuffer(own["d"], np.uint64)
     parts = int(own["part"])
@@ -214,8 +232,8 @@ def _regions(frame: pd.DataFrame) -> pd.DataFrame:
         places = np.flatnonzero(rare[first] > 1)
         first = first[places]
         if len(first):
-            out.append((sets[i], int(size), own_keys.tobytes(), own_keys[first].view(np.int64), places))
-    return pd.DataFrame(out, columns=["set_id", "n", "keys", "regions", "places"])
+            out.append((sets[i], int(size), own_keys.tobytes(), own_keys[first].view(np.int64), places, -(-rare[first] // SPLIT)))
+    return pd.DataFrame(out, columns=["set_id", "n", "keys", "regions", "places", "salts"])
 
 
 def _distance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,34 +248,40 @@ def _distance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"x": frame["x"], "y": frame["y"], "d": both, "linked": links}, columns=["x", "y", "d", "linked"])
 
 
+def _n_parts(docs: DataFrame) -> int:
+    """Parts of the shingle counts, in proportion to the texts, so that a part is of like size whatever their number."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return max(1, -(-chars // PART_CHARS))
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), set_id (equal for equal sets) and shared (shingles that other documents hold, or seem to) of each row; written."""
-    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(parts, False), _PACKED)
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(_n_parts(docs), False), _PACKED)
     told = packed.groupBy("part").applyInPandas(_counter(False), _PACKED)
-    return written(told.groupBy("batch").applyInPandas(_documents, "doc_id long, n long, set_id binary, shared long"), "sets")
+    return written(told.groupBy("batch").applyInPandas(_trimming(_documents), "doc_id long, n long, set_id binary, shared long"), "sets")
 
 
 def _with_regions(docs: DataFrame) -> DataFrame:
-    parts = PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _n_parts(docs)
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(parts, True), _PACKED)
     told = packed.groupBy("part").applyInPandas(_counter(True), _PACKED)
     # the row about a batch carries the number of parts from here on
     told = told.withColumn("part", F.when(F.col("kind") == 1, F.lit(parts)).otherwise(F.col("part")))
-    return written(told.groupBy("batch").applyInPandas(_regions, "set_id binary, n long, keys binary, regions array<long>, places array<long>"), "regions")
+    return written(told.groupBy("batch").applyInPandas(_trimming(_regions), "set_id binary, n long, keys binary, regions array<long>, places array<long>, salts array<long>"), "regions")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """x, y, d, linked of distinct pairs, by the exact sets."""
     keys = sets.select("set_id", "keys")
     both = pairs.join(keys.select(F.col("set_id").alias("x"), F.col("keys").alias("keys_x")).hint("merge"), "x")
     both = both.join(keys.select(F.col("set_id").alias("y"), F.col("keys").alias("keys_y")).hint("merge"), "y")
-    return written(both.select("x", "y", "keys_x", "keys_y").mapInPandas(_distance, "x binary, y binary, d double, linked boolean"), name)
+    return both.select("x", "y", "keys_x", "keys_y").mapInPandas(lean(_distance), "x binary, y binary, d double, linked boolean")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and root (the smallest node it can reach) of each node of edges u, v, by large-star and small-star rounds."""
-    edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """node and root (the smallest node it can reach) of each node of edges u, v, by large-star and small-star rounds; and the table's path."""
+    spark = edges.sparkSession
+    edges, path = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -265,45 +289,69 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old = path
+        edges, path = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        removed(spark, old)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now == before or now[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")), path
         before = now
 
 
-def linked_sets(sets: DataFrame) -> DataFrame:
-    """node and root of the sets that link with another set: joins the regions round by round."""
-    members = written(sets.select(F.explode(F.arrays_zip("regions", "places")).alias("at"), "set_id", "n").select(F.col("at.regions").alias("region"), F.col("at.places").alias("place"), "set_id", F.lit(None).cast("double").alias("ring"), F.col("set_id").alias("root"), "n"), "members")
-    edges = roots = None
-    pivots = PIVOTS
+def _dealt(regions: DataFrame) -> DataFrame:
+    """A row of regions (region, salts, ...) for each of the tasks that a region is dealt to."""
+    return regions.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).drop("salts")
+
+
+def linked_sets(sets: DataFrame) -> DataFrame | None:
+    """node and root of the sets that link with another set: joins the regions round by round.
+
+    A region with many members is dealt to several tasks by a hash of the member;
+    what is joined to them, a row or a few for each region, goes to all of these.
+    Tables of a round are removed when the next one has been written.
+    """
+    spark = sets.sparkSession
+    at = sets.select(F.explode(F.arrays_zip("regions", "places", "salts")).alias("at"), "set_id", "n")
+    salt = F.pmod(F.xxhash64("set_id"), F.col("at.salts"))
+    at = at.select(F.col("at.regions").alias("region"), salt.alias("salt"), F.col("at.salts").alias("salts"), F.col("at.places").alias("place"), "set_id", F.lit(None).cast("double").alias("ring"), F.col("set_id").alias("root"), "n")
+    members, members_path = stored(at, "members")
+    edges = roots = roots_path = None
+    pivots, key = PIVOTS, ["region", "salt"]
     while True:
-        open_regions = members.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("region")
-        members = members.join(open_regions.hint("merge"), "region")
+        open_regions = members.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("salts").alias("salts")).where("a != b").select("region", "salts")
+        members = members.join(_dealt(open_regions).hint("merge"), key)
         # one pivot for each of so many parts of a region, by a minimum that is combined before the exchange
         part = F.pmod(F.xxhash64("set_id", F.lit(pivots)), F.lit(pivots))
-        chosen = members.groupBy("region", part.alias("of")).agg(F.min(F.struct("set_id", "ring", "root", "n", "place")).alias("p"))
-        chosen = written(chosen.select("region", F.col("p.set_id").alias("pivot"), F.col("p.ring").alias("p_ring"), F.col("p.root").alias("p_root"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "pivots")
+        chosen = members.groupBy("region", part.alias("of")).agg(F.min(F.struct("set_id", "ring", "root", "n", "place", "salts")).alias("p"))
+        chosen, chosen_path = stored(chosen.select("region", F.col("p.salts").alias("salts"), F.col("p.set_id").alias("pivot"), F.col("p.ring").alias("p_ring"), F.col("p.root").alias("p_root"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "pivots")
         if not chosen.limit(1).count():
+            for path in (members_path, chosen_path):
+                removed(spark, path)
             return roots
-        near = members.join(chosen.hint("merge"), "region").where("root != p_root")
+        near = members.join(_dealt(chosen).hint("merge"), key).where("root != p_root")
         # the region of the rarest common shingle has the whole overlap at or behind it in both sets
         least = NUM * (F.col("n") + F.col("p_n"))
         near = near.where(((NUM + DEN) * (F.col("n") - F.col("place")) >= least) & ((NUM + DEN) * (F.col("p_n") - F.col("p_place")) >= least))
         near = near.where(F.coalesce(F.abs(F.col("ring") - F.col("p_ring")) <= RADIUS + 1e-9, F.lit(True)))
         pairs = near.select(F.greatest("set_id", "pivot").alias("x"), F.least("set_id", "pivot").alias("y")).distinct()
-        measured = _measured(pairs, sets, "distances")
+        measured, measured_path = stored(_measured(pairs, sets), "distances")
         new = measured.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
         if roots is None or new.limit(1).count():
-            roots = written(components(new if edges is None else edges.unionByName(new)), "roots")
+            old = roots_path
+            roots, roots_path = components(new if edges is None else edges.unionByName(new))
+            if old:
+                removed(spark, old)
             edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         # pivots have met every member of their region and leave it
         rest = members.join(chosen.select("region", F.col("pivot").alias("set_id")).hint("merge"), ["region", "set_id"], "left_anti")
         if pivots == 1:
             ring = measured.select(F.col("x").alias("set_id"), F.col("y").alias("pivot"), "d").unionByName(measured.select(F.col("y").alias("set_id"), F.col("x").alias("pivot"), "d"))
-            rest = rest.drop("ring").join(chosen.select("region", "pivot").hint("merge"), "region").join(ring.hint("merge"), ["set_id", "pivot"], "left").withColumn("ring", F.col("d"))
+            rest = rest.drop("ring").join(_dealt(chosen.select("region", "salts", "pivot")).hint("merge"), key).join(ring.hint("merge"), ["set_id", "pivot"], "left").withColumn("ring", F.col("d"))
         rest = rest.drop("root").join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left")
-        members = written(rest.select("region", "set_id", "ring", F.coalesce("root", "set_id").alias("root"), "n", "place"), "members")
+        old = members_path
+        members, members_path = stored(rest.select("region", "salt", "salts", "set_id", "ring", F.coalesce("root", "set_id").alias("root"), "n", "place"), "members")
+        for path in (old, chosen_path, measured_path):
+            removed(spark, path)
         pivots *= GROWTH
 
 

@@ -8,15 +8,17 @@ errors and says where it stands and how many there are.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from gazetta.llm.common import table
+from gazetta.llm.common import lean, table
 
 #: Phrases of the base rules with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -42,6 +44,18 @@ NOTICES = (
     ("creative commons attribution sharealike", "cc-by-sa", 3),
     ("this is free and unencumbered software released into the public domain", "unlicense", 5),
     ("creative commons zero", "cc0", 1),
+    ("creative commons attribution noncommercial", "cc-by-nc", 3),
+    ("creative commons attribution noderivatives", "cc-by-nd", 3),
+    ("gnu free documentation license", "gfdl", 2),
+    ("boost software license", "bsl", 2),
+    ("python software foundation license", "psf", 3),
+    ("european union public licence", "eupl", 2),
+    ("sil open font license", "ofl", 2),
+    ("open database license", "odbl", 2),
+    ("common development and distribution license", "cddl", 3),
+    ("the artistic license", "artistic", 1),
+    ("this software is provided as is without any express or implied warranty", "zlib", 6),
+    ("the software is provided as is without warranty of any kind express or implied", "mit", 6),
 )
 
 #: Lower case for A-Z; what isn't a letter, digit or beyond ASCII separates words.
@@ -59,6 +73,12 @@ def pieces(notice: str, errors: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(edge, edge[1:], strict=False)]
 
 
+def _space(line: str, at: int) -> int:
+    """The next space, or the end."""
+    found = line.find(" ", at)
+    return found if found >= 0 else len(line)
+
+
 class Finder:
     """The automaton of all pieces and the pattern of each notice."""
 
@@ -72,18 +92,23 @@ class Finder:
         for piece, where in own.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
-        self.patterns = [regex.compile(rf"(?e)(?<!\S)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}(?!\S)") for n, _, k in notices]
+        self.patterns = [regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}(?![^ ])") for n, _, k in notices]
         self.exact = [(f" {p} ", label) for p, label in self.phrases.items()]
 
     def windows(self, line: str) -> Iterator[tuple[int, int, int]]:
-        """Notice, start and end of the stretches that a notice around a found piece can cover, joined where they overlap."""
+        """Notice, start and end of the stretches that a notice around a found piece can cover, in whole words, joined where they overlap.
+
+        A search in a stretch takes its end for the text's, so a stretch that ended
+        inside a word would find notices that the text doesn't have.
+        """
         found: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.automaton.iter(line):
             start = end - size + 1
             for i, at in where:
                 notice, _, k = self.notices[i]
-                found.setdefault(i, []).append((max(0, start - at - k), min(len(line), start - at + len(notice) + k)))
+                found.setdefault(i, []).append((max(0, line.rfind(" ", 0, max(0, start - at - k) + 1)), _space(line, start - at + len(notice) + k)))
         for i, spans in found.items():
+            spans.sort()
             a, b = spans[0]
             for c, d in spans[1:]:
                 if c > b:
@@ -124,10 +149,13 @@ def scan(text: str | None, find: Finder) -> tuple:
     line = f" {b' '.join(words).decode()} "
     base = find.places(line)
     found = find.notices_in(line)
-    word_at = lambda at: line.count(" ", 0, at) - 1
+    if not base and not found:
+        return len(words), 0, None, None, "", "", 0.0, ""
+    edges = list(accumulate((len(w) + 1 for w in line[1:-1].split(" ")), initial=1))  # where words start
+    word_at = lambda at: bisect_right(edges, at) - 1
     starts = [word_at(at) for at, _ in base]
     own = {label for _, label in base}
-    spans = ",".join(f"{label}:{word_at(a)}:{word_at(b) + 1}:{errors}" for a, b, label, errors, _ in found)
+    spans = ",".join(f"{label}:{word_at(a)}:{word_at(b - 1) + 1}:{errors}" for a, b, label, errors, _ in found)
     score = 1.0 if base else max((x[4] for x in found), default=0.0)
     return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(own)), ",".join(sorted(own | {x[2] for x in found})), score, spans
 
@@ -141,19 +169,18 @@ def scanned(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and no labels, and score 0. Repeated rows
     get equal results, an empty table gives no rows, other columns are ignored.
     """
-    names = [x.split()[0] for x in _OUT.split(", ")]
+    columns = [x.split() for x in _OUT.split(", ")][1:]
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
-        for frame in frames:
-            rows = [scan(t, find) for t in frame["text"]]
-            out = pd.DataFrame(rows, columns=names[1:])
-            for name in ("first_word", "last_word"):
-                out[name] = out[name].astype("Int64")
-            out.insert(0, "doc_id", frame["doc_id"].to_numpy())
-            yield out
-
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInPandas(run, _OUT)
+        for batch in batches:
+            rows = [scan(t.as_py(), find) for t in batch.column(1)]
+            told = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(columns)]
+            # ids don't leave Arrow, where a null leaves the others as they are
+            yield pa.RecordBatch.from_arrays([batch.column(0), *told], names=["doc_id", *(name for name, _ in columns)])
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(run), _OUT)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Telephony audio columns: mu-law and A-law by lookup table, IMA ADPCM by blocks, resampled PCM.
 
-A media column holds WAV files. Payloads of 8-bit samples are stored as mu-law
-telephone audio and come back byte for byte; the same bytes can be read as A-law
-samples or, 64 at a time, as ADPCM blocks. ADPCM decoding goes through the samples
-of a block in order, for all blocks of many files at once.
+A media column holds WAV files of telephone audio. A payload of whole 64-byte blocks
+is stored byte for byte as mu-law samples, as A-law samples or as ADPCM blocks, which
+of them its checksum says, so that all three stand in one column. Read back, mu-law
+and A-law are expanded by lookup tables; ADPCM decoding goes through the samples of a
+block in order, for all blocks of many files at once. What comes out is resampled and
+kept as a WAV of 16-bit PCM beside the measures taken from it.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gazetta.llm.common import table
+from gazetta.llm.common import lean, table, written
 
 #: Fixed values of the formats: WAV codec numbers, telephone sample rate, and the
 #: ADPCM tables of steps and of index changes by the three low bits of a code.
@@ -33,7 +35,7 @@ STEPS = np.array([
 # fmt: on
 INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 #: Bytes of an ADPCM block, rate of the stored PCM, bytes of payload worked on at a time.
-BLOCK, STORED_RATE, CHUNK = 64, 16_000, 1 << 21
+BLOCK, STORED_RATE, CHUNK = 64, 16_000, 1 << 20
 
 
 def _mulaw() -> np.ndarray:
@@ -52,10 +54,18 @@ def _alaw() -> np.ndarray:
 TABLES = {MULAW: _mulaw(), ALAW: _alaw()}
 
 
-def wav(codec: int, data: bytes, rate: int = RATE, bits: int = 8, align: int = 1) -> bytes:
-    """A WAV file of one channel."""
-    form = struct.pack("<HHIIHHH", codec, 1, rate, rate * align if codec != ADPCM else rate * align // (2 * align - 7), align, bits, 0)
-    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
+def wav(codec: int, data: bytes, rate: int = RATE, align: int | None = None) -> bytes:
+    """A WAV file of one channel; align: bytes of a block."""
+    align = align or {PCM: 2, ADPCM: BLOCK}.get(codec, 1)
+    bits, block, extra = {PCM: 16, ADPCM: 4}.get(codec, 8), 1, b""
+    if codec == ADPCM:
+        block = 2 * align - 7  # samples of a block
+        extra = struct.pack("<HH", 2, block)
+    elif codec != PCM:
+        extra = struct.pack("<H", 0)
+    form = struct.pack("<HHIIHH", codec, 1, rate, rate * align // block, align, bits) + extra
+    fact = b"" if codec == PCM else b"fact" + struct.pack("<II", 4, len(data) // align * block)
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + fact + b"data" + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
@@ -135,8 +145,19 @@ def payload(text: str | None) -> bytes:
     return raw + b"\0" * (max(BLOCK, -(-len(raw) // BLOCK) * BLOCK) - len(raw))
 
 
+#: Codecs of stored payloads by the remainder of their checksum, and their names.
+CODECS = (MULAW, ALAW, ADPCM)
+NAMES = {MULAW: "mulaw", ALAW: "alaw", ADPCM: "adpcm"}
+
+
+def medium(text: str | None) -> bytes:
+    """The stored form of a text's payload."""
+    data = payload(text)
+    return wav(CODECS[zlib.crc32(data) % len(CODECS)], data)
+
+
 def stored(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (mu-law WAV of the payload) of each row of docs (doc_id, text).
+    """doc_id, n_bytes and media (a WAV of the payload) of each row of docs (doc_id, text).
 
     Null and empty texts give 64 zero bytes. Repeated rows give equal media, an
     empty table no rows; other columns are ignored.
@@ -144,11 +165,13 @@ def stored(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            size = [len((t or "").encode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array([wav(MULAW, payload(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+            for part in _chunks([x.as_buffer().size if x.is_valid else 0 for x in batch.column(1)]):
+                some = batch.slice(part.start, part.stop - part.start)
+                texts = some.column(1).to_pylist()
+                size = [len((t or "").encode()) for t in texts]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size, pa.int64()), pa.array(map(medium, texts), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def _chunks(sizes: list[int]) -> Iterator[slice]:
@@ -169,44 +192,57 @@ def _by_file(samples: np.ndarray, edge: np.ndarray) -> list[tuple[int, int]]:
     return [(math.isqrt(int(p) // n), int(z)) for p, n, z in zip(power, np.diff(edge).tolist(), np.add.reduceat(turn, edge[:-1]), strict=True)]
 
 
-def _features(medias: list[bytes]) -> list[tuple]:
+def _decoded(read: list[tuple[int, int, int, bytes]]) -> list[tuple[np.ndarray, int, int]]:
+    """16-bit samples, root mean square and zero crossings of files as read_wav gives them, all of one codec and block size at once."""
+    out: list = [None] * len(read)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (codec, _, align, _) in enumerate(read):
+        kinds.setdefault((codec, align), []).append(i)
+    for (codec, align), rows in kinds.items():
+        data = [read[i][3] for i in rows]
+        raw, edge = np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(d) for d in data])]
+        if codec == ADPCM:
+            blocks = adpcm(raw.reshape(-1, align))
+            samples, edge = blocks.reshape(-1), edge // align * blocks.shape[1]
+        else:
+            samples = TABLES[codec][raw]
+        for i, a, b, told in zip(rows, edge[:-1], edge[1:], _by_file(samples, edge), strict=True):
+            out[i] = samples[a:b], *told
+    return out
+
+
+def _told(medias: list[bytes]) -> list[tuple]:
     """What is told of the files of one chunk, from their stored bytes."""
     read = [read_wav(m) for m in medias]
-    data = [r[3] for r in read]
-    raw = np.frombuffer(b"".join(data), np.uint8)
-    edge = np.r_[0, np.cumsum([len(d) for d in data])]
-    tables = [_by_file(TABLES[codec][raw], edge) for codec in (MULAW, ALAW)]
-    blocks = adpcm(raw.reshape(-1, BLOCK))
-    tables.append(_by_file(blocks.reshape(-1), edge // BLOCK * blocks.shape[1]))
     out = []
-    for i, (m, d) in enumerate(zip(medias, data, strict=True)):
-        pcm = wav(PCM, resample(TABLES[MULAW][np.frombuffer(d, np.uint8)], RATE, STORED_RATE).astype("<i2").tobytes(), STORED_RATE, 16, 2)
-        told = ";".join(f"{name}:{t[i][0]}:{t[i][1]}" for name, t in zip(("mulaw", "alaw", "adpcm"), tables, strict=True))
-        out.append((len(d), hashlib.sha256(d).hexdigest(), zlib.crc32(d[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), told, len(pcm), hashlib.sha256(pcm).hexdigest(), pcm))
+    for m, (codec, rate, _, data), (samples, power, turns) in zip(medias, read, _decoded(read), strict=True):
+        pcm = wav(PCM, resample(samples, rate, STORED_RATE).astype("<i2").tobytes(), STORED_RATE)
+        out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), f"{NAMES[codec]}:{power}:{turns}", len(pcm), hashlib.sha256(pcm).hexdigest(), pcm))
     return out
 
 
-_TOLD = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
+_TOLD = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, pcm binary"
 
 
-def read_back(media: DataFrame, with_pcm: bool = False) -> DataFrame:
-    """Payload, features and, with_pcm, the resampled PCM as a WAV of each row of media (doc_id, n_bytes, media of whole 64-byte blocks)."""
-    names = ["doc_id", "n_bytes", *(x.split()[0] for x in _TOLD.split(", "))] + ["pcm"] * with_pcm
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * with_pcm
+def read_back(media: DataFrame) -> DataFrame:
+    """Payload, feature (codec:root mean square:zero crossings) and resampled PCM as a WAV of each row of media (doc_id, n_bytes, media of whole 64-byte blocks)."""
+    columns = [x.split() for x in _TOLD.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _chunks([x.as_buffer().size for x in batch.column(2)]):
                 some = batch.slice(part.start, part.stop - part.start)
-                rows = _features(some.column(2).to_pylist())
-                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns], names=names)
+                rows = _told(some.column(2).to_pylist())
+                told = [pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(columns)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *told], names=["doc_id", "n_bytes", *(name for name, _ in columns)])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, {_TOLD}" + ", pcm binary" * with_pcm)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(lean(run), f"doc_id long, n_bytes long, {_TOLD}")
 
 
 def op2_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(stored(table(spark, sf_dir, "documents")))
+    """Media are written to the shared folder and read from there; the PCM is a column of the result."""
+    return read_back(written(stored(table(spark, sf_dir, "documents")), "media"))
 
 
 QUERIES = {"op2_media_audio": op2_media_audio}

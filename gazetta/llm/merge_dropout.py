@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import table
+from gazetta.llm.common import lean, table
 
 #: Vocabulary file, chance that a merge is skipped, and the seed of the keyed hash.
 MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 7
-#: Words whose plain segmentation is kept.
-KEPT = 250_000
-#: Characters of the texts whose new words are segmented together.
-CHARS = 2_000_000
+#: Words whose plain segmentation is kept in one of two generations (some 350 bytes each).
+KEPT = 120_000
+#: Characters of the texts whose new words are segmented together, and rows of a matrix of them.
+CHARS, ROWS = 2_000_000, 1 << 13
 
 #: The space mark of the pieces, and what stands for a mark in the text itself: a
 #: surrogate, which no UTF-8 text has.
@@ -119,8 +119,8 @@ class Vocabulary:
         out: list = [None] * len(words)
         for low, high in ((0, 8), (8, 16), (16, 32), (32, 64)):
             rows = np.flatnonzero((size > low) & (size <= high))
-            for at in range(0, len(rows), 1 << 15):
-                part = rows[at : at + (1 << 15)]
+            for at in range(0, len(rows), ROWS):
+                part = rows[at : at + ROWS]
                 done: list[tuple[np.ndarray, np.ndarray]] | None = None if paths is None else []
                 for i, ids in zip(part, self._rounds([words[i] for i in part], size[part], keys[part], high, dropout, done), strict=True):
                     out[i] = ids
@@ -285,12 +285,12 @@ def encode(text: str, doc: int = 0, model: str = MODEL, seed: int = SEED, dropou
     return segmenter(model, seed, dropout).encode([text], [doc])[0]
 
 
-def _slices(texts: list[str | None], chars: int) -> Iterator[slice]:
-    """Slices of texts of about so many characters, one text at least."""
+def _slices(sizes: list[int], most: int) -> Iterator[slice]:
+    """Slices of about so much together, one item at least."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars or i + 1 == len(texts):
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most or i + 1 == len(sizes):
             yield slice(start, i + 1)
             start, size = i + 1, 0
 
@@ -305,19 +305,17 @@ def _encoder(model: str, seed: int, dropout: float):
 
     def encode_batches(batches: Iterator[pa.RecordBatch], own: Segmenter) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.column(0)
-            keys, texts, copies = docs.to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            ids = []
-            for part in _slices(texts, CHARS):
-                ids += own.encode([t or "" for t in texts[part]], [d or 0 for d in keys[part]], copies[part])
-            ids = [None if t is None else x for x, t in zip(ids, texts, strict=True)]
-            size = np.array([0 if x is None else len(x) for x in ids], np.int64)
-            null = np.array([x is None for x in ids], bool)
-            edge = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32), mask=np.r_[null, False])
-            flat = np.concatenate([x for x in ids if x is not None] or [np.empty(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([docs, pa.array(size), pa.ListArray.from_arrays(edge, pa.array(flat))], names=["doc_id", "n_tokens", "ids"])
+            for part in _slices([x.as_buffer().size if x.is_valid else 0 for x in batch.column(1)], CHARS):
+                some = batch.slice(part.start, part.stop - part.start)
+                keys, texts, copies = (some.column(i).to_pylist() for i in range(3))
+                ids = own.encode([t or "" for t in texts], [d or 0 for d in keys], copies)
+                null = np.array([t is None for t in texts], bool)
+                size = np.array([len(x) for x in ids], np.int64)
+                edge = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32), mask=np.r_[null, False])
+                flat = pa.array(np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(size), pa.ListArray.from_arrays(edge, flat)], names=["doc_id", "n_tokens", "ids"])
 
-    return run
+    return lean(run)
 
 
 def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
@@ -340,12 +338,13 @@ def numbered(docs: DataFrame) -> DataFrame:
 def decoded(tokens: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id and text of each row of tokens (doc_id, ids)."""
 
-    def run(frames):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
-        for frame in frames:
-            yield frame.assign(text=[None if x is None else vocab.decode(x) if len(x) else "" for x in frame["ids"]])[["doc_id", "text"]]
+        for batch in batches:
+            texts = [None if not x.is_valid else vocab.decode(x.values.to_numpy()) if len(x) else "" for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazetta.functions.arrays import once, running
 from gazetta.llm.common import table
 
 #: Marks around a turn: before the role, between role and text, after the text.
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Role whose texts are learned.
 LEARNED = "assistant"
+#: Bits in which the conversation that lends its answer differs.
+SEED = 1
 
 
 def _turns(chosen: bool) -> Column:
@@ -32,14 +35,12 @@ def _rendered(turns: Column) -> Column:
 def _mask(turns: Column) -> Column:
     """start:end of the learned texts with their closing mark, comma-joined."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["role"]) + len(OPEN) + len(MIDDLE)
-        end = start + F.length(x["text"]) + len(CLOSE)
-        span = F.concat_ws(":", start, end)
-        return F.struct(end.alias("at"), F.when(x["role"] == LEARNED, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def spans(turns: Column) -> Column:
+        ends = running(F.transform(turns, lambda x: F.length(x["role"]) + F.length(x["text"]) + len(OPEN) + len(MIDDLE) + len(CLOSE)))
+        told = F.zip_with(turns, ends, lambda x, end: F.when(x["role"] == LEARNED, F.concat_ws(":", end - F.length(x["text"]) - len(CLOSE), end)))
+        return F.array_join(F.filter(told, lambda x: x.isNotNull()), ",")
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("spans"))
-    return F.array_join(F.aggregate(turns, start, step, lambda acc: acc["spans"]), ",")
+    return once(turns, spans)
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -52,7 +53,11 @@ def formatted(turns: DataFrame) -> DataFrame:
     pair_id or side are left out; an empty table gives no rows; other columns are
     ignored. A conversation becomes one text, so its turns meet in one row.
     """
-    pairs = turns.where("pair_id IS NOT NULL AND chosen IS NOT NULL").groupBy("pair_id").agg(_turns(True).alias("a"), _turns(False).alias("b"))
+    return paired(turns.where("pair_id IS NOT NULL AND chosen IS NOT NULL").groupBy("pair_id").agg(_turns(True).alias("a"), _turns(False).alias("b")))
+
+
+def paired(pairs: DataFrame) -> DataFrame:
+    """What `formatted` tells of each row of pairs (pair_id, a, b: arrays of role and text)."""
     shorter = F.least(F.size("a"), F.size("b"))
     same = F.zip_with(F.slice("a", F.lit(1), shorter), F.slice("b", F.lit(1), shorter), lambda x, y: x == y)
     pairs = pairs.withColumn("n", F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, shorter.cast("long")).cast("int"))
@@ -61,18 +66,41 @@ def formatted(turns: DataFrame) -> DataFrame:
     return pairs.select("pair_id", "n_chosen", "n_rejected", F.col("n").cast("long").alias("n_common"), _rendered(F.slice("a", F.lit(1), F.col("n"))).alias("prompt"), _rendered(F.col("x")).alias("chosen"), _rendered(F.col("y")).alias("rejected"), _mask(F.col("x")).alias("chosen_mask"), _mask(F.col("y")).alias("rejected_mask"))
 
 
+def corrupted(conversations: DataFrame, seed: int = SEED) -> DataFrame:
+    """pair_id, a and b of each conversation (conv_id, turn, role, text): itself, and with another one's answer.
+
+    The rejected side has the turns before the last learned one, and in its place
+    the last learned text of the conversation whose conv_id differs in the bits of
+    seed; without such a text it ends before. A conversation without a learned turn
+    is both sides. Rows that repeat a turn number follow by role and text; rows
+    without a conv_id are left out.
+    """
+    own = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("pair_id"), F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    last = F.max(F.when((F.col("t.role") == LEARNED) & F.col("t.turn").isNotNull(), F.struct("t.turn", "t.text")))
+    own = own.groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias("turns"), last.alias("last"))
+    others = own.where("last IS NOT NULL").select(F.col("pair_id").bitwiseXOR(seed).alias("pair_id"), F.col("last.text").alias("other"))
+    own = own.join(others.hint("merge"), "pair_id", "left")
+    plain = lambda turns: F.transform(turns, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    answer = F.when(F.col("other").isNull(), F.expr("cast(array() as array<struct<role:string,text:string>>)")).otherwise(F.array(F.struct(F.lit(LEARNED).alias("role"), F.col("other").alias("text"))))
+    before = plain(F.filter("turns", lambda x: x["turn"] < F.col("last.turn")))
+    return own.select("pair_id", plain(F.col("turns")).alias("a"), F.when(F.col("last").isNull(), plain(F.col("turns"))).otherwise(F.concat(before, answer)).alias("b"))
+
+
 def op5_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected one of pair k."""
-    turns = table(spark, sf_dir, "conversations")
-    return formatted(turns.select(F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") % 2 == 0).alias("chosen"), "turn", "role", "text"))
+    """Every conversation is preferred to itself with another one's last answer."""
+    return paired(corrupted(table(spark, sf_dir, "conversations")))
 
 
 ORACLE_SQL = {
     "op5_preference": r"""
-WITH t AS (
-  SELECT conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS is_chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH given AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+final AS (SELECT pair_id, max(turn) AS turn FROM given WHERE role = 'assistant' GROUP BY pair_id),
+answer AS (SELECT pair_id, turn, max(text) AS text FROM given JOIN final USING (pair_id, turn) WHERE role = 'assistant' GROUP BY pair_id, turn),
+sides AS (
+  SELECT true AS is_chosen, pair_id, turn, role, text FROM given
+  UNION ALL SELECT false, g.pair_id, g.turn, g.role, g.text FROM given g LEFT JOIN answer w ON w.pair_id = g.pair_id WHERE w.pair_id IS NULL OR g.turn < w.turn
+  UNION ALL SELECT false, w.pair_id, w.turn, 'assistant', o.text FROM answer w JOIN answer o ON o.pair_id = xor(w.pair_id, 1)),
+t AS (SELECT pair_id, is_chosen, role, text, row_number() OVER (PARTITION BY pair_id, is_chosen ORDER BY turn, role, text) AS k FROM sides),
 c AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.k, b.k) AS k,
          a.role IS NOT NULL AND b.role IS NOT NULL AND a.role = b.role AND a.text = b.text AS same,

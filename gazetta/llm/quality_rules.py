@@ -162,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labelled")
     stats = statistics()
     rows = docs.select("doc_id", "text").dropna(subset=["doc_id"]).join(F.broadcast(known), "doc_id")
-    rows = rows.select("quality", *[c.alias(k) for k, c in stats.items()]).limit(sample)
-    got = rows.toPandas()
+    # of rows that repeat a doc_id one counts, the same in every run: `sample` rows at most
+    rows = rows.select("doc_id", F.struct("quality", *[c.alias(k) for k, c in stats.items()]).alias("row"))
+    got = rows.groupBy("doc_id").agg(F.min("row").alias("row")).orderBy("doc_id").select("row.*").toPandas()
     return fit(got[list(stats)].to_numpy(float), got["quality"].to_numpy(float), list(stats))
 
 

@@ -30,6 +30,33 @@ def test_odd_pages(model, page):
     assert isinstance(html_extract.extract(page, model), str)
 
 
+def around(body):
+    return f"<html><body><article><h1>T</h1><p>Some real text is here.</p>{body}<p>More of the real text follows.</p></article></body></html>"
+
+
+@pytest.mark.parametrize(
+    ("body", "line"),
+    [
+        ("<script src=/x/>var a=1;</script>", ""), ('<script src="/x"/>var a=1;</script>', ""), ("<iframe src=https://e.com/>fallback</iframe>", ""), ("<style/>p{}</style>", ""),
+        ("<canvas>no canvas", ""), ("<object data=x>no plugin", ""), ("<select><option>A<option>B", ""), ("<button>Click me", ""), ("<video>old browser", ""),
+        ("<svg><svg><text>in</text></svg><text>tail</text></svg>", ""), ("<svg/>", ""), ("<p>a <svg><path d=x/></svg> b</p>", "a b"),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.</p>", "Let x=2 be."), ("<button>Click me<p>After it.</p>", "After it."), ("<template><p>hidden</p></template>", ""),
+        ("<div class='a b c d e f g h i j k l sidebar'><p>Related stories to read now.</p></div>", ""),
+    ],
+)
+def test_elements_without_text(model, body, line):
+    assert html_extract.extract(around(body), model) == "\n".join(x for x in ("T", "Some real text is here.", line, "More of the real text follows.") if x)
+
+
+def test_long_pages_take_linear_time(model):
+    import time
+
+    for body in ("<b>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<svg>" * 20_000, "<button>" * 20_000, "<div>" * 20_000, "<p>x" * 20_000, "<table><tr><td>" * 7000):
+        began = time.time()
+        html_extract.extract(f"<article>{body}text</article>", model)
+        assert time.time() - began < 8, body[:10]
+
+
 def test_messages_are_exact(model):
     """Marginals of small trees against sums over all labellings."""
     from itertools import product
@@ -109,6 +136,24 @@ def test_preference_sql(spark, sf_dir):
     want = con.sql(preference.ORACLE_SQL["op5_preference"]).df()[got.columns]
     key = "pair_id"
     assert got.sort_values(key).values.tolist() == want.sort_values(key).values.tolist()
+    assert (got["n_common"] > 0).mean() > 0.9 and (got["chosen"] != got["rejected"]).mean() > 0.8
+
+
+def test_rejected_sides(spark):
+    rows = [
+        (4, 0, "user", "q"), (4, 1, "assistant", "a1"), (4, 2, "user", "r"), (4, 3, "assistant", "a2"), (4, 4, "user", "bye"), (5, 0, "user", "x"), (5, 1, "assistant", "b1"),
+        (8, 0, "user", "only"), (9, 0, None, None), (9, 1, "assistant", None), (12, 1, "assistant", "alone"), (None, 0, "user", "lost"),
+    ]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, pair_id string")
+    got = {r.pair_id: r for r in preference.paired(preference.corrupted(df)).collect()}
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert set(got) == {4, 5, 8, 9, 12}
+    assert got[4].n_common == 3 and got[4].prompt == turn("user", "q") + turn("assistant", "a1") + turn("user", "r")
+    assert got[4].chosen == turn("assistant", "a2") + turn("user", "bye") and got[4].rejected == turn("assistant", "b1")
+    assert got[5].rejected == turn("assistant", "a2") and got[5].n_common == 1
+    assert (got[8].n_common, got[8].chosen, got[8].rejected) == (1, "", "") and got[9].rejected == ""
+    assert (got[12].n_common, got[12].rejected, got[12].chosen) == (0, "", turn("assistant", "alone"))
+    assert preference.corrupted(df.limit(0)).count() == 0
 
 
 def test_pipeline(spark, sf_dir):
