@@ -24,7 +24,7 @@ from gazetta.llm.common import WORD, only_ids, table, written
 WEIGHTS, SHARE, COPIES = (3, 1, 2), 1.5, 2
 SEED = 20_240_601
 #: The knapsack's budget is left at so many times the longest document.
-ROOM = 4
+ROOM = 8
 #: Hash buckets in which the documents of a length are counted, and buckets that are summed up first.
 BUCKETS, TOGETHER = 4096, 64
 
@@ -94,8 +94,7 @@ def fit(budget: int, stock: dict[int, int]) -> dict[int, int]:
     if budget >= total:
         return dict(stock)
     room = ROOM * max(stock)
-    # with less than that to share out, all lengths are the knapsack's
-    out = {size: n * budget // total if budget > room else 0 for size, n in stock.items()}
+    out = {size: n * max(0, budget - room) // total for size, n in stock.items()}
     left = budget - sum(size * n for size, n in out.items())
     for size in sorted(stock, reverse=True):
         if left > room:
