@@ -98,7 +98,7 @@ def fit(budget: int, stock: dict[int, int]) -> dict[int, int]:
     left = budget - sum(size * n for size, n in out.items())
     for size in sorted(stock, reverse=True):
         if left > room:
-            k = min(stock[size] - out[size], (left - room) // size)
+            k = min(stock[size] - out[size], -(-(left - room) // size))  # short ones stay for the knapsack
             out[size] += k
             left -= k * size
     # long lengths first, so that short ones settle what is left
