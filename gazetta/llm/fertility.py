@@ -5,10 +5,10 @@ are bytes because the vocabulary has no piece for them, and how the tokens of a
 are spread: Shannon's entropy, and the collision entropy, -ln of the chance that two
 tokens are alike, whose estimate from pairs of tokens doesn't depend on the length.
 
-Texts outside the bands of their language and script are rejected. Bands are fences
-around the quartiles of all texts of that language and script that pass the word
-rules; fixed bands of the script count as a few more texts, so that they decide alone
-where there are none and count little where there are many.
+Texts outside the bands of their language and script are rejected. A script has wide
+fixed bands. Fences around the quartiles of all texts of a language and script that
+pass the word rules make them narrower; the fixed bands count as a few more texts, so
+that they decide alone where there are none and count little where there are many.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ SCRIPTS = {
 #: Fixed bands by script: least and most characters per piece and per byte-level
 #: token, highest share of byte tokens, least collision entropy.
 BANDS = {
-    "latin": (1.6, 8.0, 1.3, 8.0, 0.10, 2.5),
+    "latin": (1.6, 8.0, 1.3, 8.0, 0.20, 2.5),
     "greek": (0.8, 5.0, 0.5, 4.0, 0.30, 2.0),
     "cyrillic": (1.2, 6.0, 0.5, 4.0, 0.15, 2.5),
     "hebrew": (0.8, 5.0, 0.5, 4.0, 0.30, 2.0),
@@ -63,7 +63,7 @@ BANDS = {
 MEASURES = {"chars_per_piece": (True, True), "chars_per_token": (True, True), "byte_share": (False, True), "collision": (True, False)}
 #: Fences: quartiles and so many times their distance and a margin for each measure;
 #: texts as which the fixed bands count; steps of a unit in which measures are counted.
-FENCE, MARGINS, PRIOR, STEPS = 4.0, {"chars_per_piece": 0.2, "chars_per_token": 0.2, "byte_share": 0.03, "collision": 0.3}, 50, 100
+FENCE, MARGINS, PRIOR, STEPS = 4.0, {"chars_per_piece": 0.2, "chars_per_token": 0.2, "byte_share": 0.06, "collision": 0.3}, 50, 100
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (1 << 64) - 1 | 1 for k in range(64)], np.uint64)
 
@@ -203,7 +203,12 @@ def fitted_bands(rows: DataFrame) -> DataFrame:
         return F.col(f"{m}_q1") - out if side == "least" else F.col(f"{m}_q3") + out
 
     share = F.col("n") / (F.col("n") + PRIOR)
-    bounds = [(share * fence(m, side) + (1 - share) * fixed_band(m, side)).alias(f"{m}_{side}") for m, sides in MEASURES.items() for side, closed in zip(("least", "most"), sides, strict=True) if closed]
+
+    def bound(m: str, side: str) -> Column:
+        fixed = fixed_band(m, side)
+        return (F.greatest if side == "least" else F.least)(fixed, share * fence(m, side) + (1 - share) * fixed)
+
+    bounds = [bound(m, side).alias(f"{m}_{side}") for m, sides in MEASURES.items() for side, closed in zip(("least", "most"), sides, strict=True) if closed]
     return wide.select("lang", "script", "n", *bounds)
 
 

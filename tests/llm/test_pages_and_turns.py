@@ -136,7 +136,7 @@ def test_preference_sql(spark, sf_dir):
     want = con.sql(preference.ORACLE_SQL["op5_preference"]).df()[got.columns]
     key = "pair_id"
     assert got.sort_values(key).values.tolist() == want.sort_values(key).values.tolist()
-    assert (got["n_common"] > 0).mean() > 0.9 and (got["chosen"] != got["rejected"]).mean() > 0.8
+    assert (got["n_common"] > 0).mean() > 0.9 and (got["chosen"] != got["rejected"]).mean() > 0.7
 
 
 def test_rejected_sides(spark):
