@@ -106,14 +106,13 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     n = len(words)
     if n <= width:
         return 0
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    if len(number) == n:
+    # equal windows have equal sums of hashes; where no two sums are equal, there are none
+    key = np.fromiter(map(hash, words), np.int64, n).view(np.uint64)
+    sums = np.sort(sum(key[k : n - width + 1 + k] * _ODD[k % len(_ODD)] for k in range(width)))
+    if (sums[1:] != sums[:-1]).all():
         return 0
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
     key = np.fromiter(map(number.__getitem__, words), np.int64, n)
-    # equal windows have equal sums; where no two sums are equal, there are none
-    sums = sum(key[k : n - width + 1 + k].astype(np.uint64) * _ODD[k % len(_ODD)] for k in range(width))
-    if len(np.unique(sums)) == len(sums):
-        return 0
     span = 1
     while span < width:  # numbers of windows of twice the words, from pairs of numbers
         step = min(span, width - span)
@@ -139,10 +138,12 @@ def script(text: str) -> str:
     if text.isascii():
         return "latin"
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    parts = {name: sum(int(((points >= a) & (points < b)).sum()) for a, b in ranges) for name, ranges in SCRIPTS.items()}
+    own = points[points >= 0xC0]
+    parts = {name: sum(int(((own >= a) & (own < b)).sum()) for a, b in ranges if b > 0xC0) for name, ranges in SCRIPTS.items()}
     # punctuation and signs that scripts share are of none
-    shared = int(((points >= 0x2000) & (points < 0x2100)).sum() + ((points >= 0x3000) & (points < 0x3040)).sum())
-    parts["other"] = int((points >= 0x250).sum()) - shared - sum(int(((points >= max(a, 0x250)) & (points < b)).sum()) for ranges in SCRIPTS.values() for a, b in ranges)
+    shared = int(((own >= 0x2000) & (own < 0x2100)).sum() + ((own >= 0x3000) & (own < 0x3040)).sum())
+    parts["other"] = len(own) - shared - sum(parts.values())
+    parts["latin"] += int((((points | 32) - 0x61) < 26).sum())
     return max(parts, key=parts.get)
 
 
