@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import lean, only_ids, stored, table, trimmed, written
+from gazetta.llm.common import lean, only_ids, sized, stored, table, trimmed, written
 from gazetta.session import removed
 
 #: Words of a shingle, and the similarity from which documents link, as a ratio
@@ -52,6 +52,8 @@ PIVOTS, GROWTH = 1, 16
 #: Characters of documents for each part of the shingle counts (a word and its space take six or seven, so some
 #: 200,000 shingles, 10 MB while they are counted), and of the documents that are packed together.
 PART_CHARS, CHARS = 1_500_000, 3_000_000
+#: Parts for each task that counts them, in mean; so tasks are of like size for any number of texts and any settings.
+TOGETHER = 2
 #: Members of a region that are joined in one task; larger regions are dealt out over several.
 SPLIT = 512
 
@@ -256,15 +258,16 @@ def _n_parts(docs: DataFrame) -> int:
 
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), set_id (equal for equal sets) and shared (shingles that other documents hold, or seem to) of each row; written."""
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(_n_parts(docs), False), _PACKED)
-    told = packed.groupBy("part").applyInPandas(_counter(False), _PACKED)
+    parts = _n_parts(docs)
+    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(parts, False), _PACKED)
+    told = packed.repartition(max(1, parts // TOGETHER), "part").groupBy("part").applyInPandas(_counter(False), _PACKED)
     return written(told.groupBy("batch").applyInPandas(_trimming(_documents), "doc_id long, n long, set_id binary, shared long"), "sets")
 
 
 def _with_regions(docs: DataFrame) -> DataFrame:
     parts = _n_parts(docs)
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(parts, True), _PACKED)
-    told = packed.groupBy("part").applyInPandas(_counter(True), _PACKED)
+    told = packed.repartition(max(1, parts // TOGETHER), "part").groupBy("part").applyInPandas(_counter(True), _PACKED)
     # the row about a batch carries the number of parts from here on
     told = told.withColumn("part", F.when(F.col("kind") == 1, F.lit(parts)).otherwise(F.col("part")))
     return written(told.groupBy("batch").applyInPandas(_trimming(_regions), "set_id binary, n long, keys binary, regions array<long>, places array<long>, salts array<long>"), "regions")
@@ -378,9 +381,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         named = classes.select("set_id", F.col("first_id").alias("component_id"))
     else:
         rooted = classes.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left")
-        rooted = rooted.select("set_id", "first_id", F.coalesce("root", "set_id").alias("root"))
-        smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        named = written(rooted.join(smallest.hint("merge"), "root").select("set_id", "component_id"), "named")
+        rooted = written(rooted.select("set_id", "first_id", F.coalesce("root", "set_id").alias("root")), "rooted")
+        # only sets that link have another name than their own, and a component may hold most of them: they aren't dealt out by root
+        linked = rooted.where("root != set_id").unionByName(rooted.join(sized(roots.select(F.col("root").alias("set_id")).distinct()), "set_id", "left_semi").select(rooted.columns))
+        smallest = written(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "smallest")
+        named = linked.join(sized(smallest), "root").select("set_id", "component_id")
+        named = written(named.unionByName(rooted.join(sized(named.select("set_id")), "set_id", "left_anti").select("set_id", F.col("first_id").alias("component_id"))), "named")
     out = rows.join(named.hint("merge"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.unionByName(_without_id(given))
 
