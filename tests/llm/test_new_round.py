@@ -5,9 +5,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from gazetta.llm import spelling
+from gazetta.llm import packing, spelling, whitening
 
 SCHEMA = "doc_id long, text string, word string, n long, form string, size int, length int, root string"
 
@@ -67,3 +68,142 @@ def test_no_words(spark):
     for rows in ([], [(1, None)], [(1, "one two six one two six"), (2, "")]):
         docs = spark.createDataFrame([(d, t, "w", 1, "f", 2, 3, "r") for d, t in rows], SCHEMA)
         assert spelling.spelling(docs).collect() == []
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, n long, component string, x string"
+
+
+def embedded(rng, n, d):
+    base = [[rng.gauss(0, 0.2 + 0.1 * (j < 3)) + (0.3 if j == 5 else 0) for j in range(d)] for _ in range(n)]
+    rows = [(i, v) for i, v in enumerate(base)]
+    rows += [(n + i, base[0]) for i in range(40)]  # copies
+    rows += [(n + 40, None), (n + 41, [None, *base[1][1:]]), (n + 42, [float("nan"), *base[1][1:]]), (n + 43, [float("inf"), *base[1][1:]]), (None, base[2]), (3, base[3]), (n + 44, [])]
+    return [(i, v, 1, 2, "c", "x") for i, v in rows]
+
+
+@pytest.mark.parametrize("d,k", [(8, 4), (2, 2), (20, 4)])
+def test_whitening(spark, d, k):
+    rows = embedded(random.Random(d), 150, max(d, 6))
+    rows = [(i, v if v is None else v[:d], *rest) for i, v, *rest in rows]
+    got = whitening.whitened(spark.createDataFrame(rows, VECTORS).repartition(3)).collect()
+    fine = [(r[0], np.floor(256 * np.array(r[1], np.float32).astype(float)).astype(int)) for r in rows if r[1] and None not in r[1] and np.isfinite(r[1]).all()]
+    x = np.array(sorted({tuple(v) for _, v in fine}))
+    n, s = len(x), x.sum(0)
+    e, v = np.linalg.eigh(np.cov(x.T, bias=True))
+    e, v = e[::-1], v[:, ::-1]
+    assert len(got) == k * len(fine) and {r.component for r in got} == set(range(1, k + 1))
+    of = {}
+    for i, own in fine:
+        of.setdefault(i, []).append(own)
+    for r in got:
+        own, c = of[r.vec_id][0], r.component - 1
+        assert r.n == n and r.deviation == sum((n * int(a) - int(b)) ** 2 for a, b in zip(own, s, strict=True))
+        assert abs(abs(r.whitened) - abs((own - s / n) @ v[:, c]) / e[c] ** 0.5) < 1e-9
+        assert abs(r.explained / (e[c] / e.sum()) - 1) < 1e-9 and r.identity_error < 1e-9
+    w = {(r.vec_id, r.component): r.whitened for r in got}
+    assert all(w[0, c] == w[150, c] for c in range(1, k + 1))
+
+
+def test_eigenvectors_by_splitting():
+    rng = np.random.default_rng(1)
+    for values in ([1, 2, 3], [1] * 30 + [2] * 34, [0, 0, 0, 0, 1], list(np.logspace(0, -12, 40)), [1] * 6, [5] + [1] * 20, [0]):
+        n = len(values)
+        q = np.linalg.qr(rng.standard_normal((n, n)))[0]
+        a = (q * np.array(values, float)) @ q.T
+        e, v = whitening.eigen(a)
+        assert np.allclose(e, sorted(values, reverse=True), atol=1e-14 * n) and np.allclose(v @ v.T, np.eye(n), atol=1e-13) and np.allclose(v @ a, e[:, None] * v, atol=1e-13)
+        assert np.allclose(whitening.eigen(a, 2)[0], e[:2], atol=1e-14 * n)
+    u = whitening.polar(np.diag([3.0, -1e-9, 2.0]))
+    assert np.allclose(u, np.diag([1, -1, 1]))
+
+
+def test_nothing_to_whiten(spark):
+    for rows in ([], [(1, None)], [(1, [0.5, 0.25]), (2, [0.5, 0.25])], [(1, []), (2, [])], [(1, [float("nan")])]):
+        df = spark.createDataFrame([(i, v, 1, 2, "c", "x") for i, v in rows], VECTORS)
+        assert whitening.whitened(df).collect() == []
+    big = [(1, [3e38, 1.0]), (2, [-3e38, 2.0]), (3, [1e9, 3.0])]
+    got = whitening.whitened(spark.createDataFrame([(i, v, 1, 2, "c", "x") for i, v in big], VECTORS), 1).collect()
+    assert len(got) == 3 and got[0].deviation is None
+    assert whitening.deviations(np.array([[2**61, -(2**61)]]), 3, [1, 2]) == [None] and whitening.deviations(np.array([[10**9, 5]]), 2, [1, 1]) == [(2 * 10**9 - 1) ** 2 + 81]
+    assert whitening.fitted(spark.createDataFrame([(i, v, 1, 2, "c", "x") for i, v in big], VECTORS)).total[1] == 6 * 256
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+ODD = ["It's. a'S, é. x\x1cy  \x85z  İstanbul. ΣΑΣ. <|endoftext|> a.b, c ., don't.\nyes ", "́a ́", "a​. b", "ﬁ. Ⅻ, ½.", "word " * 9000, "x" * 5000, " \n", "", None]
+
+
+@pytest.mark.parametrize("window,parts", [(1 << 21, 1), (20_000, 3)])
+def test_packing(spark, tokenizer, window, parts):
+    rng = random.Random(3)
+    rows = [(i if i else None, " ".join(rng.choice(["alpha", "Beta,", "gamma.", "delta", "é"]) for _ in range(int(rng.paretovariate(0.8) * 20)))[:60_000]) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in enumerate(ODD)]
+    rows.append(rows[5])
+    docs = spark.createDataFrame([(d, t, "w", 1, "f", 2, 3, "r") for d, t in rows], SCHEMA).repartition(parts)
+    got = packing.packed(docs, window=window).collect()
+    of, want = {}, Counter()
+    for d, t in rows:
+        ids = tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
+        of[d] = ids
+        want[d, ids] += 1
+    pieces, sequences = {}, {}
+    for r in got:
+        assert tuple(r.ids) == of[r.doc_id][r.start : r.start + r.length] and r.doc_tokens == len(of[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.cost))
+    for (d, ids), times in want.items():
+        seen = Counter(i for s, n in pieces[d] for i in range(s, s + n))
+        assert set(seen.values()) == {times} and len(seen) == len(ids)
+    short = 0
+    for own in sequences.values():
+        at = 0
+        for offset, n, _ in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 4096 and at & (at - 1) == 0
+        assert abs(own[0][2] - sum(packing.cost(n) for _, n, _ in own)) < 1e-6
+        short += at < 4096
+    assert short <= 12 * parts
+
+
+def test_packing_takes_the_sequence_of_lowest_cost():
+    lengths, rooms = np.array([5, 3, 9, 9, 2, 1, 4]), np.array([12, 12, 12])
+    out, rest = packing.assigned(lengths, rooms)
+    room, costs, at = [12] * 3, [0.0] * 3, {}
+    queue = sorted(range(7), key=lambda i: -lengths[i])
+    for i in queue:
+        left = int(lengths[i])
+        while left and sum(room):
+            able = [s for s in range(3) if room[s] >= left] or [s for s in range(3) if room[s]]
+            to = min(able, key=lambda s: (costs[s], s))
+            n = min(left, room[to])
+            at.setdefault(i, []).append((int(lengths[i]) - left, n, to, 12 - room[to]))
+            room[to], costs[to], left = room[to] - n, costs[to] + packing.cost(n), left - n
+    seen = {}
+    for p, *piece in out:
+        seen.setdefault(p, []).append(tuple(piece))
+    assert seen == at and rest == [] and packing.powers(13) == [8, 4, 1] and packing.powers(0) == []
+    assert packing.assigned(np.array([5, 2]), np.array([4])) == ([(0, 0, 4, 0, 0)], [(0, 4, 1), (1, 0, 2)])
+
+
+def test_long_texts_are_split_at_spaces(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "CHARS", 50)
+    monkeypatch.setattr(packing, "KEPT", 20)
+    own = packing.Encoder()
+    texts = [t or "" for t in ODD[:5]] + ["one two. three, " * 40, "y" * 400 + " z"]
+    for _ in range(2):
+        assert [x.tolist() for x in own.encode(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert own.encode([]) == []
+
+
+def test_nothing_to_pack(spark):
+    assert packing.packed(spark.createDataFrame([], SCHEMA)).collect() == []
+    (row,) = packing.packed(spark.createDataFrame([(None, None, "w", 1, "f", 2, 3, "r")], SCHEMA)).collect()
+    assert (row.doc_id, row.start, row.length, row.doc_tokens, row.offset, row.ids) == (None, 0, 1, 1, 0, [2])
