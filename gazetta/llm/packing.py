@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +38,14 @@ WINDOW = 1 << 21
 #: Vocabulary file, by its name in the package of public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks whose ids a task keeps in one of two generations, and the longest of them in bytes.
-KEPT, LONGEST = 200_000, 48
-#: Characters that are split together.
-CHARS = 1 << 20
+KEPT, LONGEST = 400_000, 48
+#: Bytes of texts that are split together, and plain words that are encoded as one text.
+CHARS, JOINED = 1 << 22, 64
 
-_BREAK = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n])")
+#: A word of plain letters, with a stop or comma behind it, which is a token of its own.
+_WORD = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,]?)")
+#: A word's last token ends with it.
+_WORD_END = "</w>"
 
 
 def cost(length, linear: float = LINEAR, quadratic: float = QUADRATIC):
@@ -50,42 +54,99 @@ def cost(length, linear: float = LINEAR, quadratic: float = QUADRATIC):
 
 
 class Encoder:
-    """Ids of texts by a tokenizer that splits at white space and drops it, so that what stands between white space is encoded once and kept."""
+    """Ids of texts by a tokenizer that splits at white space and drops it, and takes capitals as small letters, so that what stands between white space is encoded once and kept."""
 
     def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        known = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(known.values()) + 1, bool)
+        self.ends[[i for token, i in known.items() if token.endswith(_WORD_END)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with END behind them."""
-        stretches = [(k, raw) for k, text in enumerate(texts) for raw in _stretches(text.encode())]
-        parts: list[list[bytes]] = [[] for _ in texts]
-        for some in _slices([len(raw) for _, raw in stretches]):
-            # a stop behind a plain letter and before white space is a token of its own anyway; apart from it the word is found again
-            chunks = [_BREAK.sub(rb" \1", raw).split() for _, raw in stretches[some]]
-            for (k, _), ids in zip(stretches[some], self._ids(chunks), strict=True):
-                parts[k].append(ids)
-        return [np.r_[np.frombuffer(b"".join(p), np.uint32), np.uint32(END)] for p in parts]
-
-    def _ids(self, lists: list[list[bytes]]) -> list[bytes]:
-        """The ids of each list of chunks."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each of some texts (null: none), with END behind them; long ones are encoded stretch by stretch."""
+        out: list[np.ndarray] = []
+        for part in _slices(_sizes(texts)):
+            some = texts.slice(part.start, part.stop - part.start)
+            if len(some) == 1 and some[0].is_valid and some[0].as_buffer().size > CHARS:
+                stretches = [self._ids(pa.array([raw], pa.string()))[0] for raw in _stretches(some[0].as_buffer().to_pybytes())]
+                out.append(np.concatenate([x[:-1] for x in stretches] + [stretches[-1][-1:]]))
+            else:
+                out += self._ids(some)
+        return out
+
+    def _ids(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.fill_null("")
+        # special tokens are known by their capitals
+        texts = texts if pc.any(pc.match_substring(texts, "<|")).as_py() else pc.ascii_lower(texts)
+        chunks = pc.ascii_split_whitespace(texts)
+        each = chunks.flatten().dictionary_encode()
+        known = self._known(each.dictionary.cast(pa.binary()).to_pylist())
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        which = each.indices.to_numpy()
+        n, first = size[which], np.cumsum(size) - size
+        end = np.cumsum(n)
+        # END stands behind each text's own
+        texts_end = np.r_[0, end][np.asarray(chunks.offsets)] + np.arange(len(texts) + 1)
+        out = np.full(texts_end[-1], END, np.uint32)
+        inside = np.ones(len(out), bool)
+        inside[texts_end[1:] - 1] = False
+        at = np.repeat(first[which] - (end - n), n)
+        at += np.arange(len(at))
+        out[inside] = np.frombuffer(b"".join(known), np.uint32)[at]
+        return [out[a:b] for a, b in zip(texts_end[:-1], texts_end[1:], strict=True)]
+
+    def _known(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct chunks, as bytes."""
         if len(self.young) > KEPT:
             self.young, self.old = {}, self.young
-        young, old, missing = self.young, self.old, []
-        for chunk in set().union(*lists).difference(young):
-            if (ids := old.get(chunk)) is None:
-                missing.append(chunk)
+        out = list(map(self.young.get, chunks))
+        missing = [i for i, x in enumerate(out) if x is None]
+        old, new = self.old.get, []
+        for i in missing:
+            if (x := old(chunks[i])) is None:
+                new.append(chunks[i])
+            else:
+                out[i] = self.young[chunks[i]] = x
+        if new:
+            found = self._encoded(new)
+            for i in missing:
+                if out[i] is None:
+                    out[i] = found[chunks[i]]
+            self.young.update({c: x for c, x in found.items() if len(c) <= LONGEST})
+        return out
+
+    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new chunks. Plain words are encoded many at a time, and cut behind the tokens that end words."""
+        plain, tailed, other = {}, [], [b".", b","]
+        for c in chunks:
+            if (m := _WORD.fullmatch(c)) is None:
+                other.append(c)
+            elif m[2]:
+                tailed.append(m.groups())
             else:
-                young[chunk] = ids
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in missing], add_special_tokens=False)
-        new = dict(zip(missing, [np.array(x.ids, np.uint32).tobytes() for x in found], strict=True))
-        young.update({c: x for c, x in new.items() if len(c) <= LONGEST})
-        known = young.get
-        return [b"".join([x if (x := known(c)) is not None else new[c] for c in chunks]) for chunks in lists]
+                plain[c] = None
+        for stem, _ in tailed:
+            if stem not in plain:
+                plain[stem] = self.young.get(stem)
+        words = [w for w, ids in plain.items() if ids is None]
+        joined = [b" ".join(words[i : i + JOINED]).decode() for i in range(0, len(words), JOINED)]
+        encode = self.tokenizer.encode_batch_fast
+        ids = np.array([i for x in encode(joined, add_special_tokens=False) for i in x.ids], np.uint32)
+        cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        flat = ids.tobytes()
+        plain.update({w: flat[a:b] for w, a, b in zip(words, cut[:-1], cut[1:], strict=True)})
+        rest = dict(zip(other, [np.array(x.ids, np.uint32).tobytes() for x in encode([c.decode() for c in other], add_special_tokens=False)], strict=True))
+        return plain | rest | {stem + tail: plain[stem] + rest[tail] for stem, tail in tailed}
+
+
+def _sizes(texts: pa.Array) -> list[int]:
+    """Bytes of each text."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
 
 
 def _stretches(raw: bytes) -> Iterator[bytes]:
@@ -167,9 +228,9 @@ def packed(docs: DataFrame, with_ids: bool = True, window: int = WINDOW, vocabul
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         own = encoder(vocabulary)
         for batch in batches:
-            for part in _slices([x.as_buffer().size if x.is_valid else 0 for x in batch.column(1)]):
+            for part in _slices(_sizes(batch.column(1))):
                 some = batch.slice(part.start, part.stop - part.start)
-                yield from zip(some.column(0).to_pylist(), own.encode([t or "" for t in some.column(1).to_pylist()]), strict=True)
+                yield from zip(some.column(0).to_pylist(), own.encode(some.column(1)), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
@@ -195,7 +256,7 @@ def packed(docs: DataFrame, with_ids: bool = True, window: int = WINDOW, vocabul
                     c.append(v)
             kept = [(waiting[p][0], waiting[p][1] + begin, n) for p, begin, n in sorted(rest)]
             used = {doc: i for i, doc in enumerate(dict.fromkeys(d for d, _, _ in kept))}
-            documents, waiting = [documents[d] for d in used], [(used[d], s, n) for d, s, n in kept]
+            documents, waiting = [(documents[d][0], documents[d][1].copy()) for d in used], [(used[d], s, n) for d, s, n in kept]
             tokens, sequences = tokens - sum(rooms), sequences + len(rooms)
             return pa.RecordBatch.from_arrays([pa.array(v, _TYPES[c]) for c, v in columns.items()], names=names)
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gazetta.llm import packing, spelling, whitening
@@ -199,8 +200,8 @@ def test_long_texts_are_split_at_spaces(monkeypatch, tokenizer):
     own = packing.Encoder()
     texts = [t or "" for t in ODD[:5]] + ["one two. three, " * 40, "y" * 400 + " z"]
     for _ in range(2):
-        assert [x.tolist() for x in own.encode(texts)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
-    assert own.encode([]) == []
+        assert [x.tolist() for x in own.encode(pa.array(texts))] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert own.encode(pa.array([], pa.string())) == []
 
 
 def test_nothing_to_pack(spark):
