@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from gazetta.functions.normalize import safe_name
 from gazetta.functions.serialize import bodies
 from gazetta.operators.details import detail
-from gazetta.operators.search import response, search
+from gazetta.operators.search import response
+from gazetta.operators.segments import top
 from gazetta.options import Options, configure_logging, parse_sources
 from gazetta.plans.ingest import index, ingest, reset, run
 from gazetta.schemas import export_ddl
+from gazetta.session import ship
 from gazetta.sources import html_feed, json_feed
 from gazetta.sources.assets import files
 from gazetta.sources.registry import SOURCES
@@ -44,6 +46,8 @@ def parser() -> argparse.ArgumentParser:
     find = sub.add_parser("search")
     find.add_argument("query")
     find.add_argument("--sources", type=parse_sources, default=None)
+    find.add_argument("--size", type=int, default=Options().search_size)
+    find.add_argument("--escape", action="store_true", help="previews as HTML text")
     one = sub.add_parser("record")
     one.add_argument("id")
     schema = sub.add_parser("schema")
@@ -54,12 +58,12 @@ def parser() -> argparse.ArgumentParser:
 def landed(spark: SparkSession, args: argparse.Namespace, now: Column) -> DataFrame:
     """Detected items of the files that have landed."""
     if args.feed == "json":
-        return json_feed.detected(json_feed.landed(spark, args.landed), now).withColumn("pos", F.xxhash64("circular_id"))
+        return json_feed.detected(json_feed.landed(spark, args.landed), now)
     pages = json_feed.landed(spark, args.landed).select(F.lit("run").alias("run"), F.regexp_extract("file", r"(\d+)\.html$", 1).cast("int").alias("page"), F.col("payload").alias("html"))
     start, end = (F.lit(x.strip()).cast("date") for x in args.dates.split(","))
     rows = html_feed.listing_rows(html_feed.read_pages(pages), start, end)
     details = spark.read.schema("detail_url string, html string, error string").json(args.details or [])
-    return html_feed.detected(rows, details, now).drop("run").withColumn("pos", F.xxhash64("source_item_key"))
+    return html_feed.detected(rows, details, now).drop("run")
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -69,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         export_ddl(args.path)
         return 0
     spark = SparkSession.builder.appName("gazetta").getOrCreate()
+    ship(spark)
     store, now = Store(spark, args.store), F.current_timestamp()
     if args.command == "run":
         wanted = SOURCES.enabled(args.sources)
@@ -94,8 +99,8 @@ def main(argv: list[str] | None = None) -> int:
             print(row["body"])
         return int(not found)
     else:
-        hits = search(store.table("chunks"), args.query, {"source": list(args.sources) if args.sources is not None else None})
-        for row in response(hits, args.query).toJSON().collect():  # at most 40
+        found = top(store.index(), args.query, {"source": list(args.sources) if args.sources is not None else None}, args.size)
+        for row in response(found.hits, args.query, args.escape).toJSON().collect():  # args.size at most
             print(row)
     return 0
 

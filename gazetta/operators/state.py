@@ -34,8 +34,11 @@ def matched(state: DataFrame, batch: DataFrame) -> DataFrame:
     return batch.join(keys, ["source", "source_item_key"], "left").join(ids, ["source", "circular_id"], "left")
 
 
-def merge(state: DataFrame, batch: DataFrame, now: Column, order: str = "pos") -> Merged:
-    """Upsert of detected items: a match by item key counts before one by circular id; of several items for one row the last counts."""
+def targeted(state: DataFrame, batch: DataFrame, order: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """The items of batch with the id of the row they go to and whether it is new, and those whose two matches are different rows.
+
+    Of state it reads the columns of the keys only.
+    """
     own = matched(state, batch)
     clash = F.col("by_key").isNotNull() & F.col("by_id").isNotNull() & (F.col("by_key") != F.col("by_id"))
     rejected = own.where(clash)
@@ -44,8 +47,22 @@ def merge(state: DataFrame, batch: DataFrame, now: Column, order: str = "pos") -
     first = own.groupBy("source", "circular_id").agg(F.min_by("source_item_key", order).alias("first_key"))
     own = own.join(first, ["source", "circular_id"])
     own = own.withColumn("id", F.coalesce("by_key", "by_id", stable_id("source", "first_key"))).withColumn("inserted", F.coalesce("by_key", "by_id").isNull())
-    columns = [c for c in own.columns if c not in ("id", "by_key", "by_id", "first_key")]
-    last = own.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("r"), F.count("*").alias("items")).select("id", "r.*", "items")
+    return own.drop("by_key", "by_id", "first_key"), rejected
+
+
+def merge(state: DataFrame, batch: DataFrame, now: Column, order: str = "pos") -> Merged:
+    """Upsert of detected items: a match by item key counts before one by circular id; of several items for one row the last counts, by order.
+
+    Of items with one order the one with the largest source_item_key is last.
+    """
+    own, rejected = targeted(state, batch, order)
+    return merged(state, own, rejected, now, order)
+
+
+def merged(state: DataFrame, own: DataFrame, rejected: DataFrame, now: Column, order: str = "pos") -> Merged:
+    """merge for targeted items; state may be any part that holds all rows with the ids of own."""
+    columns = [c for c in own.columns if c != "id"]
+    last = own.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct(order, "source_item_key")).alias("r"), F.count("*").alias("items")).select("id", "r.*", "items")
     news = last.select(F.col("id"), F.lit(True).alias("_hit"), F.col("source").alias("_new_source"), *[F.col(c).alias(f"_new_{c}") for c in OVERWRITTEN])
     both = state.join(news, "id", "full_outer")
     hit, fresh = F.col("_hit").isNotNull(), F.col("status").isNull()

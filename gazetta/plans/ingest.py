@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from gazetta.operators import assets as A
 from gazetta.operators import index as X
 from gazetta.operators import state as S
+from gazetta.operators.segments import Index
 from gazetta.options import Options
-from gazetta.session import fresh_path, removed
-from gazetta.sources.assets import Extractor, expanded, files, land, plain_pages, texts
+from gazetta.schemas import CHUNKS
+from gazetta.session import fresh_path, removed, ship
+from gazetta.sources.assets import Extractor, contents, expanded, land, plain_pages, texts
 from gazetta.sources.live import content_of, downloads
 from gazetta.sources.registry import Source
 from gazetta.store import Store
@@ -37,14 +39,20 @@ def ingest(store: Store, detected: DataFrame, downloads: DataFrame, today: date,
     with neither is a failure.
     """
     options = options or Options()
-    before, old_assets, checkpoints = (store.table(n) for n in ("circulars", "circular_assets", "scraper_checkpoints"))
-    merged = S.merge(before, detected, now)
+    ship(store.spark)
+    base = store.version()
+    # ids of the whole state are compared, then only the buckets that the batch goes to are read and written
+    own, rejected = S.targeted(store.table("circulars"), detected)
+    own, rejected = own.persist(), rejected.persist()
+    touched = store.touched(own.select("id"))
+    before, old_assets, checkpoints = store.table("circulars", touched), store.table("circular_assets", touched), store.table("scraper_checkpoints")
+    merged = S.merged(before, own, rejected, now)
     decided = S.fetch_decision(merged.state, before, merged.applied, options.refetch_on_url_change).persist()
     todo = decided.where("NOT skip")
     loaded = todo.where("error_message IS NULL").join(downloads.select("source", "circular_id", "content", F.col("error").alias("load_error")), ["source", "circular_id"], "left")
     ready = loaded.where("content IS NOT NULL").select(F.col("id").alias("circular_id"), "source", F.col("circular_id").alias("public_id"), "issue_date", "pdf_url", "content")
     got = expanded(ready, options.storage_path).persist()
-    land(got)
+    land(got, options.storage_path)
     fine = got.where("error IS NULL")
     main = fine.where("asset_role != 'extracted_pdf'").select(F.col("circular_id").alias("id"), F.lit(None).cast("string").alias("error"), "file_path", "content_hash")
     none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
@@ -57,11 +65,11 @@ def ingest(store: Store, detected: DataFrame, downloads: DataFrame, today: date,
     counters = S.run_counters(decided, outcomes)
     marks = S.next_checkpoints(checkpoints, counters, F.lit(today), options.lookback_days, now)
     told, lost = counters.collect(), merged.rejected.count()  # a row for each source
-    version = store.publish({"circulars": state, "circular_assets": new_assets, "scraper_checkpoints": marks}, batch)
+    version = store.publish({"circulars": state, "circular_assets": new_assets, "scraper_checkpoints": marks}, batch, touched, base=base)
     for row in told:
         log.info("source %s: %s", row["source"], row.asDict())
-    decided.unpersist()
-    got.unpersist()
+    for df in (own, rejected, decided, got):
+        df.unpersist()
     return Ingested(version, told, lost)
 
 
@@ -72,28 +80,34 @@ def index(store: Store, now: Column, options: Options | None = None, extractor:
     counts as indexed unless all chunks of the batch are stored.
     """
     options = options or Options()
-    state, chunks, attempts = store.table("circulars"), store.table("chunks"), store.table("index_attempts")
-    assets = A.backfilled(store.table("circular_assets"), state, now)
-    records = state.where(F.col("id") == record_id) if record_id else S.pending(state, options.batch_size, attempts)
-    records = records.persist()
-    if record_id and not records.count():
+    ship(store.spark)
+    base = store.version()
+    state = store.table("circulars")
+    wanted = state.where(F.col("id") == record_id) if record_id else S.pending(state, options.batch_size, store.table("index_attempts"))
+    wanted = [r[0] for r in wanted.select("id").collect()]  # a batch
+    if record_id and not wanted:
         raise ValueError(f"no record {record_id}")
-    own = A.indexable(assets.join(records.select(F.col("id").alias("circular_id")), "circular_id", "left_semi").select(assets.columns))
-    content = files(store.spark, options.storage_path).select("file_path", "content")
-    there = A.existing(own, content)  # what has no file is told in index_attempts
-    read = texts(there.join(content, "file_path").select(F.col("id").alias("asset_id"), "content"), extractor)
-    new = X.documents(records, there, read, now, options.chunk_size, options.chunk_overlap).persist()
+    ids = store.spark.createDataFrame([(x,) for x in wanted], "id string")
+    touched = store.touched(ids)
+    state, attempts = store.table("circulars", touched), store.table("index_attempts", touched)
+    assets = A.backfilled(store.table("circular_assets", touched), state, now)
+    records = state.join(F.broadcast(ids), "id", "left_semi").persist()
+    own = A.indexable(assets.join(F.broadcast(ids.withColumnRenamed("id", "circular_id")), "circular_id", "left_semi").select(assets.columns)).persist()
+    read = contents(own).persist()  # what has no file is told in index_attempts
+    there = own.join(read.select(F.col("asset_id").alias("id")), "id", "left_semi").select(own.columns)
+    path = fresh_path(store.spark, "chunks")
+    X.upserted(store.spark.createDataFrame([], CHUNKS), X.documents(records, there, texts(read, extractor), now, options.chunk_size, options.chunk_overlap)).write.parquet(path)
+    new = store.spark.read.schema(CHUNKS).parquet(path)
     told = X.index_outcomes(records, new, there).persist()
     done = told.where("ok").select("id")
-    kept = X.upserted(chunks, new)
-    if record_id:
-        kept = X.without(kept, X.stale(kept, done, new))
     out = X.batch_counts(told).first()
-    store.publish({"circular_assets": assets, "chunks": kept})
-    if not X.upsert_counts(new, store.table("chunks")).first()["complete"]:
+    index_ = store.index().updated(new, store.index_path, done if record_id else None)
+    if not X.upsert_counts(new, index_.of_records(done)).first()["complete"]:
         raise RuntimeError("not all chunks of the batch are stored; its records stay pending")
-    store.publish({"circulars": S.mark_indexed(state, told.where("ok").select("id", "n"), options.index_name, now), "index_attempts": S.attempted(attempts, told, now)})
-    for df in (records, new, told):
+    state = S.mark_indexed(state, told.where("ok").select("id", "n"), options.index_name, now)
+    store.publish({"circular_assets": assets, "circulars": state, "index_attempts": S.attempted(attempts, told, now)}, touched=touched, index=index_, base=base)
+    removed(store.spark, path)
+    for df in (records, own, read, told):
         df.unpersist()
     return out["processed"], out["failed"]
 
@@ -105,9 +119,7 @@ def reset(store: Store, index_state: bool = False, bloom: bool = False, chunks:
         tables["circulars"] = S.clear_index_state(store.table("circulars"))
     if bloom:
         tables["scraper_checkpoints"] = S.reset_bloom(store.table("scraper_checkpoints"))
-    if chunks:
-        tables["chunks"] = store.table("chunks").limit(0)
-    return store.publish(tables)
+    return store.publish(tables, index=Index(store.spark, CHUNKS) if chunks else None)
 
 
 def run(store: Store, sources: list[Source], today: date, now: Column, options: Options | None = None, get: Callable[[str], bytes] = content_of) -> dict[str, Ingested]:

@@ -16,6 +16,7 @@ from gazetta.operators import assets as A
 from gazetta.operators import details as D
 from gazetta.operators import index as X
 from gazetta.operators import search as Q
+from gazetta.operators import segments as G
 from gazetta.operators import state as S
 from gazetta.schemas import CHECKPOINTS
 from gazetta.session import fresh_path
@@ -97,10 +98,14 @@ def t1_chunks(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", "chunk_id", "chunk_index", "chunk_text")
 
 
-def search_sql(words: str, condition: str = "true") -> str:
+TERMS = r""", t AS (SELECT chunk_id, unnest(regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}_]+')) AS term FROM chunks)
+SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM t GROUP BY term"""
+
+
+def search_sql(words: str, condition: str = "true", chunk_ctes: str | None = None) -> str:
     """Scores of all chunks with one of the words; a word counts as often as it stands in the query."""
     terms = ", ".join(f"('{w}')" for w in words.split())
-    return rf"""WITH {chunk_sql()},
+    return rf"""WITH {chunk_ctes or chunk_sql()},
 q AS (SELECT w, count(*) AS times FROM (VALUES {terms}) v(w) GROUP BY w),
 tok AS (SELECT chunk_id, source, chunk_text, regexp_extract_all(lower(chunk_text), '[\p{{L}}\p{{N}}_]+') AS t FROM chunks),
 st AS (SELECT count(*) AS n, avg(len(t)) AS average FROM tok),
@@ -130,6 +135,47 @@ def t5_search_inverted(spark, sf_dir):
     return Q.search_index(index, own, QUERY).select("chunk_id", "source", F.round("score", 6).alias("score"))
 
 
+def changed_sql(what: str) -> str:
+    """CTEs up to chunks: those of 1200 characters, but of documents with a label those of 800."""
+    one, two = chunk_sql(1200, 200, "whole"), chunk_sql(800, 200, "small")
+    return f"""{one}, {two}, chunks AS (SELECT * FROM whole WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT * FROM small WHERE doc_id IN (SELECT doc_id FROM labels)) {what}"""
+
+
+def changed_index(spark: SparkSession, sf_dir: str, fanout: int = G.FANOUT) -> G.Index:
+    """An index of all documents in which those with a label are then indexed anew, with what is stale removed."""
+    of = lambda size: chunks(spark, sf_dir, size).select("chunk_id", F.col("doc_id").cast("string").alias("circular_db_id"), "chunk_index", "chunk_text", "source")
+    path = fresh_path(spark, "segments")
+    of(1200).write.parquet(f"{path}/batch1")
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    of(800).join(labelled, F.col("circular_db_id") == F.col("id"), "left_semi").write.parquet(f"{path}/batch2")
+    one, two = (spark.read.parquet(f"{path}/batch{k}") for k in (1, 2))
+    return G.Index(spark, one.schema).updated(one, path, fanout=fanout).updated(two, path, labelled, fanout=fanout)
+
+
+@query(f"WITH {changed_sql('SELECT chunk_id, CAST(doc_id AS VARCHAR) AS circular_db_id, chunk_index, chunk_text, source FROM chunks')}")
+def k14_segment_chunks(spark, sf_dir):
+    """Chunks of an index of two segments, of which the second replaces and removes chunks of the first."""
+    return changed_index(spark, sf_dir).chunks()
+
+
+@query(f"WITH {changed_sql(TERMS)}")
+def a10_segment_terms(spark, sf_dir):
+    """Statistics of the terms after changes, as sums over segments that were merged."""
+    return changed_index(spark, sf_dir, 2).terms()
+
+
+@query(f"SELECT * FROM ({search_sql(QUERY, chunk_ctes=changed_sql(''))}) ORDER BY score DESC, chunk_id LIMIT 40")
+def l6_segment_search(spark, sf_dir):
+    """The best chunks by the bounds of blocks, after changes."""
+    return G.top(changed_index(spark, sf_dir), QUERY).hits.select("chunk_id", "source", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT * FROM ({search_sql(QUERY, "source IN ('src1', 'src2')", changed_sql(''))}) ORDER BY score DESC, chunk_id LIMIT 40")
+def f13_segment_search_filtered(spark, sf_dir):
+    hits = G.top(changed_index(spark, sf_dir, 2), QUERY, {"source": ["src1", "src2"]}).hits
+    return hits.select("chunk_id", "source", F.round("score", 6).alias("score"))
+
+
 def snippet_sql(source: str, key: str, words: str, window: int = 120, gap: int = 80, most: int = 3) -> str:
     """CTEs up to snip (key, pos, snippet, highlighted), the snippets of the bodies in source (key, body)."""
     values = ", ".join(f"('{w}')" for w in dict.fromkeys(words.split()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gazetta.functions.normalize import asset_folder, download_type, extracted_name
 from gazetta.operators.assets import chosen_members
+from gazetta.sources.sink import FileSink
 
 #: Takes a file's bytes and gives the text of each page.
 Extractor = Callable[[bytes], list[str | None]]
@@ -23,6 +25,37 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return own.select(F.regexp_replace("path", "^file:", "").alias("file_path"), F.col("length").alias("file_size_bytes"), "content")
 
 
+def qualified(spark: SparkSession, path: Column | str) -> Column:
+    """A path as Spark's readers name it, whatever it was written as: with its file system, and without a scheme under the default one's working folder."""
+    path = F.col(path) if isinstance(path, str) else path
+    fs = spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jsc.hadoopConfiguration())
+    root, here = (fs.makeQualified(p).toString().rstrip("/") for p in (spark._jvm.org.apache.hadoop.fs.Path("/"), fs.getWorkingDirectory()))
+    named = F.regexp_replace(path, "^file:/+", "file:/")
+    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), named).when(path.startswith("/"), F.concat(F.lit(root), path)).otherwise(F.concat(F.lit(f"{here}/"), path))
+
+
+def contents(assets: DataFrame) -> DataFrame:
+    """asset_id and content of the assets (id, file_path) whose file is there; no other file is read.
+
+    For a batch: the paths of its assets are told to the driver, which looks their
+    folders up.
+    """
+    spark = assets.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    own = assets.select(F.col("id").alias("asset_id"), qualified(spark, "file_path").alias("path")).where("path IS NOT NULL").persist()
+    wanted = {r[0] for r in own.select("path").distinct().collect()}
+    there = []
+    for folder in sorted({p.rpartition("/")[0] for p in wanted}):
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(conf)
+        there += [p for p in (str(x.getPath().toString()) for x in (fs.listStatus(at) if fs.exists(at) else ()) if x.isFile()) if p in wanted]
+    if not there:
+        return own.select("asset_id", F.lit(None).cast("binary").alias("content")).limit(0)
+    literal = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in there]  # readers take paths as patterns
+    loaded = spark.read.format("binaryFile").load(literal).select("path", "content")
+    return own.join(loaded, "path").select("asset_id", "content")
+
+
 def path_parts(path: Column | str) -> dict[str, Column]:
     """Source, year, month and circular of an asset's path."""
     pattern = r"([^/]+)/(\d{4})/(\d{2})/([^/]+)/(?:original|extracted)/[^/]+$"
@@ -91,36 +124,20 @@ def circular_folder(path: Column | str) -> Column:
     return F.regexp_extract(path, r"^(.*)/(?:original|extracted)/[^/]+$", 1)
 
 
-def land(assets: DataFrame) -> None:
-    """Writes the bytes of assets to their paths, after emptying the folders of their circulars.
+def land(assets: DataFrame, staging: str | None = None) -> None:
+    """Writes the bytes of assets to their paths, where they take the place of what is in the folders of their circulars.
 
-    Paths are URIs of any file system that Arrow opens, or paths that all executors
-    mount. A file is seen whole or not at all, and a task that runs again writes
-    the same bytes.
+    A circular's files are written by one task to a staged folder, and staged folders
+    take the place of the old ones when all tasks have ended well; if one fails for
+    good, the old files stay and what was staged goes. staging: a folder of the same
+    file system to stage them in, else each is staged beside its place.
     """
-
-    def place(path: str) -> tuple:
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(path) if path.startswith("/") or "://" in path else (fs.LocalFileSystem(), path)
-
-    def empty(rows: Iterator) -> None:
-        for row in rows:
-            where, path = place(row.folder)
-            where.delete_dir_contents(path, missing_dir_ok=True)
-
-    def write(rows: Iterator) -> None:
-        for row in rows:
-            where, path = place(row.file_path)
-            folder, _, name = path.rpartition("/")
-            where.create_dir(folder, recursive=True)
-            with where.open_output_stream(f"{folder}/.{name}.part") as out:
-                out.write(bytes(row.content))
-            where.move(f"{folder}/.{name}.part", path)
-
-    own = assets.where("file_path IS NOT NULL AND content IS NOT NULL")
-    own.select(circular_folder("file_path").alias("folder")).where("folder != ''").distinct().foreachPartition(empty)
-    own.select("file_path", "content").foreachPartition(write)
+    spark = assets.sparkSession
+    spark.dataSource.register(FileSink)
+    own = assets.where("file_path IS NOT NULL AND content IS NOT NULL").select(qualified(spark, "file_path").alias("path"), "content")
+    own = own.select(circular_folder("path").alias("folder"), F.substring_index("path", "/", -2).alias("name"), "content").where("folder != ''")
+    options = {} if staging is None else {"staging": spark.range(1).select(qualified(spark, F.lit(staging))).first()[0]}
+    own.repartition("folder").write.format(FileSink.name()).options(**options).mode("append").save()
 
 
 def plain_pages(content: bytes) -> list[str]:

@@ -83,7 +83,8 @@ def document_url(detail_url: Column | str, markup: Column | str) -> Column:
 
 
 def detected(rows: DataFrame, details: DataFrame, now: Column, key: str = "run") -> DataFrame:
-    """Listing rows with their detail pages (detail_url, html, error) as detected items; what failed has an error_message."""
+    """Listing rows with their detail pages (detail_url, html, error) as detected items with pos, page and place in it; what failed has an error_message."""
+    at = [c for c in ("page", "pos") if c in rows.columns]
     own = rows.join(details.select("detail_url", F.col("html").alias("detail"), F.col("error").alias("failure")), "detail_url", "left")
     own = own.withColumn("no", number("detail")).withColumn("pdf", document_url("detail_url", "detail"))
     ok = F.col("no").isNotNull() & F.col("pdf").isNotNull()
@@ -94,6 +95,7 @@ def detected(rows: DataFrame, details: DataFrame, now: Column, key: str = "run")
         key, F.lit(SOURCE).alias("source"), F.when(good, html_feed_id("no")).otherwise(placeholder).alias("circular_id"), F.when(good, F.col("no")).otherwise(placeholder).alias("full_reference"),
         F.lit("").alias("department"), "title", "issue_date", F.lit(None).cast("date").alias("effective_date"), F.col("detail_url").alias("url"),
         F.when(good, F.col("pdf")).otherwise("").alias("pdf_url"), F.col("detail_url").alias("source_item_key"), F.when(~good, message).alias("error_message"), now.alias("detected_at"),
+        (F.struct(*at) if at else F.lit(0)).alias("pos"),
     )
 
 

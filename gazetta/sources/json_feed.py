@@ -48,7 +48,7 @@ def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def detected(payloads: DataFrame, now: Column, key: str = "file", strict: bool = False) -> DataFrame:
-    """Items of supported types, the first of each id in a payload, as detected rows.
+    """Items of supported types, the first of each id in a payload, as detected rows with pos, by which they follow each other: the payload and the place in it.
 
     A malformed date is an error if strict, else it is told in error_message.
     """
@@ -62,6 +62,7 @@ def detected(payloads: DataFrame, now: Column, key: str = "file", strict: bool =
         F.upper(strip(F.coalesce("fileDept", F.lit("")))).alias("department"), strip(F.coalesce("sub", F.lit(""))).alias("title"), day.alias("issue_date"),
         F.lit(None).cast("date").alias("effective_date"), link.alias("url"), link.alias("pdf_url"), F.col("circular_id").alias("source_item_key"),
         F.when(day.isNull(), F.concat(F.lit("malformed date: "), F.coalesce("cirDate", F.lit("")))).alias("error_message"), now.alias("detected_at"),
+        F.struct(F.col(key).alias("at"), "pos").alias("pos"),
     )
 
 

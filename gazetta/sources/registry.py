@@ -64,7 +64,7 @@ class JsonFeed:
 
     def detect(self, spark: SparkSession, start: date, end: date, now: Column) -> DataFrame:
         payloads = self.read(spark, "json", start, end).select(F.lit(f"{start}..{end}").alias("file"), F.col("body").alias("payload"))
-        return json_feed.detected(payloads, now).withColumn("pos", F.xxhash64("circular_id"))
+        return json_feed.detected(payloads, now)
 
     def document_url(self, circular_id: str) -> str:
         return json_feed.PDF_URL.format(circular_id)
@@ -84,7 +84,7 @@ class HtmlFeed:
     def detect(self, spark: SparkSession, start: date, end: date, now: Column) -> DataFrame:
         pages = self.read(spark, "html", start, end).select(F.lit(f"{start}..{end}").alias("run"), "page", F.col("body").alias("html"))
         rows = html_feed.listing_rows(html_feed.read_pages(pages), F.lit(start), F.lit(end))
-        return html_feed.detected(rows, detail_pages(rows, self.options, self.get), now).drop("run").withColumn("pos", F.xxhash64("source_item_key"))
+        return html_feed.detected(rows, detail_pages(rows, self.options, self.get), now).drop("run")
 
     def document_url(self, circular_id: str) -> str:
         return html_feed.PDF_URL.format(circular_id)

@@ -29,7 +29,6 @@ def start(store: Store, path: str, checkpoint: str, downloads: Callable[[DataFra
 
     def each(batch: DataFrame, number: int) -> None:
         found = json_feed.detected(batch, now())
-        found = found.withColumn("pos", F.xxhash64("source", "circular_id"))
         ingest(store, found, downloads(found), today(), now(), options, number)
 
     stream = landed_stream(store.spark, path)
