@@ -54,6 +54,11 @@ PIVOTS, GROWTH = 1, 16
 PART_CHARS, CHARS = 1_500_000, 3_000_000
 #: Parts for each task that counts them, in mean; so tasks are of like size for any number of texts and any settings.
 TOGETHER = 2
+#: Rows that a batch of documents or a part of the counts is split into at most, and bytes that are split again together.
+#: With more parts than that, rows are split over several exchanges, digit by digit.
+FAN, AGAIN = 1024, 32_000_000
+#: Tasks of an exchange at most.
+TASKS = 20_000
 #: Members of a region that are joined in one task; larger regions are dealt out over several.
 SPLIT = 512
 
@@ -95,7 +100,7 @@ def _window(n: int) -> int:
     return n - -(-n * NUM // DEN) + 1
 
 
-def _packer(parts: int, with_sets: bool):
+def _packer(parts: int, with_sets: bool, levels: int = 1, fan: int = FAN):
     """Batches of documents as packed shingle codes, and one row about the batch itself.
 
     kind 0: a: sorted 32-bit codes of one part, b: for each the document's index
@@ -103,7 +108,10 @@ def _packer(parts: int, with_sets: bool):
     with_sets): how many. kind 1: a: doc_id, b: n and the shingles shared inside
     the batch, c: set ids, d (if with_sets): the sets. A batch is named by its place
     and contents, so that a task that runs again names it alike, or not at all.
+    With several levels kind 0 has the codes whole, part is their first digit, and
+    kind 1 the last digits of the batch.
     """
+    top = fan ** (levels - 1)
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = TaskContext.get().partitionId() << 32
@@ -124,13 +132,13 @@ def _packer(parts: int, with_sets: bool):
             count = np.diff(np.r_[head, len(code)])
             shared = np.bincount(doc[np.repeat(count > 1, count)], minlength=len(sets)).astype(np.int64)
             code, doc = code[head], np.where(count > 1, _SHARED, doc[head])
-            edge = np.searchsorted(code, np.arange(parts + 1, dtype=np.uint64) << np.uint64(32))
-            local = code.astype(np.uint32)
-            some = np.flatnonzero(np.diff(edge))
-            cut = [(p, slice(edge[p], edge[p + 1])) for p in some]
+            part = (code >> np.uint64(32)).astype(np.int64) // top
+            edge = np.r_[np.flatnonzero(np.diff(part, prepend=-1)), len(part)]
+            local = code.astype(np.uint32) if levels == 1 else code
+            cut = [(part[a], slice(a, b)) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             out = [(int(p), at, 0, local[s].tobytes(), doc[s].tobytes(), count[s].astype(np.uint32).tobytes() if with_sets else None, None) for p, s in cut]
             about = np.concatenate([n, shared, [len(code)]])
-            out.append((at % parts, at, 1, frame["doc_id"].to_numpy(np.int64).tobytes(), about.tobytes(), b"".join(ids), b"".join(x.tobytes() for x in sets) if with_sets else None))
+            out.append((at % parts if levels == 1 else at % fan**levels, at, 1, frame["doc_id"].to_numpy(np.int64).tobytes(), about.tobytes(), b"".join(ids), b"".join(x.tobytes() for x in sets) if with_sets else None))
             yield pd.DataFrame(out, columns=["part", "batch", "kind", "a", "b", "c", "d"])
 
     return lean(pack)
@@ -150,6 +158,46 @@ def _code(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) % np.uint64(parts)) << np.uint64(32) | (keys & np.uint64(0xFFFFFFFF))
 
 
+def _splitter(level: int, levels: int, fan: int = FAN):
+    """Rows of kind 0 whose part is the first digits of codes, as rows by one digit more; many batches share one, so d names the batch of each code."""
+    unit = fan ** (levels - level)
+
+    def emit(rows: list[tuple]) -> pd.DataFrame:
+        code, doc, times, batch = (np.concatenate(x) for x in zip(*rows, strict=True))
+        part = (code >> np.uint64(32)).astype(np.int64) // unit
+        order = np.argsort(part, kind="stable")
+        return _cut(part[order], 0, code[order], doc[order], times[order], batch[order])
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for frame in frames:
+            yield frame[frame["kind"] == 1]
+            for row in frame[frame["kind"] == 0].itertuples(index=False):
+                rows.append(_elements(row))
+                size += 24 * len(rows[-1][0])
+                if size >= AGAIN:
+                    yield emit(rows)
+                    rows, size = [], 0
+        if rows:
+            yield emit(rows)
+
+    return lean(split)
+
+
+def _elements(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, documents, times and batches of a row of kind 0 with whole codes."""
+    code, doc = np.frombuffer(row.a, np.uint64), np.frombuffer(row.b, np.uint32)
+    times = np.frombuffer(row.c, np.uint32) if row.c is not None else np.where(doc == _SHARED, 2, 1).astype(np.uint32)
+    return code, doc, times, np.frombuffer(row.d, np.int64) if row.d is not None else np.full(len(code), row.batch, np.int64)
+
+
+def _cut(key: np.ndarray, kind: int, *arrays: np.ndarray) -> pd.DataFrame:
+    """A row of a kind for each key of sorted ones, with the arrays' parts."""
+    edge = np.r_[np.flatnonzero(np.diff(key, prepend=-1)), len(key)]
+    rows = [(int(key[a]), -1, kind, *[x[a:b].tobytes() for x in arrays]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pd.DataFrame(rows, columns=["part", "batch", "kind", "a", "b", "c", "d"]).astype({"part": "int64", "batch": "int64", "kind": "int32"})
+
+
 def _counter(with_sets: bool):
     """For each batch, what one part says: of each document, how many of its codes other batches hold too; with sets, the shared codes and their counts."""
 
@@ -180,6 +228,85 @@ def _counter(with_sets: bool):
     return _trimming(count)
 
 
+def _counter_of_levels(with_sets: bool, fan: int = FAN):
+    """_counter for whole codes of many batches. What it says (kind 3) is split by the last digit of the batch: batch, document or code, number, and the codes of the batch here, in its first element."""
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        sent = frame[frame["kind"] == 0]
+        out = [frame[frame["kind"] == 1]]
+        if len(sent):
+            code, doc, times, batch = (np.concatenate(x) for x in zip(*map(_elements, sent.itertuples(index=False)), strict=True))
+            _, back = np.unique(code, return_inverse=True)
+            df = np.bincount(back, weights=times.astype(np.int64)).astype(np.int64)[back]
+            names, sizes = np.unique(batch, return_counts=True)
+            hit = df > 1
+            if with_sets:
+                who, what, n = batch[hit], code[hit], df[hit]
+            else:
+                hit &= doc != _SHARED
+                pair, n = np.unique(np.array([batch[hit], doc[hit].astype(np.int64)]), axis=1, return_counts=True)
+                who, what = pair[0], pair[1].astype(np.uint64)
+            # an element of each batch with the number of its codes, and the answers
+            who, what, n = np.r_[names, who], np.r_[np.zeros(len(names), np.uint64), what], np.r_[np.zeros(len(names), np.int64), n]
+            codes = np.r_[sizes, np.zeros(len(who) - len(names), np.int64)]
+            key = who % fan
+            order = np.argsort(key, kind="stable")
+            out.append(_cut(key[order], 3, who[order], what[order], n[order], codes[order]))
+        return pd.concat(out)
+
+    return _trimming(count)
+
+
+def _returner(level: int, fan: int = FAN):
+    """Rows of kind 3 by the last digits of their batches, as rows by one digit more."""
+
+    def emit(rows: list[tuple]) -> pd.DataFrame:
+        who, what, n, codes = (np.concatenate(x) for x in zip(*rows, strict=True))
+        key = who % fan**level
+        order = np.argsort(key, kind="stable")
+        return _cut(key[order], 3, who[order], what[order], n[order], codes[order])
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for frame in frames:
+            yield frame[frame["kind"] == 1]
+            for row in frame[frame["kind"] == 3].itertuples(index=False):
+                rows.append(_answers(row))
+                size += 32 * len(rows[-1][0])
+                if size >= AGAIN:
+                    yield emit(rows)
+                    rows, size = [], 0
+        if rows:
+            yield emit(rows)
+
+    return lean(split)
+
+
+def _answers(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(row.a, np.int64), np.frombuffer(row.b, np.uint64), np.frombuffer(row.c, np.int64), np.frombuffer(row.d, np.int64)
+
+
+def _by_batch(run, with_sets: bool):
+    """run, a function of the rows of one batch, for a group of batches that kind 3 speaks of together."""
+
+    def group(frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame[frame["kind"] == 1]
+        said = [_answers(r) for r in frame[frame["kind"] == 3].itertuples(index=False)]
+        who, what, n, codes = (np.concatenate(x) for x in zip(*said, strict=True)) if said else (np.empty(0, np.int64), _EMPTY, np.empty(0, np.int64), np.empty(0, np.int64))
+        out = []
+        for at in own["batch"]:
+            mine = who == at
+            hit = mine & (codes == 0)
+            first = what[hit] if with_sets else what[hit].astype(np.uint32)
+            told = pd.DataFrame([(0, at, 2, first.tobytes(), n[hit].tobytes(), np.int64(codes[mine].sum()).tobytes(), None)], columns=frame.columns)
+            out.append(run(pd.concat([own[own["batch"] == at], told])))
+        if len(np.setdiff1d(who, own["batch"])):
+            raise RuntimeError("a batch of documents was read in two orders; run the join on a written table")
+        return pd.concat(out)
+
+    return group
+
+
 def _trimming(run):
     """run, a function of a group, with trimmed() behind it."""
 
@@ -212,30 +339,33 @@ def _documents(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc_id": ids, "n": n, "set_id": sets, "shared": shared})
 
 
-def _regions(frame: pd.DataFrame) -> pd.DataFrame:
+def _regions(parts: int):
     """Sets of documents and the shared shingles among the rarest of each, which are its regions, with their places and the tasks that each is dealt to, by the documents that hold it."""
-    own, said, ids, n, _, sets = _gathered(frame)
-    keys = np.frombuffer(own["d"], np.uint64)
-    parts = int(own["part"])
-    code = np.concatenate([np.frombuffer(x, np.uint64) for x in said["a"]] or [_EMPTY])
-    df = np.concatenate([np.frombuffer(x, np.int64) for x in said["b"]] or [np.empty(0, np.int64)])
-    order = np.argsort(code)
-    code, df = code[order], df[order]
-    out, start = [], 0
-    for i, size in enumerate(n):
-        own_keys = keys[start : start + size]
-        start += size
-        if not size or not len(code):
-            continue
-        c = _code(own_keys, parts)
-        at = np.minimum(np.searchsorted(code, c), len(code) - 1)
-        rare = np.where(code[at] == c, df[at], 1)
-        first = np.lexsort((own_keys, rare))[: _window(int(size))]
-        places = np.flatnonzero(rare[first] > 1)
-        first = first[places]
-        if len(first):
-            out.append((sets[i], int(size), own_keys.tobytes(), own_keys[first].view(np.int64), places, -(-rare[first] // SPLIT)))
-    return pd.DataFrame(out, columns=["set_id", "n", "keys", "regions", "places", "salts"])
+
+    def regions(frame: pd.DataFrame) -> pd.DataFrame:
+        own, said, ids, n, _, sets = _gathered(frame)
+        keys = np.frombuffer(own["d"], np.uint64)
+        code = np.concatenate([np.frombuffer(x, np.uint64) for x in said["a"]] or [_EMPTY])
+        df = np.concatenate([np.frombuffer(x, np.int64) for x in said["b"]] or [np.empty(0, np.int64)])
+        order = np.argsort(code)
+        code, df = code[order], df[order]
+        out, start = [], 0
+        for i, size in enumerate(n):
+            own_keys = keys[start : start + size]
+            start += size
+            if not size or not len(code):
+                continue
+            c = _code(own_keys, parts)
+            at = np.minimum(np.searchsorted(code, c), len(code) - 1)
+            rare = np.where(code[at] == c, df[at], 1)
+            first = np.lexsort((own_keys, rare))[: _window(int(size))]
+            places = np.flatnonzero(rare[first] > 1)
+            first = first[places]
+            if len(first):
+                out.append((sets[i], int(size), own_keys.tobytes(), own_keys[first].view(np.int64), places, -(-rare[first] // SPLIT)))
+        return pd.DataFrame(out, columns=["set_id", "n", "keys", "regions", "places", "salts"])
+
+    return regions
 
 
 def _distance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,21 +386,46 @@ def _n_parts(docs: DataFrame) -> int:
     return max(1, -(-chars // PART_CHARS))
 
 
+def _counted(docs: DataFrame, with_sets: bool, run, schema: str) -> DataFrame:
+    """run(rows of a batch) for each batch of docs, with what all parts of the shingle counts say of it.
+
+    A batch is split into FAN rows at most, whatever the number of parts, and so is
+    what a part says; beyond that many parts both are split digit by digit, with an
+    exchange for each, so the work for a text doesn't grow with the number of texts.
+    """
+    parts = _n_parts(docs)
+    levels = _levels(parts)
+    tasks = min(TASKS, max(1, parts // TOGETHER))
+    told = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(parts, with_sets, levels, FAN), _PACKED)
+    for level in range(2, levels + 1):
+        told = told.repartition(tasks, "part").mapInPandas(_splitter(level, levels, FAN), _PACKED)
+    counter = _counter(with_sets) if levels == 1 else _counter_of_levels(with_sets, FAN)
+    # rows about a batch are no part's; they go by the batch
+    told = told.repartition(tasks, "part").groupBy("part").applyInPandas(counter, _PACKED)
+    for level in range(2, levels + 1):
+        told = told.repartition(tasks, "part").mapInPandas(_returner(level, FAN), _PACKED)
+    if levels == 1:
+        # the row about a batch carries the number of parts from here on
+        told = told.withColumn("part", F.when(F.col("kind") == 1, F.lit(parts)).otherwise(F.col("part")))
+        return told.groupBy("batch").applyInPandas(_trimming(run(parts)), schema)
+    return told.groupBy("part").applyInPandas(_trimming(_by_batch(run(parts), with_sets)), schema)
+
+
+def _levels(parts: int) -> int:
+    """Digits of the parts."""
+    levels = 1
+    while FAN**levels < parts:
+        levels += 1
+    return levels
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, n (shingles), set_id (equal for equal sets) and shared (shingles that other documents hold, or seem to) of each row; written."""
-    parts = _n_parts(docs)
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(parts, False), _PACKED)
-    told = packed.repartition(max(1, parts // TOGETHER), "part").groupBy("part").applyInPandas(_counter(False), _PACKED)
-    return written(told.groupBy("batch").applyInPandas(_trimming(_documents), "doc_id long, n long, set_id binary, shared long"), "sets")
+    return written(_counted(docs, False, lambda _: _documents, "doc_id long, n long, set_id binary, shared long"), "sets")
 
 
 def _with_regions(docs: DataFrame) -> DataFrame:
-    parts = _n_parts(docs)
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(_packer(parts, True), _PACKED)
-    told = packed.repartition(max(1, parts // TOGETHER), "part").groupBy("part").applyInPandas(_counter(True), _PACKED)
-    # the row about a batch carries the number of parts from here on
-    told = told.withColumn("part", F.when(F.col("kind") == 1, F.lit(parts)).otherwise(F.col("part")))
-    return written(told.groupBy("batch").applyInPandas(_trimming(_regions), "set_id binary, n long, keys binary, regions array<long>, places array<long>, salts array<long>"), "regions")
+    return written(_counted(docs, True, _regions, "set_id binary, n long, keys binary, regions array<long>, places array<long>, salts array<long>"), "regions")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:

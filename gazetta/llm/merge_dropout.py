@@ -77,11 +77,11 @@ class Vocabulary:
             if end[i] != m or end[m] != j:
                 continue
             if bar:
-                h = ((key ^ (i << 42 | m << 21 | j)) * _M1) & _64
+                h = ((key ^ _place(i, m, j)) * _M1) & _64
                 if (((h ^ h >> 29) * _M2 & _64) >> 48) < bar:
                     continue
             if path is not None:
-                path.append(i << 42 | m << 21 | j)
+                path.append(_place(i, m, j))
             end[i], end[m] = j, 0
             if j < n:
                 before[j] = i
@@ -134,7 +134,7 @@ class Vocabulary:
             path: list[int] = []
             out[i] = np.array(self.segment(words[i], int(keys[i]), dropout, path), np.int32).tobytes()
             if paths is not None:
-                paths[i] = np.array(path, np.int64).tobytes()
+                paths[i] = np.array(path, np.uint64).tobytes()
         return out
 
     def _rounds(self, words: list[str], size: np.ndarray, keys: np.ndarray, width: int, dropout: float, done: list | None = None) -> list[bytes]:
@@ -206,6 +206,11 @@ class Vocabulary:
         return b"".join([self.text[int(i)] for i in ids]).decode()[1:]
 
 
+def _place(i: int, m: int, j: int) -> int:
+    """64 bits of a candidate that merges [i, m) and [m, j). In words of over two million characters several may share one, which only makes their draws alike."""
+    return (i << 42 ^ m << 21 ^ j) & _64
+
+
 @lru_cache(maxsize=2)
 def vocabulary(model: str = MODEL) -> Vocabulary:
     return Vocabulary(model)
@@ -321,7 +326,8 @@ def _encoder(model: str, seed: int, dropout: float):
 def encoded(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
     """doc_id, n_tokens and ids of each row of docs (doc_id, text, and copy if repeated rows are to differ: see numbered).
 
-    A null text has null ids and no tokens, an empty one an empty array. Rows with
+    A null text has null ids and no tokens, an empty one an empty array. Texts and words
+    may be of any length. Rows with
     equal doc_id, text and copy get equal ids; a null doc_id counts as 0. An empty table
     gives no rows; other columns are ignored.
     """

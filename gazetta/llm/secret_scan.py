@@ -15,10 +15,16 @@ under a chain of letters, digits and marks as they follow each other in such tex
 and under uniform randomness. By Markov's inequality the ratio itself is a p-value
 under that chain; it falls exponentially with the length.
 
-False discoveries are controlled over the corpus: candidates are counted by encoding,
-class of length and bin of this p-value, and the Benjamini-Hochberg procedure in each
-encoding and class of length, over all its candidates, gives the p-value up to which
-they are discoveries. Those whose randomness the battery doesn't reject are reported.
+The p-value that is controlled is both together: the second one, divided by what the
+battery leaves of randomness where it speaks against it (under TOLERATED), so that a
+token must be unlike text and like randomness, and what the tests find counts by its
+size. It isn't smaller than the second, so it is a p-value as well.
+
+False discoveries are controlled over the corpus: candidates and base spans of their
+length are counted by encoding, class of length and bin of this p-value, and the
+Benjamini-Hochberg procedure in each encoding and class of length, over all of them,
+gives the p-value up to which they are discoveries. Candidates whose randomness the
+battery doesn't reject are reported; of base spans it is told.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ SCAN = {"assign": ASSIGN, "access": ACCESS, "hex": r"[0-9a-f]{24,}+"}
 #: the battery rejects randomness; first lengths of the classes; bins of a decade of
 #: the p-value, and decades that are told apart.
 LENGTH, FDR, ALPHA = 20, 0.01, 0.001
+#: From which p-value of randomness on the battery says nothing against it.
+TOLERATED = 0.1
 CLASSES = (20, 24, 32, 48, 96)
 BINS, DECADES = 4, 60
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+" % LENGTH
@@ -236,14 +244,16 @@ def _scores(spans: str) -> str:
 
 
 def _verdicts(scores: Column) -> Column:
-    """Array of (start, order, end, kind, encoding, n, strength, random): -log10 of the p-value under running text, and that of randomness."""
+    """Array of (start, order, end, kind, encoding, n, strength, random, evidence): -log10 of the p-value under running text, that of randomness, and -log10 of both together."""
 
     def verdict(s: Column) -> Column:
         spread = F.sqrt(F.greatest(F.lit(1e-9), (s["expected"] - 1) * (s["expected"] - 2) / F.greatest(F.lit(1.0), s["n"] - 1)))
         p = [F.greatest(F.lit(1e-9), _normal(-s["z_chi"])), _two_sided((s["runs"] - s["expected"]) / spread), _two_sided(s["z_serial"])]
         fisher = once(-(F.log(p[0]) + F.log(p[1]) + F.log(p[2])), lambda half: F.exp(-half) * (1 + half + half * half / 2))
         strength = F.greatest(F.lit(0.0), F.coalesce(s["ratio"], F.lit(0.0)) / math.log(10))
-        return F.struct(*[s[c].alias(c) for c in ("start", "order", "end", "kind", "encoding")], s["n"].cast("int").alias("n"), strength.alias("strength"), fisher.alias("random"))
+        told = F.struct(*[s[c].alias(c) for c in ("start", "order", "end", "kind", "encoding")], s["n"].cast("int").alias("n"), strength.alias("strength"), fisher.alias("random"))
+        against = lambda t: F.least(F.lit(0.0), F.log10(F.greatest(F.lit(1e-30), t["random"]) / TOLERATED))
+        return once(told, lambda t: t.withField("evidence", F.greatest(F.lit(0.0), t["strength"] + against(t))))
 
     return F.transform(scores, verdict)
 
@@ -284,13 +294,13 @@ def _bin(strength: Column) -> Column:
 
 
 def thresholds(found: DataFrame) -> dict[tuple[str, int], int]:
-    """Least bin of the discoveries of each encoding and class of length that has any, from all candidates in found (found: array).
+    """Least bin of the discoveries of each encoding and class of length that has any, from all candidates in found (found: array, base spans too).
 
     The candidates become counts by encoding, class and bin before they are
     exchanged: at most len(ENCODINGS) * len(CLASSES) * (DECADES * BINS + 1) rows,
     and what the driver gets is a row for each encoding and class at most.
     """
-    each = found.select(F.explode("found").alias("s")).select("s.encoding", _class(F.col("s.n")).alias("class"), _bin(F.col("s.strength")).alias("bin"))
+    each = found.select(F.explode("found").alias("s")).select("s.encoding", _class(F.col("s.n")).alias("class"), _bin(F.col("s.evidence")).alias("bin"))
     counts = each.groupBy("encoding", "class", "bin").agg(F.count("*").alias("n"))
     own = Window.partitionBy("encoding", "class")
     counts = counts.select("encoding", "class", "bin", F.sum("n").over(own.orderBy(F.desc("bin"))).alias("up_to"), F.sum("n").over(own).alias("all"))
@@ -308,15 +318,16 @@ def _holds(bars: dict[tuple[str, int], int]):
         if not bars:
             return F.lit(False)
         bar = F.element_at(F.create_map(*flat), F.concat_ws(":", s["encoding"], _class(s["n"])))
-        return F.coalesce(_bin(s["strength"]) >= bar, F.lit(False)) & (s["random"] >= ALPHA)
+        return F.coalesce(_bin(s["evidence"]) >= bar, F.lit(False)) & (s["random"] >= ALPHA)
 
     return holds
 
 
 def discovered(rows: DataFrame) -> DataFrame:
     """rows of scanned with extra, the candidates that are reported, and n_base_random, base spans that the same bars find random. rows is read twice, so it should be written."""
-    holds = _holds(thresholds(rows.select("found")))
-    return rows.select("_doc", "base", F.filter("found", holds).alias("extra"), F.size(F.filter("base", lambda s: (s["n"] >= LENGTH) & holds(s))).cast("long").alias("n_base_random"))
+    long = lambda s: s["n"] >= LENGTH
+    holds = _holds(thresholds(rows.select(F.concat("found", F.filter("base", long)).alias("found"))))
+    return rows.select("_doc", "base", F.filter("found", holds).alias("extra"), F.size(F.filter("base", lambda s: long(s) & holds(s))).cast("long").alias("n_base_random"))
 
 
 def _told(spans: Column) -> Column:

@@ -354,6 +354,7 @@ def test_battery_against_plain_python(spark):
             encoding, strength, fisher = slow_battery(token)
             seen += 1
             assert s.encoding == encoding and s.strength == pytest.approx(strength, abs=1e-3) and s.random == pytest.approx(fisher, abs=0.02), token
+            assert s.evidence == pytest.approx(max(0.0, s.strength + min(0.0, math.log10(max(1e-30, s.random) / secret_scan.TOLERATED))), abs=1e-6)
     assert seen > 120
 
 
@@ -367,7 +368,7 @@ def test_discoveries_over_the_corpus(spark):
     for r in rows.collect():
         for s in r.found:
             k = sum(s.n >= x for x in secret_scan.CLASSES[1:])
-            groups.setdefault((s.encoding, k), []).append(math.floor(min(s.strength, secret_scan.DECADES) * secret_scan.BINS))
+            groups.setdefault((s.encoding, k), []).append(math.floor(min(s.evidence, secret_scan.DECADES) * secret_scan.BINS))
     want = {}
     for key, bins in groups.items():
         good = [b for b in set(bins) if 10 ** (-b / secret_scan.BINS) <= secret_scan.FDR * sum(x >= b for x in bins) / len(bins)]
@@ -376,6 +377,15 @@ def test_discoveries_over_the_corpus(spark):
     assert want and secret_scan.thresholds(rows.select("found")) == want
 
 
+def test_base_spans_count_as_candidates(spark):
+    """Where all long tokens are base spans, the battery still tells which of them are random."""
+    rng = random.Random(25)
+    make = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    rows = [(i, f"key {make('0123456789abcdef', 32)} token={make(string.ascii_letters + string.digits, 40)} secret=the_password_of_the_internal_service") for i in range(40)] + [(40, "deadbeef" * 5)]
+    got = by_id(secret_scan.secret_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sum(got[i].n_base_random for i in range(40)) >= 76 and got[40].n_base_random == 0 and all(r.n_base_random <= 2 and r.n_random == 0 for r in got.values())
+
+
 def test_pieces_beside_base_spans(spark):
     rng = random.Random(23)
     make = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
@@ -675,3 +685,40 @@ def test_adpcm_blocks():
     assert media_audio.resample(np.array([0, 90, -90], np.int16), 8000, 12000).tolist() == [0, 60, 30, -90]
     with pytest.raises(ValueError, match="WAV"):
         media_audio.read_wav(b"no")
+
+
+@pytest.mark.parametrize("part,fan", [(400, 3), (3000, 8)])
+def test_jaccard_with_parts_of_several_digits(docs, monkeypatch, part, fan):
+    monkeypatch.setattr(jaccard_join, "PART_CHARS", part)
+    monkeypatch.setattr(jaccard_join, "FAN", fan)
+    monkeypatch.setattr(jaccard_join, "AGAIN", 4000)
+    monkeypatch.setattr(jaccard_join, "TASKS", 4)
+    assert jaccard_join._levels(jaccard_join._n_parts(docs)) > 2
+    got = [tuple(r) for r in jaccard_join.jaccard_join(docs).collect()]
+    sets = {d: shingles(t) for d, t in texts().items()}
+    assert len(got) == len(corpus()) and {d: (n, c) for d, n, c in got if d is not None} == {d: (len(sets[d]), c) for d, c in brute_components(sets).items()}
+
+
+def test_rows_of_a_batch_do_not_grow_with_the_parts(monkeypatch):
+    import pandas as pd
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(jaccard_join.TaskContext, "get", staticmethod(Task))
+    rng = random.Random(1)
+    frame = pd.DataFrame({"doc_id": range(200), "text": [" ".join(str(rng.random()) for _ in range(500)) for _ in range(200)]})
+    sizes = []
+    for parts in (300, 670_000, 67_000_000):
+        levels = jaccard_join._levels(parts)
+        (out,) = jaccard_join._packer(parts, True, levels)(iter([frame]))
+        assert sum(len(x) // (4 if levels == 1 else 8) for x in out[out["kind"] == 0]["a"]) == 200 * 496
+        sizes.append(len(out))
+    assert max(sizes) <= jaccard_join.FAN + 1
+
+
+def test_merge_dropout_of_very_long_words(spark):
+    text = "ab" * 1_500_000
+    df = spark.createDataFrame([(1, text + " and"), (2, "x")], "doc_id long, text string")
+    rows = {r.doc_id: r.ids for r in merge_dropout.encoded(df).collect()}
+    assert merge_dropout.vocabulary().decode(rows[1]) == text + " and"
