@@ -10,6 +10,8 @@ there are few of them.
     <path>/postings/bucket=B term, block, n, impacts (the pairs of tf and dl that can score best), docs (slot, tf, dl)
     <path>/terms/bucket=B    term, df, cf
     <path>/dead              places (segment, block, slot) in older segments
+    <path>/summary           sketches of the chunks: distinct texts, lengths
+    <path>/frequent          the FREQUENT terms of the largest counts, of either sign
 
 Searching reads the impacts of the query's terms first, which bound what any chunk of
 a block can score, then the blocks that promise most, whose chunks give a score that
@@ -38,6 +40,8 @@ SLOT, IN_PART = 6, 27
 PART_CHUNKS, BUCKET_CHUNKS = 200_000, 20_000
 #: So many segments of one size class are merged into one of the next.
 FANOUT = 8
+#: Terms of a segment whose counts are kept apart.
+FREQUENT = 1000
 #: Rows that a lookup names one by one; more are joined.
 NAMED = 1000
 #: Narrow rows that are broadcast at most.
@@ -58,6 +62,8 @@ class Segment:
     tokens: int
     buckets: int
     dead: int
+    #: No term that isn't among the frequent ones has a larger count here.
+    floor: int = 0
 
 
 @dataclass(frozen=True)
@@ -126,6 +132,28 @@ class Index:
         frames = frames if only is None else [f.where(_of_terms(only, s.buckets)) for f, s in zip(frames, self.segments, strict=True)]
         return self._all(frames, f"{schema}, segment string").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
 
+    def summary(self, quantiles: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+        """One row: n and average (exact), about how many texts are distinct, and about how long chunks are at the quantiles.
+
+        Reads a row for each segment. Chunks that were replaced count until their
+        segment is merged.
+        """
+        schema = "distinct binary, lengths binary"
+        rows = self._all([self.spark.read.schema(schema).parquet(f"{s.path}/summary") for s in self.segments if s.docs], schema)
+        told = rows.agg(F.hll_union_agg("distinct").alias("distinct"), F.collect_list("lengths").alias("lengths"))  # a sketch for each segment
+        one = F.aggregate(F.slice("lengths", F.lit(2), F.size("lengths")), F.get("lengths", F.lit(0)), lambda a, x: F.kll_sketch_merge_bigint(a, x))
+        told = told.select(F.hll_sketch_estimate("distinct").alias("distinct"), one.alias("lengths"))
+        at = F.array(*[F.kll_sketch_get_quantile_bigint("lengths", F.lit(float(q))) for q in quantiles])
+        return told.select(F.lit(self.n).alias("n"), F.lit(self.average).alias("average"), "distinct", F.when(F.col("lengths").isNotNull(), at).alias("lengths"))
+
+    def frequent(self, k: int = 20) -> DataFrame:
+        """The terms that may occur most, with the least and the most that their count can be. Reads FREQUENT rows of each segment."""
+        schema = "term string, cf long"
+        floors = sum(s.floor for s in self.segments)
+        frames = [self.spark.read.schema(schema).parquet(f"{s.path}/frequent").withColumn("floor", F.lit(s.floor).cast("long")) for s in self.segments]
+        own = self._all(frames, f"{schema}, floor long").groupBy("term").agg(F.sum("cf").alias("cf"), (F.lit(floors) - F.sum("floor")).alias("open"))
+        return own.select("term", F.greatest(F.lit(0), F.col("cf") - F.col("open")).alias("least"), (F.col("cf") + F.col("open")).alias("most")).orderBy(F.desc("most"), "term").limit(k)
+
     # ---- changes ----
 
     def of_records(self, records: DataFrame) -> DataFrame:
@@ -166,15 +194,23 @@ class Index:
         """The index with its newest segments merged as long as there are so many of one size class."""
         index = self
         while (first := due(index.segments, fanout)) is not None:
-            old, own = index.segments[:first], index.segments[first:]
-            merging = replace(index, segments=own)
-            live = index.alive(merging.placed()).select(index.columns.names)
-            kept = merging.dead().where(~F.col("segment").isin([s.name for s in own]))
-            n, tokens_ = sum(s.n for s in own), sum(s.tokens for s in own)
-            new = _written(index.spark, live, path, kept, reduce(DataFrame.unionByName, [index._read(s, "terms", "term string, df long, cf long, bucket int") for s in own]).select("term", "df", "cf"))
-            index = replace(index, segments=(*old, replace(new, n=n, tokens=tokens_)))
+            index = index._joined(first, path)
         return index
 
+    def compacted(self, path: str) -> Index:
+        """The index as one segment, without what was taken away."""
+        return self._joined(0, path) if self.segments else self
+
+    def _joined(self, first: int, path: str) -> Index:
+        """The index with its segments from the first one on as one."""
+        old, own = self.segments[:first], self.segments[first:]
+        merging = replace(self, segments=own)
+        live = self.alive(merging.placed()).select(self.columns.names)
+        kept = merging.dead().where(~F.col("segment").isin([s.name for s in own]))
+        sums = reduce(DataFrame.unionByName, [self._read(s, "terms", "term string, df long, cf long, bucket int") for s in own])
+        new = _written(self.spark, live, path, kept, sums.select("term", "df", "cf"))
+        return replace(self, segments=(*old, replace(new, n=sum(s.n for s in own), tokens=sum(s.tokens for s in own))))
+
 
 def _of_terms(terms: list[str], buckets: int) -> Column:
     """The condition for rows of terms, with the folders in which they are."""
@@ -236,12 +272,16 @@ def _written(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame
         terms = terms if away is None else terms.unionByName(away)
     terms = terms.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df != 0 OR cf != 0")
     terms.select("*", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    counts = spark.read.schema("term string, cf long").parquet(f"{path}/terms")
+    counts.orderBy(F.desc(F.abs("cf")), "term").limit(FREQUENT).write.parquet(f"{path}/frequent")
+    kept = spark.read.schema("term string, cf long").parquet(f"{path}/frequent").agg(F.count("*"), F.min(F.abs("cf"))).first()
+    own.agg(F.hll_sketch_agg("chunk_text").alias("distinct"), F.kll_sketch_agg_bigint("dl").alias("lengths")).write.parquet(f"{path}/summary")
     gone = 0
     if dead is not None:
         dead.select(PLACE).write.parquet(f"{path}/dead")
         gone = spark.read.schema("segment string, block long, slot int").parquet(f"{path}/dead").count()
     total = own.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0] if many else 0
-    return Segment(name, path, many, many, total, buckets, gone)
+    return Segment(name, path, many, many, total, buckets, gone, kept[1] if kept[0] == FREQUENT else 0)
 
 
 def _postings(chunks: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ expressions on both sides.
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ from gazetta.functions import text as T
 from gazetta.functions import serialize as J
 from gazetta.operators import assets as A
 from gazetta.operators import details as D
+from gazetta.operators import history as H
 from gazetta.operators import index as X
 from gazetta.operators import search as Q
 from gazetta.operators import segments as G
@@ -21,6 +26,11 @@ from gazetta.operators import state as S
 from gazetta.schemas import CHECKPOINTS
 from gazetta.session import fresh_path
 from gazetta.sources import html_feed, json_feed
+from gazetta.sources.archives import directory, member_contents
+from gazetta.sources.sink import FileSink
+from gazetta.streaming import states
+from gazetta.streaming.incremental import running_counts
+from gazetta.streaming.sessions import sessions
 
 NOW = "TIMESTAMP '2026-04-14 12:00:00'"
 QUERY = "the and reading nicht pour"
@@ -176,6 +186,26 @@ def f13_segment_search_filtered(spark, sf_dir):
     return hits.select("chunk_id", "source", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {changed_sql('SELECT count(*) AS n, count(DISTINCT chunk_text) AS texts, true AS distinct_within, true AS median_within FROM chunks')}")
+def a10_summary(spark, sf_dir):
+    """Whether what sketches of merged segments say is within their bounds."""
+    ix = changed_index(spark, sf_dir).compacted(fresh_path(spark, "segments"))
+    told = ix.summary((0.5,)).first()
+    near = F.avg((F.size(T.tokens("chunk_text")) <= told["lengths"][0]).cast("double"))
+    exact = ix.chunks().agg(F.count_distinct("chunk_text").alias("texts"), near.alias("near"))
+    return exact.select(F.lit(told["n"]).cast("long").alias("n"), "texts", (F.abs(F.lit(told["distinct"]) - F.col("texts")) <= 0.05 * F.col("texts")).alias("distinct_within"), (F.abs(F.col("near") - 0.5) <= 0.03).alias("median_within"))
+
+
+@query(f"SELECT term, cf, true AS within FROM (WITH {changed_sql(TERMS)}) ORDER BY cf DESC, term LIMIT 20")
+def a10_frequent_terms(spark, sf_dir):
+    """The most frequent terms, and whether their counts are within the bounds that the segments' short lists give."""
+    ix = changed_index(spark, sf_dir)
+    bounds = ix.frequent(G.FREQUENT).withColumnRenamed("term", "_term")
+    exact = ix.terms().orderBy(F.desc("cf"), "term").limit(20)
+    found = exact.join(bounds, F.col("term") == F.col("_term"), "left")
+    return found.select("term", "cf", F.coalesce((F.col("least") <= F.col("cf")) & (F.col("cf") <= F.col("most")), F.lit(False)).alias("within"))
+
+
 def snippet_sql(source: str, key: str, words: str, window: int = 120, gap: int = 80, most: int = 3) -> str:
     """CTEs up to snip (key, pos, snippet, highlighted), the snippets of the bodies in source (key, body)."""
     values = ", ".join(f"('{w}')" for w in dict.fromkeys(words.split()))
@@ -675,3 +705,80 @@ def a6_html_counters(spark, sf_dir):
     good = F.lit("<span>Circular No.: </span><span>N</span><iframe src='/w?file=https://d.example/1.pdf'>")
     details = rows.where(F.col("detail_url").endswith("/0")).select("detail_url", good.alias("html"), F.lit(None).cast("string").alias("error"))
     return html_feed.counters(read, start, end, html_feed.detected(rows, details, now()))
+
+
+# ---- time -----------------------------------------------------------------
+
+
+@query("""SELECT p.event_id, p.user_id, v.event_id AS view_id, v.value AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def g2_as_of(spark, sf_dir):
+    """Each purchase with its user's last view before it."""
+    events = table(spark, sf_dir, "events")
+    of = lambda kind: events.where(F.col("event_type") == kind).select("event_id", "user_id", "ts", "value")
+    found = H.as_of(of("purchase"), of("view"), ["user_id"], "ts", "ts", ["event_id"])
+    return found.select("event_id", "user_id", F.col("version.event_id").alias("view_id"), F.col("version.value").alias("view_value"))
+
+
+@query("""WITH e AS (SELECT *, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT * FROM e WHERE was IS NULL OR was <> event_type)
+SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM c""")
+def g6_history(spark, sf_dir):
+    """From when to when a user's last event was of one type."""
+    return H.intervals(table(spark, sf_dir, "events"), ["user_id"], "ts", ["event_type"], ["event_id"])
+
+
+@query("""WITH e AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOURS AS gap FROM events),
+s AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM e)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, no""")
+def g6_sessions(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return sessions(events.unionByName(events.where("event_type = 'error'")), ["user_id"], "ts", "6 hours", ids=["event_id"])
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type AS source, count(*) AS n FROM events GROUP BY ALL")
+def a4_running_counts(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("ts").alias("detected_at"), F.col("event_type").alias("source"))
+    return running_counts(events).select(F.col("window.start").alias("start"), "source", "n")
+
+
+ITEM_EVENTS = """events AS (
+  SELECT source, 'key/' || {quarter} AS source_item_key, doc_id * 2 AS pos, 'detected' AS kind, coalesce(text, '') AS title, 'u/' || doc_id AS pdf_url, NULL AS error FROM documents
+  UNION ALL SELECT source, 'key/' || {quarter}, doc_id * 2 + 1, 'outcome', NULL, NULL, CASE WHEN doc_id % 5 = 1 THEN 'timed out' END FROM documents WHERE doc_id % 3 = 0)"""
+
+
+@query(f"""WITH {ITEM_EVENTS.format(quarter='doc_id // 4')}
+SELECT source, source_item_key, max_by(title, pos) FILTER (WHERE kind = 'detected') AS title, max_by(pdf_url, pos) FILTER (WHERE kind = 'detected') AS pdf_url,
+  CASE WHEN count(*) FILTER (WHERE kind = 'outcome') = 0 THEN 'DISCOVERED' WHEN max_by(coalesce(error, '-'), pos) FILTER (WHERE kind = 'outcome') = '-' THEN 'FETCHED' ELSE 'FAILED' END AS status,
+  nullif(max_by(coalesce(error, '-'), pos) FILTER (WHERE kind = 'outcome'), '-') AS error_message, count(*) FILTER (WHERE kind = 'outcome') AS attempts
+FROM events GROUP BY source, source_item_key""")
+def g1_item_states(spark, sf_dir):
+    """Detections and outcomes of items as a stream of several micro-batches; a key's state after the last one."""
+    path = fresh_path(spark, "states")
+    found = spark.sql(f"WITH {ITEM_EVENTS.format(quarter='doc_id DIV 4').replace('FROM documents', 'FROM {docs}')} SELECT * FROM events", docs=table(spark, sf_dir, "documents"))
+    found = found.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("pos")))
+    found.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in states.EVENT.split(", ")]).repartition(6).write.parquet(f"{path}/landed")
+    states.start(spark, f"{path}/landed", f"{path}/out", f"{path}/mark", watermark="100000 days", files=3).awaitTermination()
+    return states.current(spark, f"{path}/out").drop("due")
+
+
+@query("""SELECT 'archive ' || (doc_id // 400) AS archive, doc_id || '.pdf' AS member, CAST(row_number() OVER (PARTITION BY doc_id // 400 ORDER BY doc_id) AS INTEGER) AS position, sha256(coalesce(text, '')) AS content_hash FROM documents""")
+def s8_archive_ranges(spark, sf_dir):
+    """Every document as a member of an archive of 400, written as files and read member by member."""
+    path = fresh_path(spark, "archives")
+
+    def packed(frame: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for doc_id, text in frame.sort_values("doc_id")[["doc_id", "text"]].itertuples(index=False):
+                z.writestr(f"{doc_id}.pdf", text or "")
+        k = frame["doc_id"].iloc[0] // 400
+        return pd.DataFrame([(f"{path}/{k}", "source.zip", out.getvalue())], columns=["folder", "name", "content"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = docs.groupBy(F.expr("doc_id DIV 400")).applyInPandas(packed, "folder string, name string, content binary")  # 400 documents each
+    spark.dataSource.register(FileSink)
+    files.write.format(FileSink.name()).mode("append").save()
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    found = directory(there.select(F.concat(F.lit("archive "), F.regexp_extract("path", r"/(\d+)/source\.zip$", 1)).alias("archive"), "path"))
+    return member_contents(found).select("archive", "member", "position", F.sha2("content", 256).alias("content_hash"))

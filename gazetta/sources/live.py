@@ -1,21 +1,24 @@
-"""Live feeds as a Python data source: one partition for each feed, with the range of dates as options.
+"""Live feeds as a Python data source, to read as a table or as a stream: one partition for each feed and stretch of days.
 
-    spark.dataSource.register(FeedSource)
-    spark.read.format("gazetta_feed").option("feed", "json").option("from", "2026-04-01").option("to", "2026-04-06").load()
+    register(spark)
+    spark.read.format("gazetta_feed").load().where("feed = 'json' AND first >= DATE '2026-04-01' AND last <= DATE '2026-04-06'")
+    spark.readStream.format("gazetta_feed").option("from", "2026-04-01").load()
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from datetime import date
+from datetime import date, timedelta
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 
 from gazetta.options import Options
 from gazetta.sources import html_feed, json_feed
@@ -62,25 +65,33 @@ def pages(get: Callable[[int], str], describe: Callable[[str], tuple[str, int, b
 
 
 class _Feed(InputPartition):
-    def __init__(self, feed: str):
+    """A feed's stretch of days, both ends included."""
+
+    def __init__(self, feed: str, first: date, last: date):
         super().__init__(feed)
-        self.feed = feed
+        self.feed, self.first, self.last = feed, first, last
+
 
+class _Reading:
+    """What reading a table and reading a stream of pages share."""
 
-class FeedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.start, self.end = date.fromisoformat(options["from"]), date.fromisoformat(options["to"])
         self.feeds = options.get("feed", "json,html").split(",")
         self.timeout = int(options.get("timeout", 30))
+        self.days, self.base = max(1, int(options.get("days", 31))), options.get("base")
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Feed(f) for f in self.feeds]
+    def stretches(self, first: date, last: date) -> list[_Feed]:
+        """Partitions of a closed range of days."""
+        starts = range(0, (last - first).days + 1, self.days)
+        return [_Feed(f, first + timedelta(n), min(last, first + timedelta(n + self.days - 1))) for f in self.feeds for n in starts]
 
     def read(self, partition: _Feed) -> Iterator[tuple]:
         import re
 
+        first, last = partition.first, partition.last
+        at = lambda url, base: url.replace(base, self.base, 1) if self.base else url
         if partition.feed == "json":
-            yield "json", 1, fetch(json_feed.listing_url(self.start, self.end), referer=f"{json_feed.BASE}/", timeout=self.timeout)
+            yield "json", first, last, 1, fetch(at(json_feed.listing_url(first, last), json_feed.BASE), referer=f"{json_feed.BASE}/", timeout=self.timeout)
             return
         row = re.compile(html_feed.ROW.removeprefix("(?i)"), re.I)
 
@@ -89,9 +100,62 @@ class FeedReader(DataSourceReader):
             mark = "|".join([*found[0][:2], *found[-1][:2], str(len(found))]) if found else ""
             return mark, len(found), "title='Next'" in markup or 'title="Next"' in markup
 
-        get = lambda page: fetch(html_feed.LISTING_URL, urlencode(html_feed.listing_form(self.start, self.end, page)).encode(), f"{html_feed.BASE}/", self.timeout, "ignore")
+        get = lambda page: fetch(at(html_feed.LISTING_URL, html_feed.BASE), urlencode(html_feed.listing_form(first, last, page)).encode(), f"{html_feed.BASE}/", self.timeout, "ignore")
         for page, markup in pages(get, describe):
-            yield "html", page, markup
+            yield "html", first, last, page, markup
+
+
+class FeedReader(_Reading, DataSourceReader):
+    """Pages of a range of days. Conditions on feed, first and last become the requests that are made."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.first, self.last = (date.fromisoformat(options[x]) if x in options else None for x in ("from", "to"))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") else None
+            if name == "feed" and isinstance(f, EqualTo | In):
+                wanted = f.value if isinstance(f, In) else (f.value,)
+                self.feeds = [x for x in self.feeds if x in wanted]
+            elif name == "first" and isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+                day = f.value + timedelta(isinstance(f, GreaterThan))
+                self.first = max(self.first or day, day)
+            elif name == "last" and isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                day = f.value - timedelta(isinstance(f, LessThan))
+                self.last = min(self.last or day, day)
+            yield f  # Spark looks at the rows again
+
+    def partitions(self) -> list[InputPartition]:
+        if self.first is None or self.last is None:
+            raise ValueError("name the days by the options from and to, or by conditions on first and last")
+        return self.stretches(self.first, self.last)
+
+
+class FeedStreamReader(_Reading, DataSourceStreamReader):
+    """Pages as days come: an offset is the day that will be read next.
+
+    A batch begins so many days before it (option overlap, 1 by default), as items of
+    the last day may have come later; the merge by their keys makes that harmless.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.start, self.end = options["from"], options.get("to")
+        self.overlap = int(options.get("overlap", 1))
+
+    def initialOffset(self) -> dict:
+        return {"next": self.start}
+
+    def latestOffset(self) -> dict:
+        last = date.fromisoformat(self.end) if self.end else date.today()
+        return {"next": max(self.start, (last + timedelta(1)).isoformat())}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        if start["next"] >= end["next"]:
+            return []
+        first = date.fromisoformat(start["next"]) - timedelta(self.overlap if start["next"] > self.start else 0)
+        return self.stretches(max(first, date.fromisoformat(self.start)), date.fromisoformat(end["next"]) - timedelta(1))
 
 
 class FeedSource(DataSource):
@@ -100,16 +164,26 @@ class FeedSource(DataSource):
         return "gazetta_feed"
 
     def schema(self) -> str:
-        return "feed string, page int, body string"
+        return "feed string, first date, last date, page int, body string"
 
     def reader(self, schema) -> FeedReader:
         return FeedReader(dict(self.options))
 
+    def streamReader(self, schema) -> FeedStreamReader:
+        return FeedStreamReader(dict(self.options))
 
-def read_live(spark: SparkSession, feed: str, start: date, end: date, timeout: int = 30) -> DataFrame:
-    """feed, page and body of a feed for a closed range of dates."""
+
+def register(spark: SparkSession) -> None:
+    """Makes the format known, and lets conditions reach it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FeedSource)
-    return spark.read.format("gazetta_feed").option("feed", feed).option("from", str(start)).option("to", str(end)).option("timeout", timeout).load()
+
+
+def read_live(spark: SparkSession, feed: str, start: date, end: date, timeout: int = 30) -> DataFrame:
+    """feed, page and body of a feed for a closed range of dates, asked for as one."""
+    register(spark)
+    days = (end - start).days + 1  # the listing's own pages follow each other over the whole range
+    return spark.read.format("gazetta_feed").option("feed", feed).option("from", str(start)).option("to", str(end)).option("timeout", timeout).option("days", max(1, days)).load().select("feed", "page", "body")
 
 
 def detail_pages(rows: DataFrame, options: Options | None = None, get: Callable[[str], str] | None = None) -> DataFrame:

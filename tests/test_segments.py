@@ -20,6 +20,7 @@ from gazetta.plans.ingest import index, ingest
 from gazetta.schemas import CIRCULARS
 from gazetta.sources import html_feed as H
 from gazetta.sources import json_feed as J
+from gazetta.sources.archives import directory, member_contents, unpacked
 from gazetta.sources.assets import contents, land, qualified
 from gazetta.store import Conflict, Store
 
@@ -47,7 +48,7 @@ def score_rows(df):
     return [(r.chunk_id, round(r.score, 9)) for r in df.collect()]
 
 
-def test_index_after_changes_equals_one_built_anew(spark, tmp_path):
+def test_index_after_changes_equals_one_built_anew(spark, tmp_path, monkeypatch):
     rng, live = random.Random(2), {}
     ix = G.Index(spark, spark.createDataFrame([], SCHEMA).schema)
     merged = 0
@@ -67,6 +68,13 @@ def test_index_after_changes_equals_one_built_anew(spark, tmp_path):
     final = spark.createDataFrame(list(live.values()), SCHEMA)
     assert sorted(ix.terms().collect()) == sorted(X.inverted(final).terms.collect())
     assert abs(ix.average - X.totals(final).first().average) < 1e-9
+    monkeypatch.setattr(G, "FREQUENT", 3)
+    short = ix.updated(spark.createDataFrame([("new", "r999", 0, "alpha beta beta gamma gamma gamma delta", "s")], SCHEMA), str(tmp_path / "ix"), fanout=99)
+    exact = {r.term: r.cf for r in short.terms().collect()}
+    assert short.segments[-1].floor == 1 and all(r.least <= exact[r.term] <= r.most for r in short.frequent(100).collect())
+    told = ix.summary().first()
+    assert told.n == len(live) and abs(told.distinct - len({v[3] for v in live.values()})) < 0.3 * told.distinct and len(told.lengths) == 3
+    assert G.Index(spark, ix.columns).summary().first().lengths is None and G.Index(spark, ix.columns).frequent().count() == 0
     fewer = 0
     for query, filters, size in [("margin rule", None, 5), ("the the of", None, 40), ("risk", None, 1000), ("nowhere", None, 5), ("fund notice of", {"source": ["s1"]}, 7), ("the", {"source": []}, 7), ("the", {"source": None}, 3), ("risk fund notice", None, 3)]:
         found = G.top(ix, query, filters, size)
@@ -182,3 +190,35 @@ def test_command_line_options(spark, tmp_path, capsys):
     assert cli.main([*args, "--size", "2", "--escape"]) == 0
     out = capsys.readouterr().out.splitlines()
     assert len(out) == 2 and "&lt;b&gt;" in out[0]
+
+
+def test_archives_by_ranges(spark, tmp_path):
+    import zipfile
+
+    def archive(path, names, method=zipfile.ZIP_DEFLATED, text="text of "):
+        with zipfile.ZipFile(path, "w", method) as z:
+            for n in names:
+                z.writestr(n, text + n)
+
+    names = [f"d/{i:05d}.pdf" for i in range(10_000)]
+    archive(tmp_path / "large.zip", names)
+    archive(tmp_path / "stored.zip", ["a.PDF", "b.txt", "ü.pdf"], zipfile.ZIP_STORED)
+    archive(tmp_path / "none.zip", ["b.txt"])
+    (tmp_path / "broken.zip").write_bytes(b"PK\x03\x04broken")
+    raw = bytearray((tmp_path / "stored.zip").read_bytes())
+    raw[raw.index(b"text of a.PDF")] = ord("T")
+    (tmp_path / "changed.zip").write_bytes(raw)
+    rows = [(x, str(tmp_path / f"{x}.zip")) for x in ("large", "stored", "none", "broken", "changed", "missing")]
+    found = directory(spark.createDataFrame(rows, "archive string, path string"))
+    out = member_contents(found, 16)
+    tasks = out.where("archive = 'large'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 16 and max(r["count"] for r in tasks) < 1000
+    got = {(r.archive, r.member): (r.position, r.content and bytes(r.content).decode(), r.error) for r in out.where("archive != 'large'").collect()}
+    assert got["stored", "a.PDF"] == (1, "text of a.PDF", None) and got["stored", "ü.pdf"] == (2, "text of ü.pdf", None)
+    assert got["changed", "a.PDF"] == (1, None, "checksum differs") and got["changed", "ü.pdf"][1] == "text of ü.pdf"
+    assert got["none", None][2] == "ZIP archive contains no PDFs: none" and got["broken", None][2] and got["missing", None][2] and len(got) == 7
+    assert out.where("archive = 'large' AND error IS NULL AND decode(content, 'UTF-8') = concat('text of ', member)").count() == 10_000
+    with pytest.raises(RuntimeError, match="encrypted"):
+        unpacked(b"", 8, 1, 0)
+    with pytest.raises(RuntimeError, match="method 12"):
+        unpacked(b"", 12, 0, 0)
