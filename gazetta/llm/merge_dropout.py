@@ -33,6 +33,8 @@ from gazetta.llm.common import lean, table
 MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 7
 #: Words whose plain segmentation is kept in one of two generations (some 350 bytes each).
 KEPT = 120_000
+#: Words that were met once of which the hash is remembered.
+SEEN = 1_000_000
 #: Characters of the texts whose new words are segmented together, and rows of a matrix of them.
 CHARS, ROWS = 2_000_000, 1 << 13
 
@@ -101,7 +103,7 @@ class Vocabulary:
 
     @cached_property
     def pairs(self):
-        """Symbols for the matrix agenda: of each code point, and of each pair of symbols (sorted) the rank and the merged symbol."""
+        """Symbols for the matrix agenda: of each code point; of pairs of symbols, in the slots of a table by hash, the pair, the rank and the merged symbol; and the piece of each symbol."""
         symbols = dict.fromkeys(c for p in self.ids for c in p) | dict.fromkeys(self.ids)
         symbols = {p: i for i, p in enumerate(symbols)}
         points = np.full(0x110000, -1, np.int32)
@@ -109,9 +111,17 @@ class Vocabulary:
             if len(p) == 1:
                 points[ord(p)] = i
         found = [(symbols[p[:k]] << 32 | symbols[p[k:]], r, symbols[p]) for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in symbols and p[k:] in symbols]
-        found.sort()
         key, rank, merged = (np.array(x, np.int64) for x in zip(*found, strict=True))
-        return points, key, rank, merged, np.array([self.ids.get(p, -1) for p in symbols], np.int32)
+        slots = np.full(1 << _SLOTS, -2, np.int64)
+        put = np.zeros((2, 1 << _SLOTS), np.int32)
+        left, slot = np.arange(len(key)), _slot(key)
+        while len(left):  # those whose slot is taken go one further
+            free = slots[slot] == -2
+            slots[slot[free]] = key[left[free]]
+            done = slots[slot] == key[left]
+            put[0, slot[done]], put[1, slot[done]] = rank[left[done]], merged[left[done]]
+            left, slot = left[~done], (slot[~done] + 1) & ((1 << _SLOTS) - 1)
+        return points, slots, put[0], put[1], np.array([self.ids.get(p, -1) for p in symbols], np.int32)
 
     def segment_all(self, words: list[str], keys: np.ndarray, dropout: float, paths: list | None = None) -> list[bytes]:
         """Like segment for many words, as bytes of 32-bit ids. Each word is a row of a matrix, of which every round does the best merge of every row. paths, a list of their number, gets the places of each word's merges as bytes."""
@@ -139,63 +149,67 @@ class Vocabulary:
 
     def _rounds(self, words: list[str], size: np.ndarray, keys: np.ndarray, width: int, dropout: float, done: list | None = None) -> list[bytes]:
         points, pair, rank, merged, ids = self.pairs
-        n, none = len(words), 1 << 40
+        n, none = len(words), 1 << 30
         text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = np.arange(width) < size[:, None]
-        symbol = np.full((n, width + 2), -1, np.int64)
+        # a piece stands where it begins; after and before tell where the next and the last one begin, so a merge moves nothing
+        symbol = np.full((n, width + 2), -1, np.int32)
         symbol[:, :width][inside] = points[text]
-        start = np.tile(np.arange(width + 2), (n, 1))
-        start = np.minimum(start, size[:, None])
+        after = np.tile(np.arange(1, width + 3, dtype=np.int16), (n, 1))
+        before = np.tile(np.arange(-1, width + 1, dtype=np.int16), (n, 1))
+        alive = inside.copy()
         bar = int(dropout * 65536)
 
         def look(row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Rank (none if there is no merge or it is skipped) and merged symbol of the pair at col."""
-            a, b = symbol[row, col], symbol[row, col + 1]
-            want = np.where((a < 0) | (b < 0), -1, a << 32 | b)
-            at = np.minimum(np.searchsorted(pair, want), len(pair) - 1)
+            """Rank (none if there is no merge or it is skipped) and merged symbol of the piece at col with the next one."""
+            m = after[row, col]
+            a, b = symbol[row, col], symbol[row, m]
+            want = np.where((a < 0) | (b < 0), -1, a.astype(np.int64) << 32 | b)
+            at = _slot(want)
             ok = pair[at] == want
+            on = np.flatnonzero(~ok & (pair[at] != -2) & (want >= 0))
+            while len(on):
+                at[on] = (at[on] + 1) & ((1 << _SLOTS) - 1)
+                ok[on] = pair[at[on]] == want[on]
+                on = on[~ok[on] & (pair[at[on]] != -2)]
             if bar:
-                i, m, j = (start[row, col + d].astype(np.uint64) for d in range(3))
-                h = (keys[row] ^ (i << np.uint64(42) | m << np.uint64(21) | j)) * np.uint64(_M1)
+                j = np.minimum(after[row, m], width)
+                place = col.astype(np.uint64) << np.uint64(42) | m.astype(np.uint64) << np.uint64(21) | j.astype(np.uint64)
+                h = (keys[row] ^ place) * np.uint64(_M1)
                 ok &= ((h ^ h >> np.uint64(29)) * np.uint64(_M2) >> np.uint64(48)) >= bar
             return np.where(ok, rank[at], none), merged[at]
 
-        best = np.full((n, width), none, np.int64)
-        into = np.zeros((n, width), np.int64)
+        best = np.full((n, width), none, np.int32)
+        into = np.zeros((n, width), np.int32)
         row, col = np.nonzero(inside[:, 1:])
         best[row, col], into[row, col] = look(row, col)
-        left, active = size.copy(), np.arange(n)
-        columns = np.arange(width + 1)
+        active = np.arange(n)
         while len(active):
-            at = best[active].argmin(1)
-            go = best[active, at] < none
+            own = best if len(active) == n else best[active]
+            at = own.argmin(1)
+            go = own[np.arange(len(active)), at] < none
             active, at = active[go], at[go]
             if not len(active):
                 break
+            m = after[active, at]
+            j = after[active, m]
             if done is not None:
-                done.append((active, start[active, at] << 42 | start[active, at + 1] << 21 | start[active, at + 2]))
+                done.append((active, at << 42 | m.astype(np.int64) << 21 | j))
             symbol[active, at] = into[active, at]
-            # what stands behind the merge moves up by one
-            move = columns[None, :] > at[:, None]
-            for x in (symbol, start):
-                own = x[active]
-                x[active, : width + 1] = np.where(move, own[:, 1:], own[:, :-1])
-            for x, fill in ((best, none), (into, 0)):
-                own = x[active]
-                x[active, : width - 1] = np.where(move[:, : width - 1], own[:, 1:], own[:, :-1])
-                x[active, width - 1] = fill
-            left[active] -= 1
+            alive[active, m] = False
+            best[active, m] = none
+            after[active, at], before[active, j] = j, at
             best[active, at], into[active, at] = look(active, at)
-            before = at > 0
-            rows, cols = active[before], at[before] - 1
+            left = before[active, at]
+            some = left >= 0
+            rows, cols = active[some], left[some]
             best[rows, cols], into[rows, cols] = look(rows, cols)
         known = np.where(symbol[:, :width] >= 0, ids[symbol[:, :width]], -1).astype(np.int32)
-        real = np.arange(width) < left[:, None]
-        flat, edge = known[real].tobytes(), np.r_[0, np.cumsum(left)] * 4
+        flat, edge = known[alive].tobytes(), np.r_[0, np.cumsum(alive.sum(1))] * 4
         out = [flat[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        for i in np.flatnonzero(((known < 0) & real).any(1)):
-            cut = start[i]
-            ids_of = [[known[i, k]] if known[i, k] >= 0 else self._bytes(words[i][cut[k] : cut[k + 1]]) for k in range(left[i])]
+        for i in np.flatnonzero(((known < 0) & alive).any(1)):
+            cut = np.r_[np.flatnonzero(alive[i]), size[i]]
+            ids_of = [[known[i, a]] if known[i, a] >= 0 else self._bytes(words[i][a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             out[i] = np.array([t for x in ids_of for t in x], np.int32).tobytes()
         return out
 
@@ -211,6 +225,15 @@ def _place(i: int, m: int, j: int) -> int:
     return (i << 42 ^ m << 21 ^ j) & _64
 
 
+#: Bits of the number of slots for pairs of symbols.
+_SLOTS = 20
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    """Where the search for a pair begins."""
+    return ((pairs.view(np.uint64) * np.uint64(_M1)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
 @lru_cache(maxsize=2)
 def vocabulary(model: str = MODEL) -> Vocabulary:
     return Vocabulary(model)
@@ -223,28 +246,48 @@ class Segmenter:
         self.vocab, self.seed, self.dropout = vocabulary(model), seed, dropout
         self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
+        self.seen: set[int] = set()
+
+    def plain(self, order: list[str], counts: np.ndarray) -> list[tuple[bytes, bytes] | None]:
+        """The plain segmentation of each of some distinct words and the places of its merges; None for words that are met for the first time and once.
 
-    def learn(self, found: dict[str, int]) -> None:
-        """Sees to it that the words are kept. Two generations: what is used again outlives the words that fill a generation up."""
-        if len(self.kept) + len(found) > KEPT:
+        Those are segmented with their own draws at once, and don't fill up what is
+        kept. Two generations: what is used again outlives the words that fill one up.
+        """
+        if len(self.kept) > KEPT:
             self.kept, self.old = {}, self.kept
-        young, old = self.kept, self.old
-        new = [w for w in found if w not in young and ((known := old.get(w)) is None or young.update({w: known}))]
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        young, old, seen = self.kept, self.old, self.seen
+        out: list = list(map(young.get, order))
+        new, at = [], []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            w = order[i]
+            if (x := old.get(w)) is not None:
+                out[i] = young[w] = x
+            elif counts[i] > 1 or hash(w) in seen:
+                new.append(w)
+                at.append(i)
+            else:
+                seen.add(hash(w))
         paths: list = [b""] * len(new)
         ids = self.vocab.segment_all(new, np.zeros(len(new), np.uint64), 0.0, paths)
-        young.update(zip(new, zip(ids, paths, strict=True), strict=True))
+        for i, w, own in zip(at, new, zip(ids, paths, strict=True), strict=True):
+            out[i] = young[w] = own
+        return out
 
     def encode(self, texts: list[str], docs: list[int], copies: list[int] | None = None) -> list[np.ndarray]:
         found = [words(t) for t in texts]
         flat = [w for own in found for w in own]
         if not flat:
             return [np.empty(0, np.int32) for _ in texts]
-        order: dict[str, int] = {}
-        which = np.array([order.setdefault(w, len(order)) for w in flat])
-        self.learn(order)
+        order, which = _distinct(flat)
+        plain = self.plain(order, np.bincount(which, minlength=len(order)))
         keys = np.concatenate([_keys(doc, copy, len(own), self.seed) for doc, copy, own in zip(docs, copies or [0] * len(docs), found, strict=True)])
-        out = [self.kept[w][0] for w in flat]
-        anew = np.flatnonzero(self._skipped([self.kept[w][1] for w in order], which, keys))
+        ids_of = [x and x[0] for x in plain]
+        out = [ids_of[i] for i in which.tolist()]
+        first = np.fromiter((x is None for x in plain), bool, len(plain))
+        anew = np.flatnonzero(self._skipped([x[1] if x else b"" for x in plain], which, keys) | first[which])
         again = self.vocab.segment_all([flat[i] for i in anew], keys[anew], self.dropout)
         for i, ids in zip(anew.tolist(), again, strict=True):
             out[i] = ids
@@ -290,6 +333,13 @@ def encode(text: str, doc: int = 0, model: str = MODEL, seed: int = SEED, dropou
     return segmenter(model, seed, dropout).encode([text], [doc])[0]
 
 
+def _distinct(flat: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct words of a list, and which of them each is."""
+    order = dict.fromkeys(flat)
+    order.update(zip(order, range(len(order)), strict=True))
+    return list(order), np.fromiter(map(order.__getitem__, flat), np.int64, len(flat))
+
+
 def _slices(sizes: list[int], most: int) -> Iterator[slice]:
     """Slices of about so much together, one item at least."""
     start = size = 0
