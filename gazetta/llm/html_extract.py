@@ -333,26 +333,27 @@ def extract(page: str | None, model: Model) -> str:
 
 
 #: Labelled layouts: names of the parts around an article, by kind; the first of a
-#: pair is the tag. Stated plainly; the pages are made from them by a seeded draw.
+#: pair is the tag, and behind it stands a class (.), an id (#) or a role (@), in
+#: English and some in German, French and Spanish. Stated plainly; the pages are made from them by a seeded draw.
 PARTS = {
-    "menu": "nav nav.menu nav#navigation div.nav div.navbar div.menu ul.menu ul#main-nav div#menu div.breadcrumb div.breadcrumbs nav.pagination div.pager div.toolbar div.topbar div.tabs",
-    "header": "header header.site-header div.header div#header div.masthead div.site-title div.logo div.branding div.banner div#top",
-    "footer": "footer footer.site-footer div.footer div#footer div.copyright div.legal div.bottom div.credits",
-    "sidebar": "aside aside.sidebar div.sidebar div#sidebar div.related div.related-posts div.widget div.widget-area div.trending div.popular div.recommended div.more div.rail div.tags div.author-box div.secondary aside.related div.side",
-    "notice": "div.notice div.cookie-notice div#cookie-banner div.cookies div.alert div.consent div.gdpr div.newsletter div.subscribe div.subscription div.paywall div.popup div.modal div.overlay p.disclaimer div.disclaimer div.message div.warning section.notice aside.notice div.announcement p.notice p.cookie dialog",
-    "advert": "div.ad div.ads div.advert div.advertisement div#ad-top div.sponsored div.sponsor div.promo div.promotion aside.ad aside.advert section.ad p.ad ins.adsbygoogle div.banner-ad div.adbox div.commercial",
-    "form": "form form.search form#login div.form div.search div.search-box div.login form.contact form.comment-form div.signup",
-    "comments": "section.comments section#comments div.comments div#comments div.comment ol.comment-list ul.comments div.replies div#disqus_thread div.discussion section.reader-comments div.responses article.comment div.user-comments section.feedback div.reviews aside.comments",
+    "menu": "nav nav.menu nav#navigation div.nav div.navbar div.menu ul.menu ul#main-nav div#menu div.breadcrumb div.breadcrumbs nav.pagination div.pager div.toolbar div.topbar div.tabs div@navigation div@menu div.navigation div.menue",
+    "header": "header header.site-header div.header div#header div.masthead div.site-title div.logo div.branding div.banner div#top div@banner div.kopf div.cabecera div.entete",
+    "footer": "footer footer.site-footer div.footer div#footer div.copyright div.legal div.bottom div.credits div@contentinfo div.fuss div.impressum div.pie",
+    "sidebar": "aside aside.sidebar div.sidebar div#sidebar div.related div.related-posts div.widget div.widget-area div.trending div.popular div.recommended div.more div.rail div.tags div.author-box div.secondary aside.related div.side div@complementary div.seitenleiste div.verwandt div.lateral div.relacionados div.barre-laterale",
+    "notice": "div.notice div.cookie-notice div#cookie-banner div.cookies div.alert div.consent div.gdpr div.newsletter div.subscribe div.subscription div.paywall div.popup div.modal div.overlay p.disclaimer div.disclaimer div.message div.warning section.notice aside.notice div.announcement p.notice p.cookie dialog div.hinweis div.avis div.aviso div@dialog div@alert div@alertdialog section@status",
+    "advert": "div.ad div.ads div.advert div.advertisement div#ad-top div.sponsored div.sponsor div.promo div.promotion aside.ad aside.advert section.ad p.ad ins.adsbygoogle div.banner-ad div.adbox div.commercial div.werbung div.anzeige div.publicite div.publicidad aside.anuncio",
+    "form": "form form.search form#login div.form div.search div.search-box div.login form.contact form.comment-form div.signup div@search div@form div.suche div.recherche div.formular",
+    "comments": "section.comments section#comments div.comments div#comments div.comment ol.comment-list ul.comments div.replies div#disqus_thread div.discussion section.reader-comments div.responses article.comment div.user-comments section.feedback div.reviews aside.comments div.kommentare section.commentaires div.comentarios",
     "share": "div.share div.social ul.social-links div.sharing div.follow",
 }
-CONTENT = ["<p>%</p>"] * 8 + "<p>% <h2>@</h2> <h3>@</h3> <h4>@</h4> <ul><li>%</li><li>%</li></ul> <ol><li>%<li>%</ol> <blockquote>%</blockquote> <blockquote><p>%</p></blockquote> <pre>%</pre> <table><tr><th>@</th><td>@</td></tr><tr><td>%</td><td>@</td></tr></table> <figure><img><figcaption>@</figcaption></figure> <div>%</div> <section><h2>@</h2><p>%</p></section> % <dl><dt>@</dt><dd>%</dd></dl>".split()
+CONTENT = ["<p>%</p>"] * 8 + "<p>% <h2>@</h2> <h3>@</h3> <h4>@</h4> <ul><li>%</li><li>%</li></ul> <ol><li>%<li>%</ol> <blockquote>%</blockquote> <blockquote><p>%</p></blockquote> <pre>%</pre> <table><tr><th>@</th><td>@</td></tr><tr><td>%</td><td>@</td></tr></table> <figure><img><figcaption>@</figcaption></figure> <div>%</div> <section><h2>@</h2><p>%</p></section> % <dl><dt>@</dt><dd>%</dd></dl> <p><a>@</a></p> <ul><li><a>@</a></li><li><a>@</a></li></ul> <p><a>@</a>_<a>@</a></p>".split()
 WRAPS = "article article.post article.story main main#content div.content div#content div.post div.post-body div.entry div.entry-content div.article div.article-body div.story div.text div.body-text section.article section.content div.main div#main article.article div.page-content"
 OUTER = "- - div.wrapper div#page div.container main div#main div.site div.row div.layout section"
 
 
 def _open(name: str, gold: bool = False) -> tuple[str, str]:
-    tag, mark, value = name.partition("." if "." in name else "#")
-    attr = f' {"class" if mark == "." else "id"}="{value}"' if value else ""
+    tag, mark, value = name.partition(next((m for m in ".@" if m in name), "#"))
+    attr = f' {dict(zip(".@#", ("class", "role", "id"), strict=True))[mark]}="{value}"' if value else ""
     return f"<{tag}{attr}{' data-gold=1' if gold else ''}>", f"</{tag}>"
 
 

@@ -173,3 +173,13 @@ def test_pipeline(spark, sf_dir):
     assert len(out) == sizes[-1]
     vocab = merge_dropout.vocabulary()
     assert all(vocab.decode(r.ids) == left[r.doc_id] for r in out)
+
+
+def test_links_in_articles_and_parts_by_role_or_in_other_languages():
+    story = "".join(f"<p>Some long paragraph number {k} of the article that tells a story with many words in it.</p>" for k in range(4))
+    page = lambda before, middle, after: f"<html><body>{before}<article><h1>Title of it</h1>{story}{middle}{story}</article>{after}</body></html>"
+    read = lambda *parts: html_extract.extract(page(*parts), html_extract.trained())
+    assert "one long link" in read("<nav><a href=/>Home</a></nav>", "<p><a href=/a>A paragraph being one long link of some words to read</a></p>", "")
+    for part in ('<div role="dialog" class="x"><p>We use cookies here</p></div>', '<div class="werbung"><p>We use cookies here</p></div>', '<div class="hinweis"><p>We use cookies here</p></div>', '<div class="kommentare"><p>We use cookies here</p></div>'):
+        assert "cookies" not in read(part, "", "") and "cookies" not in read("", "", part), part
+        assert read(part, "", "").count("tells a story") == 8
