@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gazetta.llm import fertility, html_extract, jaccard_join, license_scan, media_audio, merge_dropout, mixing, packing, preference, quality_rules, secret_scan, spelling, whitening
+from gazetta.llm import base_columns, fertility, html_extract, jaccard_join, license_scan, media_audio, merge_dropout, mixing, packing, preference, quality_rules, secret_scan, spelling, whitening
 
-MODULES = (html_extract, media_audio, fertility, license_scan, preference, merge_dropout, secret_scan, jaccard_join, mixing, quality_rules, spelling, whitening, packing)
+MODULES = (html_extract, media_audio, fertility, license_scan, preference, merge_dropout, secret_scan, jaccard_join, mixing, quality_rules, spelling, whitening, packing, base_columns)
 
 
 def queries() -> dict:

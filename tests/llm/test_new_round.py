@@ -208,3 +208,17 @@ def test_nothing_to_pack(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA)).collect() == []
     (row,) = packing.packed(spark.createDataFrame([(None, None, "w", 1, "f", 2, 3, "r")], SCHEMA)).collect()
     assert (row.doc_id, row.start, row.length, row.doc_tokens, row.offset, row.ids) == (None, 0, 1, 1, 0, [2])
+
+
+@pytest.mark.parametrize("name", ["base_counts", "base_licenses", "base_secrets", "base_sizes"])
+def test_columns_that_sql_tells(spark, sf_dir, name):
+    import duckdb
+
+    from gazetta.llm import base_columns
+
+    got = base_columns.QUERIES[name](spark, sf_dir).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(base_columns.ORACLE_SQL[name]).df()[list(got.columns)]
+    plain = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).replace({float("nan"): None}).itertuples(index=False, name=None)))
+    assert [x.replace(".0", "") for x in plain(got)] == [x.replace(".0", "") for x in plain(want)]
