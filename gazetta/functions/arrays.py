@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stretches that a level of running values joins, and levels: enough for arrays of WIDE ** LEVELS elements.
+#: Stretches that a level of running values joins, and levels: enough for arrays of WIDE ** LEVELS elements (16 million); longer ones are an error.
 WIDE, LEVELS = 64, 4
 
 
@@ -33,7 +33,8 @@ def running(values: Column, join: Callable[[Column, Column], Column] = lambda a,
                 return F.when(i < far, v).otherwise(F.aggregate(back, v, lambda a, j: join(F.get(x, i - j * far), a)))
 
             more = F.transform(x, joined)
-            return F.when(F.size(x) <= far, x).otherwise(once(more, longer(level + 1)) if level + 1 < LEVELS else more)
+            last = F.when(F.size(x) <= far * WIDE, more).otherwise(F.raise_error(F.lit(f"running values of more than {far * WIDE} elements")))
+            return F.when(F.size(x) <= far, x).otherwise(once(more, longer(level + 1)) if level + 1 < LEVELS else last)
 
         return step
 

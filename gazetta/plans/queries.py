@@ -60,7 +60,7 @@ def now() -> Column:
 
 CIRCULARS = f"""circulars AS (
   SELECT 'rec-' || doc_id AS id, source, 'DOC' || doc_id AS circular_id, 'key/' || doc_id AS source_item_key, 'REF/' || doc_id AS full_reference,
-    lang AS department, left(text, 40) AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS issue_date,
+    lang AS department, text AS title, CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS DATE) AS issue_date,
     CAST(NULL AS DATE) AS effective_date, 'https://x.example/' || doc_id AS url, 'https://x.example/' || doc_id || '.pdf' AS pdf_url,
     CASE doc_id % 10 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'DISCOVERED' ELSE 'FETCHED' END AS status,
     CASE WHEN doc_id % 4 > 0 THEN '/files/' || doc_id || '.pdf' END AS file_path, CASE WHEN doc_id % 3 > 0 THEN 'hash' || doc_id END AS content_hash,
@@ -277,15 +277,17 @@ def a7_chunk_counts(spark, sf_dir):
     return X.chunk_counts(chunks(spark, sf_dir).withColumnRenamed("doc_id", "circular_db_id"))
 
 
-P8 = [f.name for f in X.CHUNKS if f.name not in ("indexed_at", "chunk_id", "effective_date")]
+P8 = [f.name for f in X.CHUNKS if f.name not in ("indexed_at", "effective_date")]
 
 
 @query(f"""WITH {CIRCULARS}, {ASSETS}, {chunk_sql()},
 x AS (SELECT *, max(CASE WHEN asset_role = 'extracted_pdf' THEN 1 ELSE 0 END) OVER (PARTITION BY circular_id) AS has FROM assets),
-a AS (SELECT * FROM x WHERE asset_role = 'extracted_pdf' OR (has = 0 AND asset_role = 'original_pdf'))
-SELECT r.id AS circular_db_id, r.circular_id, a.id AS asset_id, a.asset_role, r.source, r.title, r.department, r.issue_date, r.full_reference, r.url, r.pdf_url,
-  a.file_path, a.archive_member_path, coalesce(nullif(a.content_hash, ''), r.content_hash) AS content_hash, c.chunk_index, c.chunk_text
-FROM circulars r JOIN a ON a.circular_id = r.id JOIN chunks c ON 'rec-' || c.doc_id = r.id""")
+a AS (SELECT * FROM x WHERE asset_role = 'extracted_pdf' OR (has = 0 AND asset_role = 'original_pdf')),
+p AS (SELECT r.id AS circular_db_id, r.circular_id, a.id AS asset_id, a.asset_role, r.source, r.title, r.department, r.issue_date, r.full_reference, r.url, r.pdf_url,
+  a.file_path, a.archive_member_path, coalesce(nullif(a.content_hash, ''), r.content_hash) AS content_hash, c.chunk_index, c.chunk_text,
+  r.source || ':' || r.circular_id || ':' || a.asset_role || ':' || coalesce(nullif(a.archive_member_path, ''), a.file_path) || ':' || c.chunk_index AS place
+FROM circulars r JOIN a ON a.circular_id = r.id JOIN chunks c ON 'rec-' || c.doc_id = r.id)
+SELECT * EXCLUDE (place), place || ':' || left(sha1(place || ':' || chunk_text), 12) AS chunk_id FROM p""")
 def p8_index_documents(spark, sf_dir):
     records, assets = adapted(spark, sf_dir, "circulars", "assets")
     own = A.indexable(assets)
