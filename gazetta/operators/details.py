@@ -34,6 +34,7 @@ def summaries(records: DataFrame, assets: DataFrame) -> DataFrame:
 def of_hits(hits: DataFrame, records: DataFrame, assets: DataFrame) -> DataFrame:
     """chunk_id, score, circular and assets of each hit, by the record that its chunk names."""
     few = hits.select("chunk_id", "score", F.col("circular_db_id").alias("id"))
-    own = records.join(F.broadcast(few.select("id").distinct()), "id", "left_semi")  # hits are as many as a search gives
-    found = details(own, assets.join(F.broadcast(few.select(F.col("id").alias("circular_id")).distinct()), "circular_id", "left_semi"))
-    return found.join(F.broadcast(few), F.col("circular.id") == F.col("id")).select("chunk_id", "score", "circular", "assets")
+    # hits may be any number; Spark knows of a search's that they are few, and broadcasts them
+    own = records.join(few.select("id").distinct(), "id", "left_semi")
+    found = details(own, assets.join(few.select(F.col("id").alias("circular_id")).distinct(), "circular_id", "left_semi"))
+    return found.join(few, F.col("circular.id") == F.col("id")).select("chunk_id", "score", "circular", "assets")

@@ -300,11 +300,14 @@ def _postings(chunks: DataFrame) -> DataFrame:
         before = lambda i: F.when(i == 0, 0).otherwise(F.get(e, i - 1))
         return F.transform(e, lambda end, i: F.struct(c(end).bitwiseAND((1 << SLOT) - 1).cast("int").alias("slot"), (end - before(i)).cast("int").alias("tf"), F.shiftright(c(end), SLOT).cast("int").alias("dl")))
 
-    found = found.select("term", "block", once(ends, docs).alias("docs"))
+    # most words stand once in a block, which needs no search for where a chunk's codes end
+    one = F.array(F.struct(F.get("codes", F.lit(0)).bitwiseAND((1 << SLOT) - 1).cast("int").alias("slot"), F.lit(1).alias("tf"), F.shiftright(F.get("codes", F.lit(0)), SLOT).cast("int").alias("dl")))
+    found = found.select("term", "block", F.when(F.size("codes") == 1, one).otherwise(once(ends, docs)).alias("docs"))
     # tf rises and dl falls with the score, so of each tf the shortest counts, if no larger tf is as short
     pairs = F.array_distinct(F.transform("docs", lambda d: F.struct(d["tf"].alias("tf"), d["dl"].alias("dl"))))
     best = once(pairs, lambda p: F.filter(p, lambda x: ~F.exists(p, lambda y: (y["tf"] >= x["tf"]) & (y["dl"] <= x["dl"]) & ((y["tf"] > x["tf"]) | (y["dl"] < x["dl"])))))
-    return found.select("term", "block", F.size("docs").alias("n"), best.alias("impacts"), "docs")
+    alone = F.transform("docs", lambda d: F.struct(d["tf"].alias("tf"), d["dl"].alias("dl")))
+    return found.select("term", "block", F.size("docs").alias("n"), F.when(F.size("docs") == 1, alone).otherwise(best).alias("impacts"), "docs")
 
 
 # ---- search ----------------------------------------------------------------

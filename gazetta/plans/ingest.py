@@ -129,6 +129,7 @@ def run(store: Store, sources: list[Source], today: date, now: Column, options:
     would ask the site again.
     """
     options, out = options or Options(), {}
+    ship(store.spark)
     for source in sources:
         known = store.table("scraper_checkpoints").where(F.col("source") == source.name).select("last_run_date").first()
         start = known[0] if known and known[0] else today - timedelta(days=options.lookback_days)

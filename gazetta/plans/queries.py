@@ -191,9 +191,10 @@ def a10_summary(spark, sf_dir):
     """Whether what sketches of merged segments say is within their bounds."""
     ix = changed_index(spark, sf_dir).compacted(fresh_path(spark, "segments"))
     told = ix.summary((0.5,)).first()
-    near = F.avg((F.size(T.tokens("chunk_text")) <= told["lengths"][0]).cast("double"))
-    exact = ix.chunks().agg(F.count_distinct("chunk_text").alias("texts"), near.alias("near"))
-    return exact.select(F.lit(told["n"]).cast("long").alias("n"), "texts", (F.abs(F.lit(told["distinct"]) - F.col("texts")) <= 0.05 * F.col("texts")).alias("distinct_within"), (F.abs(F.col("near") - 0.5) <= 0.03).alias("median_within"))
+    size, median = F.size(T.tokens("chunk_text")), told["lengths"][0]
+    share = lambda c: F.avg(c.cast("double"))
+    exact = ix.chunks().agg(F.count_distinct("chunk_text").alias("texts"), share(size < median).alias("under"), share(size <= median).alias("up_to"))
+    return exact.select(F.lit(told["n"]).cast("long").alias("n"), "texts", (F.abs(F.lit(told["distinct"]) - F.col("texts")) <= 0.05 * F.col("texts")).alias("distinct_within"), ((F.col("under") <= 0.53) & (F.col("up_to") >= 0.47)).alias("median_within"))
 
 
 @query(f"SELECT term, cf, true AS within FROM (WITH {changed_sql(TERMS)}) ORDER BY cf DESC, term LIMIT 20")
@@ -341,6 +342,14 @@ def f2_date_range(spark, sf_dir):
     return S.issued_between(records, F.lit("2024-03-24").cast("date"), F.lit("2024-03-25").cast("date")).select("id", "issue_date")
 
 
+@query(f"WITH {CIRCULARS} SELECT id, source, title, status FROM circulars WHERE id = 'rec-' || (SELECT min(doc_id) FROM labels)")
+def f4_by_id(spark, sf_dir):
+    """The record of one id, that of the first document with a label."""
+    (records,) = adapted(spark, sf_dir, "circulars")
+    wanted = table(spark, sf_dir, "labels").agg(F.min("doc_id")).first()[0]
+    return S.by_id(records, f"rec-{wanted}").select("id", "source", "title", "status")
+
+
 @query(f"WITH {CIRCULARS} SELECT id, upper(source) AS source, circular_id FROM circulars WHERE upper(circular_id) = 'DOC7'")
 def f5_by_circular_id(spark, sf_dir):
     (records,) = adapted(spark, sf_dir, "circulars")

@@ -9,9 +9,11 @@ item is due again.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -72,6 +74,7 @@ def _row(key, *values) -> pd.DataFrame:
 
 def states(events: DataFrame, retry_ms: int = 3_600_000, watermark: str = "7 days") -> DataFrame:
     """A row of STATE for each key and micro-batch in which it changed, of a stream of EVENT rows; those that are behind the watermark are left out."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's own worker doesn't see what was sent to the executors
     keyed = events.withWatermark("at", watermark).groupBy("source", "source_item_key")
     return keyed.transformWithStateInPandas(statefulProcessor=Lifecycle(retry_ms), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
 
