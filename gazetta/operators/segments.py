@@ -6,7 +6,7 @@ below zero. So statistics of the index are sums over the segments, and a batch c
 what it changes. Segments of like size are merged, the newest ones first, so that
 there are few of them.
 
-    <path>/chunks/part=P     chunks, with block and slot (64 slots a block) and dl, their tokens
+    <path>/chunks/part=P     chunks, dealt by hash of the record, with block and slot (64 slots a block) and dl, their tokens
     <path>/postings/bucket=B term, block, n, impacts (the pairs of tf and dl that can score best), docs (slot, tf, dl)
     <path>/terms/bucket=B    term, df, cf
     <path>/dead              places (segment, block, slot) in older segments
@@ -26,18 +26,20 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazetta.functions.arrays import once
 from gazetta.functions.text import TOKEN, query_tokens, tokens
 from gazetta.operators.search import bm25, checked, filtered
 
 #: Bits of the slot in a block, and of the block in a part (64 chunks a block; Spark counts rows of a partition in 33 bits).
 SLOT, IN_PART = 6, 27
-#: Chunks of a part and postings of a bucket of terms, in mean.
-PART_CHUNKS, BUCKET_CHUNKS = 200_000, 20_000
+#: Chunks of a part, and for each bucket of terms, in mean; buckets at most (each part has a file in every bucket).
+PART_CHUNKS, BUCKET_CHUNKS, BUCKETS = 20_000, 20_000, 16
 #: So many segments of one size class are merged into one of the next.
 FANOUT = 8
 #: Terms of a segment whose counts are kept apart.
@@ -64,6 +66,8 @@ class Segment:
     dead: int
     #: No term that isn't among the frequent ones has a larger count here.
     floor: int = 0
+    #: Parts that records are dealt to by hash; 0: it isn't told.
+    parts: int = 0
 
 
 @dataclass(frozen=True)
@@ -156,13 +160,17 @@ class Index:
 
     # ---- changes ----
 
-    def of_records(self, records: DataFrame) -> DataFrame:
-        """The chunks, with their places, of records (id). Chunks are sorted by record, so few row groups are read for a batch."""
+    def of_records(self, records: DataFrame, only: list[str] | None = None) -> DataFrame:
+        """The chunks, with their places, of records (id), or some of their columns. A record is in one part, so few files are read for a batch."""
         own = records.select(F.col("id").alias("circular_db_id")).distinct()
         some = [r[0] for r in own.limit(NAMED + 1).collect()]
-        chunks = self.placed()
-        chunks = chunks.where(F.col("circular_db_id").isin(some)) if len(some) <= NAMED else chunks.join(own, "circular_db_id", "left_semi").select(chunks.columns)
-        return self.alive(chunks)
+        if len(some) > NAMED:
+            chunks = self.placed()
+            chunks = chunks if only is None else chunks.select(only)
+            return self.alive(chunks.join(own, "circular_db_id", "left_semi").select(chunks.columns))
+        frames = [self.placed([s]).where(_in_parts(some, s.parts)) for s in self.segments if s.docs]
+        chunks = (reduce(DataFrame.unionByName, frames) if frames else self.placed()).where(F.col("circular_db_id").isin(some))
+        return self.alive(chunks if only is None else chunks.select(only))
 
     def updated(self, new: DataFrame, path: str, stale_of: DataFrame | None = None, fanout: int = FANOUT) -> Index:
         """The index after a batch: new chunks (a written table, each id once) in place of those with their ids.
@@ -176,16 +184,17 @@ class Index:
         if self.segments:
             records = new.select(F.col("circular_db_id").alias("id"))
             records = records if stale_of is None else records.unionByName(stale_of.select("id"))
-            old = self.of_records(records)
-            dead = old.join(ids, "chunk_id", "left_semi").select(old.columns)
+            old = self.of_records(records, ["chunk_id", "circular_db_id", *PLACE, "dl"])  # without texts
+            dead = old.join(ids, "chunk_id", "left_semi").select(*PLACE, "dl")
             if stale_of is not None:
                 gone = old.join(stale_of.select(F.col("id").alias("circular_db_id")).distinct(), "circular_db_id", "left_semi").join(ids, "chunk_id", "left_anti")
-                dead = dead.unionByName(gone.select(old.columns))
-        return self._with(written_segment(self.spark, new.select(self.columns.names), path, dead)).merged(path, fanout)
+                dead = dead.unionByName(gone.select(*PLACE, "dl"))
+        return self._with(written_segment(self.spark, new.select(self.columns.names), path, dead, self.placed())).merged(path, fanout)
 
     def without_records(self, records: DataFrame, path: str) -> Index:
         """The index without the chunks of records (id)."""
-        return self._with(written_segment(self.spark, self.spark.createDataFrame([], self.columns), path, self.of_records(records)))
+        gone = self.of_records(records, ["circular_db_id", *PLACE, "dl"])
+        return self._with(written_segment(self.spark, self.spark.createDataFrame([], self.columns), path, gone, self.placed()))
 
     def _with(self, s: Segment) -> Index:
         return replace(self, segments=(*self.segments, s)) if s.docs or s.dead else self
@@ -218,6 +227,15 @@ def _of_terms(terms: list[str], buckets: int) -> Column:
     return F.col("term").isin(terms) & F.array_contains(here, F.col("bucket"))
 
 
+def _in_parts(ids: list[str], parts: int) -> Column:
+    """The condition for the parts in which records with these ids are."""
+    return F.array_contains(F.array(*[_part(F.lit(i), parts) for i in ids]), F.col("part")) if ids and parts else F.lit(True)
+
+
+def _part(record: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(record), F.lit(parts)).cast("int")
+
+
 def size_class(docs: int, fanout: int = FANOUT) -> int:
     """0 for a batch of up to some hundreds of chunks, and one more for each time it is so many times as large."""
     return max(0, math.floor(math.log(max(docs, 1) / 256, fanout)) + 1)
@@ -235,14 +253,16 @@ def due(segments: tuple[Segment, ...], fanout: int = FANOUT) -> int | None:
     return None
 
 
-def written_segment(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame | None = None) -> Segment:
-    """A segment of chunks that takes the rows of dead (chunks with their places) away from older ones."""
+def written_segment(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame | None = None, placed: DataFrame | None = None) -> Segment:
+    """A segment of chunks that takes dead (places with dl) away from older ones, of which placed has the texts."""
     if dead is None:
         return _written(spark, chunks, path, None, None)
-    dead = dead.select(*PLACE, "dl", "chunk_text").persist()
-    away = dead.select(*PLACE, F.explode(tokens("chunk_text")).alias("term")).groupBy("term", *PLACE).agg(F.count("*").alias("cf")).groupBy("term").agg((-F.count("*")).alias("df"), (-F.sum("cf")).alias("cf"))
-    out = _written(spark, chunks, path, dead.select(PLACE), None, away)
+    dead = dead.select(*PLACE, "dl").persist()
     gone = dead.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    places = dead.select(PLACE)
+    texts = placed.select(*PLACE, "chunk_text").join(F.broadcast(places) if gone[0] <= BROADCAST_ROWS else places, PLACE, "left_semi")
+    away = texts.select(tokens("chunk_text").alias("tokens")).mapInArrow(_taken, "term string, df long, cf long")  # summed up by batches, then with the terms
+    out = _written(spark, chunks, path, places, None, away)
     dead.unpersist()
     return replace(out, n=out.docs - gone[0], tokens=out.tokens - gone[1])
 
@@ -252,20 +272,20 @@ def _written(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame
     name = uuid.uuid4().hex
     path = f"{path}/{name}"
     many = chunks.count()
-    parts, buckets = -(-many // PART_CHUNKS) or 1, -(-many // BUCKET_CHUNKS) or 1
+    parts, buckets = -(-many // PART_CHUNKS) or 1, min(BUCKETS, -(-many // BUCKET_CHUNKS) or 1)
     columns = chunks.schema
     sort = ["circular_db_id", *(["chunk_index"] if "chunk_index" in columns.names else []), "chunk_id"]
-    dealt = chunks.repartitionByRange(parts, "circular_db_id") if parts > 1 else chunks.coalesce(1)
-    row = F.monotonically_increasing_id()  # the partition, and the row in it
-    own = dealt.sortWithinPartitions(*sort).select("*", row.alias("_row"))
-    own = own.select(*columns.names, F.shiftright("_row", 33).cast("int").alias("part"), F.shiftright("_row", SLOT).alias("block"), F.col("_row").bitwiseAND((1 << SLOT) - 1).cast("int").alias("slot"), F.regexp_count(F.lower("chunk_text"), F.lit(TOKEN)).cast("long").alias("dl"))
-    own.write.partitionBy("part").parquet(f"{path}/chunks")
+    row = (F.row_number().over(Window.partitionBy("part").orderBy(*sort)) - 1).cast("long")
+    own = _by_part(chunks.withColumn("part", _part(F.col("circular_db_id"), parts)), parts).withColumn("_row", row)
+    block = F.shiftleft(F.col("part").cast("long"), IN_PART).bitwiseOR(F.shiftright("_row", SLOT))
+    own = own.select(*columns.names, "part", block.alias("block"), F.col("_row").bitwiseAND((1 << SLOT) - 1).cast("int").alias("slot"), F.regexp_count(F.lower("chunk_text"), F.lit(TOKEN)).cast("long").alias("dl"))
+    own.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/chunks")
     # what was written is read again, so that places can't move
     schema = T.StructType([*columns, T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("dl", T.LongType())])
     own = spark.read.schema(schema).parquet(f"{path}/chunks") if many else spark.createDataFrame([], schema)
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     if many:
-        _postings(own).select("*", bucket).repartition(max(1, -(-many // BUCKET_CHUNKS)), "bucket", F.shiftright("block", IN_PART)).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+        _postings(_by_part(own.select("part", "block", "slot", "dl", "chunk_text"), parts)).select("*", bucket).sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     if terms is None:
         terms = spark.read.schema("term string, n int, docs array<struct<slot: int, tf: int, dl: int>>").parquet(f"{path}/postings") if many else spark.createDataFrame([], "term string, n int, docs array<struct<slot: int, tf: int, dl: int>>")
         terms = terms.select("term", F.col("n").cast("long").alias("df"), F.aggregate("docs.tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf"))
@@ -281,33 +301,64 @@ def _written(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame
         dead.select(PLACE).write.parquet(f"{path}/dead")
         gone = spark.read.schema("segment string, block long, slot int").parquet(f"{path}/dead").count()
     total = own.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0] if many else 0
-    return Segment(name, path, many, many, total, buckets, gone, kept[1] if kept[0] == FREQUENT else 0)
+    return Segment(name, path, many, many, total, buckets, gone, kept[1] if kept[0] == FREQUENT else 0, parts)
+
+
+def _by_part(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (part, ...) with each part in one task."""
+    return rows.repartitionByRange(parts, "part") if parts > 1 else rows.coalesce(1)
+
+
+def _taken(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """term, df and cf, below zero, of the words of some chunks (tokens)."""
+    for batch in batches:
+        words = pc.list_flatten(batch.column(0)).dictionary_encode()
+        term = words.indices.to_numpy().astype(np.int64)
+        each = np.unique(pc.list_parent_indices(batch.column(0)).to_numpy() * max(1, len(words.dictionary)) + term) % max(1, len(words.dictionary))
+        df, cf = (-np.bincount(x, minlength=len(words.dictionary)) for x in (each, term))
+        yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(df), pa.array(cf)], names=["term", "df", "cf"])
+
+
+_POSTING = "term string, block long, n int, impacts array<struct<tf: int, dl: int>>, docs array<struct<slot: int, tf: int, dl: int>>"
 
 
 def _postings(chunks: DataFrame) -> DataFrame:
-    """term, block, n, impacts and docs of chunks with places.
+    """term, block, n, impacts and docs of chunks with places, dealt by part.
 
-    A block's chunks stand together in a file, so that most of its words meet before
-    the exchange; a word's place there is a number of tokens and slot.
+    A part is one task's, so its words are counted where they are, and no posting goes
+    through an exchange.
     """
-    code = F.shiftleft("dl", SLOT).bitwiseOR(F.col("slot"))
-    found = chunks.select("block", code.alias("code"), F.explode(tokens("chunk_text")).alias("term"))
-    found = found.groupBy("term", "block").agg(F.sort_array(F.collect_list("code")).alias("codes"))  # a block's own words
-    ends = F.filter(F.sequence(F.lit(1), F.size("codes")), lambda i: (i == F.size("codes")) | (F.get("codes", i) != F.get("codes", i - 1)))
-
-    def docs(e: Column) -> Column:
-        c = lambda end: F.get("codes", end - 1)
-        before = lambda i: F.when(i == 0, 0).otherwise(F.get(e, i - 1))
-        return F.transform(e, lambda end, i: F.struct(c(end).bitwiseAND((1 << SLOT) - 1).cast("int").alias("slot"), (end - before(i)).cast("int").alias("tf"), F.shiftright(c(end), SLOT).cast("int").alias("dl")))
-
-    # most words stand once in a block, which needs no search for where a chunk's codes end
-    one = F.array(F.struct(F.get("codes", F.lit(0)).bitwiseAND((1 << SLOT) - 1).cast("int").alias("slot"), F.lit(1).alias("tf"), F.shiftright(F.get("codes", F.lit(0)), SLOT).cast("int").alias("dl")))
-    found = found.select("term", "block", F.when(F.size("codes") == 1, one).otherwise(once(ends, docs)).alias("docs"))
+    return chunks.select("part", "block", "slot", "dl", tokens("chunk_text").alias("tokens")).groupBy("part").applyInArrow(_counted, _POSTING)
+
+
+def _counted(part: pa.Table) -> pa.Table:
+    """Postings of a part's chunks (PART_CHUNKS in mean)."""
+    block, slot, dl = (part[c].to_numpy().astype(np.int64) for c in ("block", "slot", "dl"))
+    lists = part["tokens"].combine_chunks()
+    words = pc.list_flatten(lists).dictionary_encode()
+    order = np.lexsort((slot, block))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # a number for each word and chunk, which rises with the word, the block and the slot
+    code = words.indices.to_numpy().astype(np.int64) * len(order) + rank[pc.list_parent_indices(lists).to_numpy()]
+    code, tf = np.unique(code, return_counts=True)
+    term, chunk = code // max(1, len(order)), order[code % max(1, len(order))]
+    block, slot, dl = block[chunk], slot[chunk], dl[chunk]
+    head = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])][: len(term)])
+    size = np.diff(np.r_[head, len(term)])
     # tf rises and dl falls with the score, so of each tf the shortest counts, if no larger tf is as short
-    pairs = F.array_distinct(F.transform("docs", lambda d: F.struct(d["tf"].alias("tf"), d["dl"].alias("dl"))))
-    best = once(pairs, lambda p: F.filter(p, lambda x: ~F.exists(p, lambda y: (y["tf"] >= x["tf"]) & (y["dl"] <= x["dl"]) & ((y["tf"] > x["tf"]) | (y["dl"] < x["dl"])))))
-    alone = F.transform("docs", lambda d: F.struct(d["tf"].alias("tf"), d["dl"].alias("dl")))
-    return found.select("term", "block", F.size("docs").alias("n"), F.when(F.size("docs") == 1, alone).otherwise(best).alias("impacts"), "docs")
+    group = np.repeat(np.arange(len(head)), size)
+    best = np.lexsort((dl, -tf, group))
+    low = dl[best] - group[best] * (dl.max(initial=0) + 1)  # any of a group is lower than all of the groups before
+    best = best[np.r_[True, low[1:] < np.minimum.accumulate(low)[:-1]][: len(low)]]
+
+    def listed(sizes: np.ndarray, **fields: np.ndarray) -> pa.Array:
+        edge = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        return pa.ListArray.from_arrays(edge, pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in fields.values()], list(fields)))
+
+    impacts = listed(np.bincount(group[best], minlength=len(head)), tf=tf[best], dl=dl[best])
+    columns = [words.dictionary.take(pa.array(term[head])), pa.array(block[head]), pa.array(size.astype(np.int32)), impacts, listed(size, slot=slot, tf=tf, dl=dl)]
+    return pa.table(columns, names=["term", "block", "n", "impacts", "docs"])
 
 
 # ---- search ----------------------------------------------------------------

@@ -222,3 +222,19 @@ def test_archives_by_ranges(spark, tmp_path):
         unpacked(b"", 8, 1, 0)
     with pytest.raises(RuntimeError, match="method 12"):
         unpacked(b"", 12, 0, 0)
+
+
+def test_parts_are_tasks_and_postings_go_through_no_exchange(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(G, "PART_CHUNKS", 40)
+    rng = random.Random(5)
+    df = spark.createDataFrame(batch(rng, range(100), 1), SCHEMA)
+    ix = G.Index(spark, df.schema).updated(df, str(tmp_path / "ix"))
+    placed = ix.placed()
+    assert ix.segments[0].parts > 2 and placed.groupBy("circular_db_id").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+    plan = G._postings(G._by_part(placed.select("part", "block", "slot", "dl", "chunk_text"), 4))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning(part" in plan
+    ids = spark.createDataFrame([("r7",), ("r8",)], "id string")
+    assert sorted(r.chunk_id for r in ix.of_records(ids).collect()) == sorted(r.chunk_id for r in df.where("circular_db_id IN ('r7', 'r8')").collect())
+    gone = ix.without_records(ids, str(tmp_path / "ix"))
+    assert sorted(gone.terms().collect()) == sorted(X.inverted(df.where("circular_db_id NOT IN ('r7', 'r8')")).terms.collect())
+    assert score_rows(G.top(ix, "margin rule", size=7).hits) == score_rows(Q.search(df, "margin rule", size=7))
