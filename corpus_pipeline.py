@@ -15,7 +15,7 @@ STAGES = [
     ("quality classifier", quality_rules.stage),
     ("n-gram Jaccard join", jaccard_join.stage),
     ("secret scans", secret_scan.stage),
-    ("mixing sources to target weights", mixing.stage),
+    ("mixing sources to target weights", mixing.numbered_stage),
     ("SentencePiece encoding and decoding", merge_dropout.stage),
 ]
 

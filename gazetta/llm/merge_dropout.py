@@ -34,7 +34,7 @@ MODEL, DROPOUT, SEED = "/opt/tokenizers/piece_bpe_32k.model", 0.1, 7
 #: Words whose plain segmentation is kept in one of two generations (some 350 bytes each).
 KEPT = 120_000
 #: Words that were met once of which the hash is remembered.
-SEEN = 1_000_000
+SEEN = 300_000
 #: Characters of the texts whose new words are segmented together, and rows of a matrix of them.
 CHARS, ROWS = 2_000_000, 1 << 13
 
@@ -408,8 +408,8 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document; the copies that the mix makes of one get draws of their own."""
-    return encoded(numbered(docs))
+    """Token ids of each document; the copies that the mix makes of one get draws of their own, by its number where it tells one."""
+    return encoded(docs if "copy" in docs.columns else numbered(docs))
 
 
 QUERIES = {"op6_merge_dropout": op6_merge_dropout}

@@ -190,6 +190,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken."""
+    return numbered_stage(spark, docs, sf_dir, seed).select(docs.columns)
+
+
+def numbered_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = SEED) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with the number of the copy (copy, from 0 on), which no two rows of one doc_id and text share."""
     plan = mixed(docs, seed).where("copies > 0").select("key", "copies")
     # rows of one key are equal in doc_id and text; each takes its own copies
     plan = written(plan.groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies")), "mix")
@@ -197,8 +202,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, seed: int = SEED) -
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), key.alias("_key"))
     same = written(keyed.groupBy("_key").count().where("count > 1").select("_key"), "same")
     rows = only_ids(keyed, same, "_key", "left_anti").unionByName(only_ids(keyed, same, "_key").dropDuplicates(["_key"]))
-    taken = rows.join(plan.hint("merge"), "_key").select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return taken.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    taken = rows.join(plan.hint("merge"), "_key").select("_doc", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("copy"))
+    return taken.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "copy"], "copy")
 
 
 QUERIES = {"op9_mixing": op9_mixing}

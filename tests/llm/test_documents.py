@@ -722,3 +722,14 @@ def test_merge_dropout_of_very_long_words(spark):
     df = spark.createDataFrame([(1, text + " and"), (2, "x")], "doc_id long, text string")
     rows = {r.doc_id: r.ids for r in merge_dropout.encoded(df).collect()}
     assert merge_dropout.vocabulary().decode(rows[1]) == text + " and"
+
+
+def test_copies_of_the_mix_are_numbered_without_an_exchange(spark):
+    docs = spark.createDataFrame([(i % 9, f"word{i % 9} " * (3 + i % 5), "a" if i % 2 else "b") for i in range(30)], "doc_id long, text string, source string")
+    mix = mixing.numbered_stage(spark, docs, "")
+    rows = [(r.doc_id, r.text, r.copy) for r in mix.collect()]
+    assert len(set(rows)) == len(rows) and sorted(rows) == sorted((r.doc_id, r.text, r.copy) for r in merge_dropout.numbered(mix).collect())
+    out = merge_dropout.stage(spark, mix.localCheckpoint(), "")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    told = merge_dropout.stage(spark, mix.drop("copy"), "")
+    assert sorted((r.doc_id, r.ids) for r in out.collect()) == sorted((r.doc_id, r.ids) for r in told.collect())
