@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gazetta.sources.assets import qualified
@@ -19,6 +20,8 @@ from gazetta.sources.sink import place
 _FOUND = "archive string, path string, member string, position int, at long, packed long, size long, method int, flags int, crc long, error string"
 #: Bytes of a member's own header before its name, and where it tells the lengths of the name and of what follows it.
 HEADER, NAME, EXTRA = 30, 26, 28
+#: Members that are handed on together, and bytes of theirs after which no more is added.
+TOGETHER, BYTES = 1000, 8_000_000
 
 
 def directory(archives: DataFrame) -> DataFrame:
@@ -35,7 +38,7 @@ def directory(archives: DataFrame) -> DataFrame:
                         own = [x for x in z.infolist() if not x.is_dir() and x.filename.lower().endswith(".pdf")]
                     rows = [(archive, path, x.filename, k, x.header_offset, x.compress_size, x.file_size, x.compress_type, x.flag_bits, x.CRC, None) for k, x in enumerate(own, 1)]
                     error = None if rows else f"ZIP archive contains no PDFs: {archive}"
-                except (zipfile.BadZipFile, RuntimeError, OSError) as e:
+                except (zipfile.BadZipFile, RuntimeError, OSError, pa.ArrowInvalid) as e:
                     error = str(e)
                 if error:
                     rows = [(archive, path, *[None] * (len(columns) - 3), error)]
@@ -60,8 +63,12 @@ def unpacked(raw: bytes, method: int, flags: int, crc: int) -> bytes:
 def member_contents(found: DataFrame, tasks: int | None = None) -> DataFrame:
     """archive, member, position, content and error of each row of directory. Members are dealt out one by one, so a large archive is many tasks' work; a file is read from a member's header to its end only."""
 
+    def told(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["archive", "member", "position", "content", "error"]).astype({"position": "Int64"})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            rows, size = [], 0
             for x in frame.itertuples(index=False):
                 content, error = None, x.error
                 if error is None:
@@ -71,10 +78,15 @@ def member_contents(found: DataFrame, tasks: int | None = None) -> DataFrame:
                             head = file.read_at(HEADER, int(x.at))
                             lengths = int.from_bytes(head[NAME : NAME + 2], "little") + int.from_bytes(head[EXTRA : EXTRA + 2], "little")
                             content = unpacked(file.read_at(int(x.packed), int(x.at) + HEADER + lengths), int(x.method), int(x.flags), int(x.crc))
-                    except (RuntimeError, OSError, zlib.error) as e:
+                    except (RuntimeError, OSError, zlib.error, pa.ArrowInvalid) as e:
                         error = str(e)
-                # one member at a time
-                yield pd.DataFrame([(x.archive, x.member, x.position, content, error)], columns=["archive", "member", "position", "content", "error"]).astype({"position": "Int64"})
+                rows.append((x.archive, x.member, x.position, content, error))
+                size += len(content or b"")
+                if len(rows) == TOGETHER or size >= BYTES:
+                    yield told(rows)
+                    rows, size = [], 0
+            if rows:
+                yield told(rows)
 
     dealt = found.repartition(tasks, "archive", "member") if tasks else found.repartition("archive", "member")
     return dealt.mapInPandas(run, "archive string, member string, position int, content binary, error string")

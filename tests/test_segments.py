@@ -238,3 +238,19 @@ def test_parts_are_tasks_and_postings_go_through_no_exchange(spark, tmp_path, mo
     gone = ix.without_records(ids, str(tmp_path / "ix"))
     assert sorted(gone.terms().collect()) == sorted(X.inverted(df.where("circular_db_id NOT IN ('r7', 'r8')")).terms.collect())
     assert score_rows(G.top(ix, "margin rule", size=7).hits) == score_rows(Q.search(df, "margin rule", size=7))
+
+
+def test_members_are_handed_on_together(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    from gazetta.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(50):
+            z.writestr(f"{i}.pdf", b"x" * 100 * i)
+    (tmp_path / "short.zip").write_bytes(b"PK")
+    monkeypatch.setattr(archives, "TOGETHER", 7)
+    monkeypatch.setattr(archives, "BYTES", 9_000)
+    out = member_contents(directory(spark.createDataFrame([("a", str(tmp_path / "a.zip")), ("short", str(tmp_path / "short.zip"))], "archive string, path string")), 2).collect()
+    assert {r.member: len(r.content) for r in out if r.archive == "a"} == {f"{i}.pdf": 100 * i for i in range(50)}
+    assert [r.member for r in out if r.archive == "short" and r.error] == [None]
