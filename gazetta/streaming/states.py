@@ -12,15 +12,15 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 EVENT = "source string, source_item_key string, pos long, at timestamp, kind string, title string, pdf_url string, error string"
 _STATE = "title string, pdf_url string, status string, error string, attempts int, seen long, told long, timer long"
 STATE = "source string, source_item_key string, title string, pdf_url string, status string, error_message string, attempts int, due boolean"
+_TOLD = Row(*[c.split()[0] for c in STATE.split(", ")])
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,47 +36,40 @@ class Lifecycle(StatefulProcessor):
     def _kept(self) -> list:
         return list(self.item.get()) if self.item.exists() else [None, None, "DISCOVERED", None, 0, -1, -1, 0]
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         title, url, status, error, attempts, seen, told, timer = self._kept()
-        for frame in rows:
-            found = frame[frame["kind"] == "detected"]
-            if len(found) and (last := found.loc[found["pos"].idxmax()])["pos"] > seen:
-                title, url, seen = _text(last["title"]), _text(last["pdf_url"]), int(last["pos"])
-            outcomes = frame[frame["kind"] == "outcome"]
-            attempts += len(outcomes)
-            if len(outcomes) and (last := outcomes.loc[outcomes["pos"].idxmax()])["pos"] > told:
-                error, told = _text(last["error"]), int(last["pos"])
-                status = "FETCHED" if error is None else "FAILED"
-                if timer:
-                    self.handle.deleteTimer(timer)
-                timer = 0 if error is None else int(last["at"].timestamp() * 1000) + self.retry_ms
-                if timer:
-                    self.handle.registerTimer(timer)
+        at = None
+        for row in rows:
+            if row["kind"] == "detected" and row["pos"] > seen:
+                title, url, seen = row["title"], row["pdf_url"], row["pos"]
+            elif row["kind"] == "outcome":
+                attempts += 1
+                if row["pos"] > told:
+                    error, told, at = row["error"], row["pos"], row["millis"]
+        if at is not None:  # the last outcome is among these rows
+            status = "FETCHED" if error is None else "FAILED"
+            if timer:
+                self.handle.deleteTimer(timer)
+            timer = 0 if error is None else at + self.retry_ms
+            if timer:
+                self.handle.registerTimer(timer)
         self.item.update((title, url, status, error, attempts, seen, told, timer))
-        yield _row(key, title, url, status, error, attempts, False)
+        yield _TOLD(*key, title, url, status, error, attempts, False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         title, url, status, error, attempts, seen, told, _ = self._kept()
         self.item.update((title, url, status, error, attempts, seen, told, 0))
-        yield _row(key, title, url, status, error, attempts, status == "FAILED")
+        yield _TOLD(*key, title, url, status, error, attempts, status == "FAILED")
 
     def close(self) -> None:
         pass
 
 
-def _text(x) -> str | None:
-    return None if x is None or x != x else str(x)
-
-
-def _row(key, *values) -> pd.DataFrame:
-    return pd.DataFrame([(*key, *values)], columns=[c.split()[0] for c in STATE.split(", ")])
-
-
 def states(events: DataFrame, retry_ms: int = 3_600_000, watermark: str = "7 days") -> DataFrame:
     """A row of STATE for each key and micro-batch in which it changed, of a stream of EVENT rows; those that are behind the watermark are left out."""
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the driver's own worker doesn't see what was sent to the executors
-    keyed = events.withWatermark("at", watermark).groupBy("source", "source_item_key")
-    return keyed.transformWithStateInPandas(statefulProcessor=Lifecycle(retry_ms), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
+    keyed = events.withWatermark("at", watermark).withColumn("millis", F.unix_millis("at")).groupBy("source", "source_item_key")
+    return keyed.transformWithState(statefulProcessor=Lifecycle(retry_ms), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
 
 
 def start(spark: SparkSession, landed: str, out: str, checkpoint: str, retry_ms: int = 3_600_000, watermark: str = "7 days", files: int = 100, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

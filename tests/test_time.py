@@ -160,3 +160,37 @@ def test_stream_of_days(spark, site, tmp_path, overlap):
     assert run("2026-04-05") == day(1, 5)
     assert run("2026-04-05") == day(1, 5)  # nothing new
     assert run("2026-04-09") == sorted(day(1, 9) + day(5, 5) * overlap)
+
+
+def test_item_states_take_rows_not_frames():
+    class Item:
+        kept = None
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            return self.kept
+
+        def update(self, values):
+            self.kept = values
+
+    class Handle:
+        item, timers = Item(), []
+
+        def getValueState(self, *_):
+            return self.item
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    own, handle = states.Lifecycle(1000), Handle()
+    own.init(handle)
+    row = lambda pos, kind, error=None: {"pos": pos, "kind": kind, "title": f"t{pos}", "pdf_url": None, "error": error, "millis": pos}
+    (told,) = own.handleInputRows(("s", "k"), iter([row(3, "outcome", "late"), row(2, "detected"), row(1, "outcome")]), None)
+    assert tuple(told) == ("s", "k", "t2", None, "FAILED", "late", 2, False) and handle.timers == [1003]
+    (told,) = own.handleInputRows(("s", "k"), iter([row(5, "outcome"), row(0, "detected")]), None)
+    assert tuple(told) == ("s", "k", "t2", None, "FETCHED", None, 3, False) and not handle.timers
