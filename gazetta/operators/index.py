@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazetta.functions.arrays import once
 from gazetta.functions.normalize import chunk_key
 from gazetta.functions.text import TOKEN, chunk_id, chunk_texts, tokens
 from gazetta.schemas import CHUNKS
@@ -95,12 +96,26 @@ class Inverted:
 
 def inverted(chunks: DataFrame) -> Inverted:
     """Tables over chunks; each is computed from them, so save and load them for use again and again."""
-    found = chunks.select("chunk_id", tokens("chunk_text").alias("tokens"))
-    counted = found.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    postings = counted.select("term", "chunk_id", "tf", F.col("dl").cast("bigint").alias("dl"))
+    # rows that repeat a chunk meet before their words are parted, so a word's row is made where the chunk is
+    rows = chunks.groupBy("chunk_id", "chunk_text").agg(F.count("*").alias("_times"))
+    found = rows.select("chunk_id", "_times", tokens("chunk_text").alias("tokens"))
+    counted = found.select("chunk_id", F.size("tokens").cast("bigint").alias("dl"), "_times", F.explode(_counts(F.col("tokens"))).alias("t"))
+    postings = counted.select(F.col("t.term").alias("term"), "chunk_id", (F.col("t.tf") * F.col("_times")).alias("tf"), "dl")
     return Inverted(postings, term_statistics(postings), totals(chunks))
 
 
+def _counts(words: Column) -> Column:
+    """term and tf of the distinct ones of an array of words."""
+
+    def counted(x: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == F.size(x)) | (F.get(x, i) != F.get(x, i - 1)))
+        last = lambda e, k: F.when(k == 0, 0).otherwise(F.get(e, k - 1))
+        of = once(ends, lambda e: F.transform(e, lambda end, k: F.struct(F.get(x, end - 1).alias("term"), (end - last(e, k)).cast("bigint").alias("tf"))))
+        return F.when(F.size(x) > 0, of)
+
+    return once(F.array_sort(words), counted)
+
+
 def term_statistics(postings: DataFrame) -> DataFrame:
     """term, df (chunks) and cf (places)."""
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -254,3 +254,12 @@ def test_members_are_handed_on_together(spark, tmp_path, monkeypatch):
     out = member_contents(directory(spark.createDataFrame([("a", str(tmp_path / "a.zip")), ("short", str(tmp_path / "short.zip"))], "archive string, path string")), 2).collect()
     assert {r.member: len(r.content) for r in out if r.archive == "a"} == {f"{i}.pdf": 100 * i for i in range(50)}
     assert [r.member for r in out if r.archive == "short" and r.error] == [None]
+
+
+def test_words_are_counted_where_the_chunk_is(spark):
+    rows = [("a", "b a b c_1"), ("b", " - "), ("c", "A a"), ("c", "A a")]
+    own = X.inverted(spark.createDataFrame(rows, "chunk_id string, chunk_text string"))
+    assert sorted((r.chunk_id, r.term, r.tf, r.dl) for r in own.postings.collect()) == [("a", "a", 1, 4), ("a", "b", 2, 4), ("a", "c_1", 1, 4), ("c", "a", 4, 2)]
+    assert sorted(tuple(r) for r in own.terms.collect()) == [("a", 2, 5), ("b", 1, 2), ("c_1", 1, 1)]
+    plan = own.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "hashpartitioning(chunk_id" in plan and "hashpartitioning(chunk_id#" in plan and "term#" not in plan.split("hashpartitioning")[1].split(")")[0]
