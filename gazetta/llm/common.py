@@ -42,6 +42,12 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@functools.cache
+def settled() -> None:
+    """Once for each process: what its modules hold stays, so that trimmed() needn't walk over it after each of many short tasks."""
+    gc.freeze()
+
+
 def trimmed() -> None:
     """Gives memory that a Python worker holds for reuse back to the system: workers outlive their tasks, and hold what their largest one took."""
     gc.collect()
@@ -57,6 +63,7 @@ def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
 
     @functools.wraps(run)
     def task(batches: Iterator) -> Iterator:
+        settled()
         try:
             yield from run(batches)
         finally:
@@ -74,6 +81,6 @@ def only_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(sized(ids.select(key)), key, how)
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """df, a written table of narrow rows, as the side of a join: broadcast up to BROADCAST_ROWS, else sorted and merged."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of narrow rows, as the side of a join: broadcast up to so many rows, else sorted and merged."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetta.llm.common import lean, only_ids, sized, stored, table, trimmed, written
+from gazetta.llm.common import lean, only_ids, settled, sized, stored, table, trimmed, written
 from gazetta.session import removed
 
 #: Words of a shingle, and the similarity from which documents link, as a ratio
@@ -61,6 +61,10 @@ FAN, AGAIN = 1024, 32_000_000
 TASKS = 20_000
 #: Members of a region that are joined in one task; larger regions are dealt out over several.
 SPLIT = 512
+#: Rows of a round's tables (regions, pivots, distances, roots) that are broadcast at most, some 150 bytes each; larger ones are sorted and merged.
+MET = 100_000
+#: Edges that one task joins to stars, in mean; the stars of several tasks are united by rounds.
+STARS = 200_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -311,6 +315,7 @@ def _trimming(run):
     """run, a function of a group, with trimmed() behind it."""
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
+        settled()
         try:
             return run(frame)
         finally:
@@ -436,12 +441,40 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("x", "y", "keys_x", "keys_y").mapInPandas(lean(_distance), "x binary, y binary, d double, linked boolean")
 
 
+def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges u, v of a task as edges from each node to the smallest that it can reach by them."""
+    up: dict = {}
+
+    def root(x):
+        top = x
+        while (over := up.get(top, top)) != top:
+            top = over
+        while x != top:
+            up[x], x = top, up[x]
+        return top
+
+    for frame in frames:
+        for u, v in zip(frame["u"], frame["v"], strict=True):
+            a, b = sorted((root(u), root(v)))
+            if a != b:
+                up[b] = a
+    nodes = list(up)
+    yield pd.DataFrame({"u": nodes, "v": [root(x) for x in nodes]}, columns=["u", "v"])
+
+
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
-    """node and root (the smallest node it can reach) of each node of edges u, v, by large-star and small-star rounds; and the table's path."""
+    """node and root (the smallest node it can reach) of each node of edges u, v, without the roots; and the table's path.
+
+    Each task joins its own edges to stars; those of several tasks are united by
+    large-star and small-star rounds. edges is read twice, so it should be written.
+    """
     spark = edges.sparkSession
-    edges, path = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges")
+    pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
+    tasks = max(1, -(-pairs.count() // STARS))
+    kind = pairs.schema["u"].dataType.simpleString()
+    edges, path = stored(pairs.coalesce(tasks).mapInPandas(lean(_stars), f"u {kind}, v {kind}"), "edges")
     before = None
-    while True:
+    while tasks > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -451,9 +484,10 @@ def components(edges: DataFrame) -> tuple[DataFrame, str]:
         edges, path = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         removed(spark, old)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
-        if now == before or now[0] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")), path
+        if now == before:
+            break
         before = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")), path
 
 
 def _dealt(regions: DataFrame) -> DataFrame:
@@ -461,6 +495,13 @@ def _dealt(regions: DataFrame) -> DataFrame:
     return regions.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")).drop("salts")
 
 
+def _met(members: DataFrame, regions: DataFrame, few: bool) -> DataFrame:
+    """members with the columns of regions (region, salts, ...), a row or a few for each region; few are broadcast, else they go to all tasks of their region."""
+    if few:
+        return members.join(F.broadcast(regions.drop("salts")), "region")
+    return members.join(_dealt(regions).hint("merge"), ["region", "salt"])
+
+
 def linked_sets(sets: DataFrame) -> DataFrame | None:
     """node and root of the sets that link with another set: joins the regions round by round.
 
@@ -474,19 +515,22 @@ def linked_sets(sets: DataFrame) -> DataFrame | None:
     at = at.select(F.col("at.regions").alias("region"), salt.alias("salt"), F.col("at.salts").alias("salts"), F.col("at.places").alias("place"), "set_id", F.lit(None).cast("double").alias("ring"), F.col("set_id").alias("root"), "n")
     members, members_path = stored(at, "members")
     edges = roots = roots_path = None
-    pivots, key = PIVOTS, ["region", "salt"]
+    pivots = PIVOTS
     while True:
-        open_regions = members.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("salts").alias("salts")).where("a != b").select("region", "salts")
-        members = members.join(_dealt(open_regions).hint("merge"), key)
+        still = members.groupBy("region").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("salts").alias("salts")).where("a != b").select("region", "salts")
+        still, still_path = stored(still, "open")
+        n_open = still.count()
+        if not n_open:
+            for path in (members_path, still_path):
+                removed(spark, path)
+            return roots
+        members = _met(members, still, n_open <= MET)
         # one pivot for each of so many parts of a region, by a minimum that is combined before the exchange
         part = F.pmod(F.xxhash64("set_id", F.lit(pivots)), F.lit(pivots))
         chosen = members.groupBy("region", part.alias("of")).agg(F.min(F.struct("set_id", "ring", "root", "n", "place", "salts")).alias("p"))
         chosen, chosen_path = stored(chosen.select("region", F.col("p.salts").alias("salts"), F.col("p.set_id").alias("pivot"), F.col("p.ring").alias("p_ring"), F.col("p.root").alias("p_root"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "pivots")
-        if not chosen.limit(1).count():
-            for path in (members_path, chosen_path):
-                removed(spark, path)
-            return roots
-        near = members.join(_dealt(chosen).hint("merge"), key).where("root != p_root")
+        few = chosen.count() <= MET
+        near = _met(members, chosen, few).where("root != p_root")
         # the region of the rarest common shingle has the whole overlap at or behind it in both sets
         least = NUM * (F.col("n") + F.col("p_n"))
         near = near.where(((NUM + DEN) * (F.col("n") - F.col("place")) >= least) & ((NUM + DEN) * (F.col("p_n") - F.col("p_place")) >= least))
@@ -501,14 +545,14 @@ def linked_sets(sets: DataFrame) -> DataFrame | None:
                 removed(spark, old)
             edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         # pivots have met every member of their region and leave it
-        rest = members.join(chosen.select("region", F.col("pivot").alias("set_id")).hint("merge"), ["region", "set_id"], "left_anti")
+        rest = members.join(sized(chosen.select("region", F.col("pivot").alias("set_id")), MET), ["region", "set_id"], "left_anti")
         if pivots == 1:
             ring = measured.select(F.col("x").alias("set_id"), F.col("y").alias("pivot"), "d").unionByName(measured.select(F.col("y").alias("set_id"), F.col("x").alias("pivot"), "d"))
-            rest = rest.drop("ring").join(_dealt(chosen.select("region", "salts", "pivot")).hint("merge"), key).join(ring.hint("merge"), ["set_id", "pivot"], "left").withColumn("ring", F.col("d"))
-        rest = rest.drop("root").join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left")
+            rest = _met(rest.drop("ring"), chosen.select("region", "salts", "pivot"), few).join(sized(ring, MET), ["set_id", "pivot"], "left").withColumn("ring", F.col("d"))
+        rest = rest.drop("root").join(sized(roots.select(F.col("node").alias("set_id"), "root"), MET), "set_id", "left")
         old = members_path
         members, members_path = stored(rest.select("region", "salt", "salts", "set_id", "ring", F.coalesce("root", "set_id").alias("root"), "n", "place"), "members")
-        for path in (old, chosen_path, measured_path):
+        for path in (old, still_path, chosen_path, measured_path):
             removed(spark, path)
         pivots *= GROWTH
 
@@ -535,7 +579,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     if roots is None:
         named = classes.select("set_id", F.col("first_id").alias("component_id"))
     else:
-        rooted = classes.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left")
+        rooted = classes.join(sized(roots.select(F.col("node").alias("set_id"), "root"), MET), "set_id", "left")
         rooted = written(rooted.select("set_id", "first_id", F.coalesce("root", "set_id").alias("root")), "rooted")
         # only sets that link have another name than their own, and a component may hold most of them: they aren't dealt out by root
         linked = rooted.where("root != set_id").unionByName(rooted.join(sized(roots.select(F.col("root").alias("set_id")).distinct()), "set_id", "left_semi").select(rooted.columns))

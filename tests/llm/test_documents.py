@@ -733,3 +733,27 @@ def test_copies_of_the_mix_are_numbered_without_an_exchange(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     told = merge_dropout.stage(spark, mix.drop("copy"), "")
     assert sorted((r.doc_id, r.ids) for r in out.collect()) == sorted((r.doc_id, r.ids) for r in told.collect())
+
+
+@pytest.mark.parametrize("stars", [200_000, 30])
+def test_components_of_few_edges_take_no_rounds(spark, tmp_path, monkeypatch, stars):
+    monkeypatch.setattr(jaccard_join, "STARS", stars, raising=False)
+    edges = [(i, i + 1) for i in range(90) if i % 30] + [(200, 150), (150, 150), (7, 3)]
+    spark.createDataFrame(edges, "u long, v long").repartition(5).write.parquet(str(tmp_path / "e"))
+    spark.sparkContext.setJobGroup(f"stars{stars}", "")
+    roots, _ = jaccard_join.components(spark.read.parquet(str(tmp_path / "e")))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"stars{stars}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    down = {n: n for e in edges for n in e}
+    for _ in down:  # the smallest neighbour's, until nothing changes
+        for u, v in edges:
+            down[u] = down[v] = min(down[u], down[v])
+    assert {r.node: r.root for r in roots.collect()} == {n: r for n, r in down.items() if n != r}
+    assert stars < 200_000 or len(jobs) <= 4  # to read the schema, to count (two) and to write
+
+
+def test_jaccard_without_broadcasts(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "STARS", 3, raising=False)
+    monkeypatch.setattr(jaccard_join, "MET", 0, raising=False)
+    want = brute_components({d: shingles(t) for d, t in texts().items()})
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs).collect() if r.doc_id is not None} == want
