@@ -14,7 +14,7 @@ _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the base rules of op3_fertility count."""
-    return fertility.ruled(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    return fertility.base_ruled(table(spark, sf_dir, "documents"))
 
 
 _COUNTS = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),

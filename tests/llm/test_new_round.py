@@ -222,3 +222,15 @@ def test_columns_that_sql_tells(spark, sf_dir, name):
     want = con.sql(base_columns.ORACLE_SQL[name]).df()[list(got.columns)]
     plain = lambda df: sorted(map(str, df.astype(object).where(df.notna(), None).replace({float("nan"): None}).itertuples(index=False, name=None)))
     assert [x.replace(".0", "") for x in plain(got)] == [x.replace(".0", "") for x in plain(want)]
+
+
+def test_base_counts_ask_no_vocabulary(spark, tmp_path, monkeypatch):
+    from gazetta.llm import base_columns, fertility
+
+    rows = [(1, "one two three four five six seven eight " * 4 + "#x\n#x", "en"), (2, None, None), (None, "", "de"), (3, "Zoë\u2003|ein\n\nein " * 30, "de"), (3, "Zoë\u2003|ein\n\nein " * 30, "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = fertility.ruled(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    want = want.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    monkeypatch.setattr(fertility, "PIECES", "no file")
+    monkeypatch.setattr(fertility, "measured", None)
+    assert sorted(map(str, base_columns.base_counts(spark, str(tmp_path)).collect())) == sorted(map(str, want))
