@@ -113,7 +113,7 @@ def _counts(words: Column) -> Column:
         of = once(ends, lambda e: F.transform(e, lambda end, k: F.struct(F.get(x, end - 1).alias("term"), (end - last(e, k)).cast("bigint").alias("tf"))))
         return F.when(F.size(x) > 0, of)
 
-    return once(F.array_sort(words), counted)
+    return once(F.sort_array(words), counted)
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -127,11 +127,12 @@ def totals(chunks: DataFrame) -> DataFrame:
 
 
 def save_inverted(index: Inverted, path: str, partitions: int = 200) -> Inverted:
-    """Writes the index and gives it as read. Postings are dealt by range and sorted, so that a query reads few row groups and a frequent term is many tasks' work."""
+    """Writes the index and gives it as read. Each task sorts the postings that it has by term and writes a file, so no posting goes
+    through an exchange, a query reads few pages of each of at most so many files, and a frequent term is many tasks' work."""
     spark = index.postings.sparkSession
-    index.postings.repartitionByRange(partitions, "term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
+    index.postings.coalesce(partitions).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     term_statistics(spark.read.parquet(f"{path}/postings")).write.mode("overwrite").parquet(f"{path}/terms")
+    index.totals.write.mode("overwrite").parquet(f"{path}/totals")
     return load_inverted(spark, path)
 
 

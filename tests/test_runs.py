@@ -144,6 +144,27 @@ def test_stored_index(spark, tmp_path):
     assert own.totals.first().n == 201 and own.postings.where("term = 'the'").count() == 200
 
 
+def test_stored_postings_go_through_no_exchange(spark, tmp_path, monkeypatch):
+    rows = [(f"c{i:03d}", f"word{i % 7} the the margin" if i % 3 else "the framework") for i in range(100)] + [("e", " - "), ("c001", "word1 the the margin"), ("n", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, chunk_text string").repartition(6)
+
+    def refused(*_):
+        raise AssertionError("postings are dealt anew")
+
+    monkeypatch.setattr(type(chunks), "repartitionByRange", refused)
+    own = X.save_inverted(X.inverted(chunks), str(tmp_path / "ix"), 2)
+    assert sorted(own.postings.collect()) == sorted(X.inverted(chunks).postings.collect())
+    assert sorted(own.terms.collect()) == sorted(X.inverted(chunks).terms.collect())
+    assert own.totals.collect() == X.inverted(chunks).totals.collect() and own.totals.dtypes == X.inverted(chunks).totals.dtypes
+    files = sorted((tmp_path / "ix" / "postings").glob("*.parquet"))
+    assert 0 < len(files) <= 2
+    for f in files:  # as written, whatever the order of reading
+        terms = [r.term for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+        assert terms == sorted(terms)
+    none = X.save_inverted(X.inverted(chunks.limit(0)), str(tmp_path / "none"), 2)
+    assert [tuple(r) for r in none.totals.collect()] == [(0, None)]
+
+
 def test_running_values_and_long_texts(spark):
     one = spark.range(1)
     for n in (0, 1, 2, 3, 1000):
