@@ -12,12 +12,19 @@ from gazetta.functions.normalize import chunk_key
 from gazetta.functions.text import TOKEN, chunk_id, chunk_texts, tokens
 from gazetta.schemas import CHUNKS
 
+#: Columns of an asset that its chunks have.
+ASSET = ["id", "asset_role", "file_path", "archive_member_path", "content_hash"]
 
-def documents(records: DataFrame, assets: DataFrame, texts: DataFrame, indexed_at: Column, size: int = 1200, overlap: int = 200) -> DataFrame:
-    """A row for each chunk of each asset's text (asset_id, text), with its record."""
-    own = records.alias("r").join(assets.alias("a"), F.col("r.id") == F.col("a.circular_id")).join(texts.alias("t"), F.col("a.id") == F.col("t.asset_id"))
+
+def documents(records: DataFrame, assets: DataFrame, texts: DataFrame | None, indexed_at: Column, size: int = 1200, overlap: int = 200) -> DataFrame:
+    """A row for each chunk of each asset's text (asset_id, text), with its record.
+
+    Without texts, assets have a column text of their own, so no text is matched by the asset's id.
+    """
+    own = records.alias("r").join(assets.alias("a"), F.col("r.id") == F.col("a.circular_id"))
+    own = own.withColumn("_text", F.col("a.text")) if texts is None else own.join(texts.alias("t"), F.col("a.id") == F.col("t.asset_id")).withColumn("_text", F.col("t.text"))
     key = chunk_key("r.source", "r.circular_id", "a.asset_role", "a.archive_member_path", "a.file_path")
-    own = own.select("r.*", F.struct("a.*").alias("a"), key.alias("_key"), F.posexplode(chunk_texts("t.text", size, overlap)).alias("chunk_index", "chunk_text"))
+    own = own.select("r.*", F.struct(*[F.col(f"a.{c}") for c in ASSET]).alias("a"), key.alias("_key"), F.posexplode(chunk_texts("_text", size, overlap)).alias("chunk_index", "chunk_text"))
     fixed = {
         "chunk_id": chunk_id("_key", "chunk_index", "chunk_text"), "circular_db_id": F.col("id"), "asset_id": F.col("a.id"), "asset_role": F.col("a.asset_role"),
         "file_path": F.col("a.file_path"), "archive_member_path": F.col("a.archive_member_path"), "content_hash": F.coalesce(F.nullif(F.col("a.content_hash"), F.lit("")), F.col("content_hash")), "indexed_at": indexed_at,

@@ -140,3 +140,17 @@ def test_entry_without_the_optional_part(spark, monkeypatch):
     assert set(again.queries()) == set(P.QUERIES)
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_texts_of_assets_are_matched_once(spark, sf_dir):
+    from gazetta.plans import queries
+
+    plan = queries.p8_index_documents(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split(",")[0].split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert keys and not [k for k in keys if k.startswith("asset_id#")]  # by the record's id only
+    records, assets = queries.adapted(spark, sf_dir, "circulars", "assets")
+    texts = assets.where("id LIKE '%1'").selectExpr("id AS asset_id", "repeat(id, 400) AS text")
+    own = assets.join(texts, assets.id == texts.asset_id).drop("asset_id")
+    columns = ["chunk_id", "circular_db_id", "asset_id", "content_hash", "chunk_index", "chunk_text"]
+    want = X.documents(records, assets, texts, queries.now()).select(*columns).collect()
+    assert len(want) > 100 and sorted(want) == sorted(X.documents(records, own, None, queries.now()).select(*columns).collect())
