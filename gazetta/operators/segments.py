@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from gazetta.functions.text import TOKEN, query_tokens, tokens
 from gazetta.operators.search import bm25, checked, filtered
+from gazetta.session import removed
 
 #: Bits of the slot in a block, and of the block in a part (64 chunks a block; Spark counts rows of a partition in 33 bits).
 SLOT, IN_PART = 6, 27
@@ -117,7 +118,9 @@ class Index:
         many = sum(s.dead for s in self.segments)
         if not many:
             return places
-        return places.join(F.broadcast(self.dead()) if many <= BROADCAST_ROWS else self.dead(), PLACE, "left_anti").select(places.columns)
+        blocks = sum(-(-s.docs // (1 << SLOT)) + (s.parts or 1) for s in self.segments)  # at most
+        own = self.dead().where(F.col("segment").isin([s.name for s in self.segments]))
+        return _at(places, own, min(many, blocks), "left_anti")
 
     def chunks(self) -> DataFrame:
         """The chunks of the index."""
@@ -172,12 +175,13 @@ class Index:
         chunks = (reduce(DataFrame.unionByName, frames) if frames else self.placed()).where(F.col("circular_db_id").isin(some))
         return self.alive(chunks if only is None else chunks.select(only))
 
-    def updated(self, new: DataFrame, path: str, stale_of: DataFrame | None = None, fanout: int = FANOUT) -> Index:
+    def updated(self, new: DataFrame, path: str, stale_of: DataFrame | None = None, fanout: int = FANOUT, over: Iterable[str] = ()) -> Index:
         """The index after a batch: new chunks (a written table, each id once) in place of those with their ids.
 
         stale_of: records (id) of which all chunks go that aren't among the new ones.
         path is a folder under which the segment gets one of its own. A record has no
-        chunk with the id of a chunk of another record.
+        chunk with the id of a chunk of another record. over: folders that are deleted
+        when the chunks are written, as new is of no use any more.
         """
         ids = new.select("chunk_id")
         dead = None
@@ -189,7 +193,7 @@ class Index:
             if stale_of is not None:
                 gone = old.join(stale_of.select(F.col("id").alias("circular_db_id")).distinct(), "circular_db_id", "left_semi").join(ids, "chunk_id", "left_anti")
                 dead = dead.unionByName(gone.select(*PLACE, "dl"))
-        return self._with(written_segment(self.spark, new.select(self.columns.names), path, dead, self.placed())).merged(path, fanout)
+        return self._with(written_segment(self.spark, new.select(self.columns.names), path, dead, self.placed(), over)).merged(path, fanout)
 
     def without_records(self, records: DataFrame, path: str) -> Index:
         """The index without the chunks of records (id)."""
@@ -199,28 +203,48 @@ class Index:
     def _with(self, s: Segment) -> Index:
         return replace(self, segments=(*self.segments, s)) if s.docs or s.dead else self
 
-    def merged(self, path: str, fanout: int = FANOUT) -> Index:
-        """The index with its newest segments merged as long as there are so many of one size class."""
+    def merged(self, path: str, fanout: int = FANOUT, replacing: bool = False) -> Index:
+        """The index with its newest segments merged as long as there are so many of one size class.
+
+        replacing: tables of the segments that are merged are deleted as soon as the
+        new one needs them no more, so nothing may read this index any more, nor a
+        store name it, also if merging fails.
+        """
         index = self
         while (first := due(index.segments, fanout)) is not None:
-            index = index._joined(first, path)
+            index = index._joined(first, path, replacing)
         return index
 
-    def compacted(self, path: str) -> Index:
-        """The index as one segment, without what was taken away."""
-        return self._joined(0, path) if self.segments else self
+    def compacted(self, path: str, replacing: bool = False) -> Index:
+        """The index as one segment, without what was taken away. replacing: as with merged."""
+        return self._joined(0, path, replacing) if self.segments else self
 
-    def _joined(self, first: int, path: str) -> Index:
+    def _joined(self, first: int, path: str, replacing: bool = False) -> Index:
         """The index with its segments from the first one on as one."""
         old, own = self.segments[:first], self.segments[first:]
         merging = replace(self, segments=own)
         live = self.alive(merging.placed()).select(self.columns.names)
         kept = merging.dead().where(~F.col("segment").isin([s.name for s in own]))
         sums = reduce(DataFrame.unionByName, [self._read(s, "terms", "term string, df long, cf long, bucket int") for s in own])
-        new = _written(self.spark, live, path, kept, sums.select("term", "df", "cf"))
+        gone = own if replacing else ()
+        for s in gone:
+            removed(self.spark, f"{s.path}/postings")  # words are counted anew, as chunks have new places
+        new = _written(self.spark, live, path, kept, sums.select("term", "df", "cf"), over=[f"{s.path}/chunks" for s in gone])
+        for s in gone:
+            removed(self.spark, s.path)
         return replace(self, segments=(*old, replace(new, n=sum(s.n for s in own), tokens=sum(s.tokens for s in own))))
 
 
+def _at(rows: DataFrame, places: DataFrame, blocks: int, how: str) -> DataFrame:
+    """The rows (segment, block, slot, ...) at places (left_semi) or elsewhere (left_anti); places are in so many blocks at most.
+
+    A block's slots are the bits of one number, so a broadcast row stands for up to 64 chunks, whose texts stay where they are.
+    """
+    slots = places.groupBy(F.col("segment").alias("_segment"), F.col("block").alias("_block")).agg(F.bit_or(F.expr("shiftleft(1L, slot)")).alias("_slots"))
+    here = (F.col("segment") == F.col("_segment")) & (F.col("block") == F.col("_block")) & (F.getbit("_slots", F.col("slot")) == 1)
+    return rows.join(F.broadcast(slots) if blocks <= BROADCAST_ROWS else slots, here, how).select(rows.columns)
+
+
 def _of_terms(terms: list[str], buckets: int) -> Column:
     """The condition for rows of terms, with the folders in which they are."""
     here = F.array(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms])
@@ -253,22 +277,25 @@ def due(segments: tuple[Segment, ...], fanout: int = FANOUT) -> int | None:
     return None
 
 
-def written_segment(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame | None = None, placed: DataFrame | None = None) -> Segment:
+def written_segment(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame | None = None, placed: DataFrame | None = None, over: Iterable[str] = ()) -> Segment:
     """A segment of chunks that takes dead (places with dl) away from older ones, of which placed has the texts."""
     if dead is None:
-        return _written(spark, chunks, path, None, None)
+        return _written(spark, chunks, path, None, None, over=over)
     dead = dead.select(*PLACE, "dl").persist()
-    gone = dead.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    gone = dead.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0)), F.count_distinct("segment", "block")).first()
     places = dead.select(PLACE)
-    texts = placed.select(*PLACE, "chunk_text").join(F.broadcast(places) if gone[0] <= BROADCAST_ROWS else places, PLACE, "left_semi")
+    texts = _at(placed.select(*PLACE, "chunk_text"), places, gone[2], "left_semi")
     away = texts.select(tokens("chunk_text").alias("tokens")).mapInArrow(_taken, "term string, df long, cf long")  # summed up by batches, then with the terms
-    out = _written(spark, chunks, path, places, None, away)
+    out = _written(spark, chunks, path, places, None, away, over)
     dead.unpersist()
     return replace(out, n=out.docs - gone[0], tokens=out.tokens - gone[1])
 
 
-def _written(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame | None, terms: DataFrame | None, away: DataFrame | None = None) -> Segment:
-    """Writes a segment. terms: the sums of its terms, else they are counted, with those of away (df and cf below zero)."""
+def _written(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame | None, terms: DataFrame | None, away: DataFrame | None = None, over: Iterable[str] = ()) -> Segment:
+    """Writes a segment. terms: the sums of its terms, else they are counted, with those of away (df and cf below zero).
+
+    over: folders of which only the chunks are made; they are deleted when those are written.
+    """
     name = uuid.uuid4().hex
     path = f"{path}/{name}"
     many = chunks.count()
@@ -280,12 +307,15 @@ def _written(spark: SparkSession, chunks: DataFrame, path: str, dead: DataFrame
     block = F.shiftleft(F.col("part").cast("long"), IN_PART).bitwiseOR(F.shiftright("_row", SLOT))
     own = own.select(*columns.names, "part", block.alias("block"), F.col("_row").bitwiseAND((1 << SLOT) - 1).cast("int").alias("slot"), F.regexp_count(F.lower("chunk_text"), F.lit(TOKEN)).cast("long").alias("dl"))
     own.write.option("compression", "zstd").partitionBy("part").parquet(f"{path}/chunks")
+    for folder in over:
+        removed(spark, folder)
     # what was written is read again, so that places can't move
     schema = T.StructType([*columns, T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("dl", T.LongType())])
     own = spark.read.schema(schema).parquet(f"{path}/chunks") if many else spark.createDataFrame([], schema)
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
     if many:
-        _postings(_by_part(own.select("part", "block", "slot", "dl", "chunk_text"), parts)).select("*", bucket).sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+        stored = _by_file(spark).read.schema(schema).parquet(f"{path}/chunks")
+        _postings(stored).select("*", bucket).sortWithinPartitions("bucket", "term", "block").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
     if terms is None:
         terms = spark.read.schema("term string, n int, docs array<struct<slot: int, tf: int, dl: int>>").parquet(f"{path}/postings") if many else spark.createDataFrame([], "term string, n int, docs array<struct<slot: int, tf: int, dl: int>>")
         terms = terms.select("term", F.col("n").cast("long").alias("df"), F.aggregate("docs.tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf"))
@@ -309,6 +339,13 @@ def _by_part(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionByRange(parts, "part") if parts > 1 else rows.coalesce(1)
 
 
+def _by_file(spark: SparkSession) -> SparkSession:
+    """A session that reads each file in a task of its own, so that a task sorts the postings of one part."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", own.conf.get("spark.sql.files.maxPartitionBytes"))
+    return own
+
+
 def _taken(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     """term, df and cf, below zero, of the words of some chunks (tokens)."""
     for batch in batches:
@@ -323,16 +360,31 @@ _POSTING = "term string, block long, n int, impacts array<struct<tf: int, dl: in
 
 
 def _postings(chunks: DataFrame) -> DataFrame:
-    """term, block, n, impacts and docs of chunks with places, dealt by part.
+    """term, block, n, impacts and docs of chunks with places, where those of a block stand together.
 
-    A part is one task's, so its words are counted where they are, and no posting goes
-    through an exchange.
+    Words are counted where the chunks are read, so neither texts nor postings go
+    through an exchange. Where a file is read by several tasks (a part of more than
+    one row group), a block can have two rows of a term, with other slots each.
     """
-    return chunks.select("part", "block", "slot", "dl", tokens("chunk_text").alias("tokens")).groupBy("part").applyInArrow(_counted, _POSTING)
+    return chunks.select("block", "slot", "dl", tokens("chunk_text").alias("tokens")).mapInArrow(_blocks, _POSTING)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Postings of chunks; the last block of a batch waits for the next one, as it may go on there."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*held, batch])
+        block = rows["block"].to_numpy()
+        others = np.flatnonzero(block != block[-1]) if len(block) else block
+        cut = int(others[-1]) + 1 if len(others) else 0
+        yield from _counted(rows.slice(0, cut)).to_batches() if cut else []
+        held = rows.slice(cut).to_batches()
+    if held:
+        yield from _counted(pa.Table.from_batches(held)).to_batches()
 
 
 def _counted(part: pa.Table) -> pa.Table:
-    """Postings of a part's chunks (PART_CHUNKS in mean)."""
+    """Postings of whole blocks."""
     block, slot, dl = (part[c].to_numpy().astype(np.int64) for c in ("block", "slot", "dl"))
     lists = part["tokens"].combine_chunks()
     words = pc.list_flatten(lists).dictionary_encode()

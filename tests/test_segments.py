@@ -264,3 +264,61 @@ def test_words_are_counted_where_the_chunk_is(spark):
     plan = own.postings._jdf.queryExecution().executedPlan().toString()
     keys = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
     assert keys and all(k.startswith("chunk_id#") and "term#" not in k for k in keys)
+
+
+@pytest.fixture
+def confs(spark):
+    """Settings for a test: joins are broadcast where that is told only, and blocks go on in the next batch."""
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_texts_stay_where_they_are(spark, tmp_path, monkeypatch, confs):
+    monkeypatch.setattr(G, "PART_CHUNKS", 150)
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 40)
+    rng = random.Random(11)
+    rows, other = batch(rng, range(200), 0), batch(rng, range(0, 200, 2), 1)
+    old, new = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(other, SCHEMA)
+    stale = spark.createDataFrame([(f"r{r}",) for r in range(0, 200, 2)], "id string")
+    ix = G.Index(spark, old.schema).updated(old, str(tmp_path / "ix")).updated(new, str(tmp_path / "ix"), stale)
+    live = {r[0]: r for r in rows if int(r[1][1:]) % 2} | {r[0]: r for r in other}
+    # more chunks are dead than rows may be broadcast, but they are in few blocks
+    assert ix.segments[1].dead > 2 * G.BROADCAST_ROWS
+    plan = ix.chunks()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted(tuple(r) for r in ix.chunks().collect()) == sorted(live.values())
+    final = X.inverted(spark.createDataFrame(list(live.values()), SCHEMA)).terms.collect()
+    assert sorted(ix.terms().collect()) == sorted(final)
+    plan = G._postings(ix.placed())._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    for s in ix.segments:
+        found = G._postings(ix.placed([s]).coalesce(1).sortWithinPartitions("block", "slot"))
+        stored = spark.read.parquet(f"{s.path}/postings").select(found.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, stored.collect()))
+        assert stored.groupBy("term", "block").count().where("count > 1").count() == 0 and stored.select("block").distinct().count() > 2
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    assert "SortMergeJoin" in ix.chunks()._jdf.queryExecution().executedPlan().toString() and sorted(tuple(r) for r in ix.chunks().collect()) == sorted(live.values())
+    whole = ix.compacted(str(tmp_path / "ix"))
+    assert sorted(whole.terms().collect()) == sorted(final) and ix.chunks().count() == len(live)
+    last = ix.compacted(str(tmp_path / "ix"), replacing=True)
+    assert sorted(last.terms().collect()) == sorted(final) and sorted(tuple(r) for r in last.chunks().collect()) == sorted(live.values())
+    assert not any(Path(s.path).exists() for s in ix.segments) and score_rows(G.top(last, "margin rule").hits) == score_rows(G.top(whole, "margin rule").hits)
+
+
+def test_a_summary_keeps_one_segment_on_disk(spark, sf_dir):
+    from gazetta.plans import queries
+    from gazetta.session import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.rglob("*.parquet"))
+    out = queries.a10_summary(spark, sf_dir)
+    assert out.first().distinct_within and out.first().median_within
+    left = set(shared.rglob("*.parquet")) - before
+    assert left and not [p for p in left if "/batch" in str(p)] and len({p.parents[2] for p in left if p.match("*/chunks/part=*/*")}) == 1
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.split("hashpartitioning(")[1:] if x.startswith("chunk_text")]
