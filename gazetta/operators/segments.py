@@ -41,6 +41,8 @@ from gazetta.session import removed
 SLOT, IN_PART = 6, 27
 #: Chunks of a part, and for each bucket of terms, in mean; buckets at most (each part has a file in every bucket).
 PART_CHUNKS, BUCKET_CHUNKS, BUCKETS = 20_000, 20_000, 16
+#: Chunks whose words are counted together.
+TOGETHER = 4096
 #: So many segments of one size class are merged into one of the next.
 FANOUT = 8
 #: Terms of a segment whose counts are kept apart.
@@ -370,15 +372,16 @@ def _postings(chunks: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Postings of chunks; the last block of a batch waits for the next one, as it may go on there."""
+    """Postings of chunks; the last block of some waits for the next ones, as it may go on there."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        rows = pa.Table.from_batches([*held, batch])
-        block = rows["block"].to_numpy()
-        others = np.flatnonzero(block != block[-1]) if len(block) else block
-        cut = int(others[-1]) + 1 if len(others) else 0
-        yield from _counted(rows.slice(0, cut)).to_batches() if cut else []
-        held = rows.slice(cut).to_batches()
+        for at in range(0, batch.num_rows, TOGETHER):
+            rows = pa.Table.from_batches([*held, batch.slice(at, TOGETHER)])
+            block = rows["block"].to_numpy()
+            others = np.flatnonzero(block != block[-1])
+            cut = int(others[-1]) + 1 if len(others) else 0
+            yield from _counted(rows.slice(0, cut)).to_batches() if cut else []
+            held = rows.slice(cut).to_batches()
     if held:
         yield from _counted(pa.Table.from_batches(held)).to_batches()
 
